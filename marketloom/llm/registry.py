@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import CONTAMINATION_SQL, contamination
 from .line_dedup import LINES_SQL, dedup_lines
 from .mixing import MIX_SQL, mix_sources
+from .near_dedup import near_duplicates
 from .sharding import shard_documents
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -26,6 +36,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_sharding": op4_sharding, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op2_decontamination": op2_decontamination,
+    "op4_sharding": op4_sharding,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_mixing": op9_mixing,
+}
 
-ORACLES: dict[str, str] = {"op8_line_dedup": LINES_SQL, "op9_mixing": MIX_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": CONTAMINATION_SQL, "op8_line_dedup": LINES_SQL, "op9_mixing": MIX_SQL}
