@@ -14,6 +14,7 @@ from .line_dedup import LINES_SQL, dedup_lines
 from .mixing import MIX_SQL, mix_sources
 from .near_dedup import near_duplicates
 from .parsing import edited_likeness
+from .quality import quality_scores
 from .sharding import shard_documents
 from .warc import WARC_SQL, archive_pages
 
@@ -30,6 +31,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
