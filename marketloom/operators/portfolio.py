@@ -14,3 +14,77 @@ def market_returns(returns: DataFrame, span: int = 5) -> DataFrame:
     m = returns.groupBy("date").agg(F.avg("r").alias("m"))
     w = Window.orderBy("date").rowsBetween(-(span - 1), 0)
     return m.withColumn("m_span", F.when(F.count("m").over(w) >= span, F.sum("m").over(w)))
+
+
+def neutralise(df: DataFrame, ret: str, mode: str) -> DataFrame:
+    """Residual of ``ret`` within each date: mode none, market, sector, beta or sector_beta; fewer than three names stay raw.
+
+    Where betas hardly differ the beta mode only demeans.
+    """
+    day, cell = Window.partitionBy("date"), Window.partitionBy("date", "sector")
+    x = F.col(ret)
+    if mode in ("sector", "sector_beta"):
+        df = df.withColumn("_x", x - F.avg(x).over(cell))
+    else:
+        df = df.withColumn("_x", x)
+    if mode == "market":
+        res = F.col("_x") - F.avg("_x").over(day)
+    elif mode in ("beta", "sector_beta"):
+        spread = F.stddev_pop("beta").over(day)
+        slope = F.when(spread < 1e-9, 0.0).otherwise(F.covar_pop("_x", "beta").over(day) / F.nullif(F.var_pop("beta").over(day), F.lit(0.0)))
+        res = F.col("_x") - F.avg("_x").over(day) - slope * (F.col("beta") - F.avg("beta").over(day))
+    else:
+        res = F.col("_x")
+    return df.withColumn("residual", F.when(F.count(F.lit(1)).over(day) < 3, x).otherwise(res)).drop("_x")
+
+
+def top_fraction(df: DataFrame, score: str, frac: float, tie: str = "symbol", lowest: bool = False) -> DataFrame:
+    """Per date the k best names, k = max(1, half-even round of frac * names)."""
+    day = Window.partitionBy("date")
+    order = day.orderBy(F.col(score) if lowest else F.desc(score), tie)
+    df = df.withColumn("_k", F.greatest(F.lit(1), F.bround(F.count(F.lit(1)).over(day) * F.lit(frac)))).withColumn("_n", F.row_number().over(order))
+    return df.where("_n <= _k").drop("_k", "_n")
+
+
+def leg_weights(df: DataFrame, kelly: bool = True, inverse_vol: bool = True) -> DataFrame:
+    """Weights within each date: edge over one half, divided by vol, scaled to sum to 1; equal where nothing is left."""
+    day = Window.partitionBy("date")
+    raw = F.greatest(F.col("meta") - 0.5, F.lit(0.0)) if kelly else F.lit(1.0)
+    raw = raw / F.greatest(F.col("vol"), F.lit(1e-9)) if inverse_vol else raw
+    total = F.sum("_w").over(day)
+    return df.withColumn("_w", raw).withColumn("weight", F.when(total > 0, F.col("_w") / F.nullif(total, F.lit(0.0))).otherwise(1 / F.count(F.lit(1)).over(day))).drop("_w")
+
+
+def spaced_dates(dates: DataFrame, next_date) -> DataFrame:
+    """From the distinct dates those that a non-overlapping grid takes; ``next_date`` maps a taken date to the earliest next one.
+
+    The fold runs over one array of calendar dates, whose length does not depend on the number of rows.
+    """
+    kept = F.aggregate(
+        F.sort_array(F.collect_set("date")), F.struct(F.lit(None).cast("date").alias("next"), F.array().cast("array<date>").alias("taken")),
+        lambda acc, d: F.when(acc["next"].isNull() | (d >= acc["next"]), F.struct(next_date(d).alias("next"), F.concat(acc["taken"], F.array(d)).alias("taken"))).otherwise(acc),
+        lambda acc: acc["taken"],
+    )
+    return dates.agg(kept.alias("dates")).select(F.explode("dates").alias("date"))
+
+
+def kelly_fraction(p, b: float = 1.0, frac: float = 0.25, cap: float = 0.5):
+    f = (p * b - (1 - p)) / b
+    return F.when((p <= 0) | (p >= 1) | (f <= 0), 0.0).otherwise(F.least(F.lit(cap), frac * f))
+
+
+def regime_scale(c):
+    return F.when(c == "chop", 0.6).when(c == "risk_off", 0.25).otherwise(1.0)
+
+
+def performance(df: DataFrame, r: str, by: list[str], order: str, periods: float) -> DataFrame:
+    """Sharpe (sample deviation), worst drawdown, profit factor, win rate and total return of each group's return stream."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(r)
+    df = df.withColumn("_e", F.exp(F.sum(F.log1p(x)).over(w)))
+    df = df.withColumn("_dd", F.col("_e") / F.max("_e").over(w) - 1)
+    sd = F.stddev_samp(x)
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.when((F.count(x) < 2) | (sd == 0), 0.0).otherwise(F.avg(x) / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(periods))).alias("sharpe"), F.min("_dd").alias("max_drawdown"),
+        F.try_divide(F.sum(F.when(x > 0, x).otherwise(0.0)), -F.sum(F.when(x < 0, x).otherwise(0.0))).alias("profit_factor"), F.avg((x > 0).cast("int")).alias("win_rate"), (F.max_by("_e", order) - 1).alias("total_return"),
+    )
