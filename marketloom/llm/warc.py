@@ -33,6 +33,7 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
     html = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", " ").alias("url"), html.alias("html"), F.octet_length(html).alias("size"), F.sha2(html, 256).alias("key"))
     same = pages.where(F.col("size") >= revisit_bytes).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("kept")).where("n > 1").select("key", "kept")
+    same = stored(same, "warc-same")  # its size is known then: a short list is broadcast and no html is shuffled
     pages = pages.join(same, "key", "left").withColumn("revisit", F.coalesce(F.col("page_id") != F.col("kept"), F.lit(False)))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     record = F.concat(
