@@ -27,7 +27,7 @@ def r6(c: Column) -> Column:
 def sig_round(c: Column, digits: int) -> Column:
     """Round to significant figures."""
     scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(c))))
-    return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c * scale) / scale)
+    return F.when(c == 0, F.lit(0.0)).otherwise(F.try_divide(F.round(c * scale), F.nullif(scale, F.lit(0.0))))
 
 
 def add_business_days(d: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import BY
+from .windows import by
 
 
 def triple_barrier(df: DataFrame, vol: str, horizon: int = 5, pt: float = 1.0, sl: float = 1.0) -> DataFrame:
@@ -15,7 +15,7 @@ def triple_barrier(df: DataFrame, vol: str, horizon: int = 5, pt: float = 1.0, s
     number of bars, so leads suffice and nothing is joined.
     """
     steps = range(1, horizon + 1)
-    df = df.select("*", *[F.lead("close", j).over(BY).alias(f"_c{j}") for j in steps], *[F.lead("date", j).over(BY).alias(f"_d{j}") for j in steps])
+    df = df.select("*", *[F.lead("close", j).over(by()).alias(f"_c{j}") for j in steps], *[F.lead("date", j).over(by()).alias(f"_d{j}") for j in steps])
     df = df.where(F.col("_c1").isNotNull() & (F.col(vol) > 0))
     ret = lambda j: F.col(f"_c{j}") / F.col("close") - 1
     touch = [F.when(ret(j) >= pt * F.col(vol), F.struct(F.lit("pt").alias("barrier"), ret(j).alias("ret"), F.col(f"_d{j}").alias("t1"))).when(ret(j) <= -sl * F.col(vol), F.struct(F.lit("sl").alias("barrier"), ret(j).alias("ret"), F.col(f"_d{j}").alias("t1"))) for j in steps]
@@ -26,7 +26,7 @@ def triple_barrier(df: DataFrame, vol: str, horizon: int = 5, pt: float = 1.0, s
 
 def uniqueness(events: DataFrame, positions: DataFrame) -> DataFrame:
     """Mean of 1/concurrency over each event's span [date, t1], scaled to mean 1 per symbol: symbol, date, weight."""
-    at = positions.select("symbol", "date", F.row_number().over(BY).alias("pos"))
+    at = positions.select("symbol", "date", F.row_number().over(by()).alias("pos"))
     spans = events.select("symbol", "date", "t1").join(at.withColumnRenamed("pos", "a"), ["symbol", "date"]).join(at.select("symbol", F.col("date").alias("t1"), F.col("pos").alias("b")), ["symbol", "t1"])
     cells = spans.select("symbol", "date", F.explode(F.sequence("a", "b")).alias("pos"))
     crowd = cells.groupBy("symbol", "pos").agg(F.count(F.lit(1)).alias("n"))

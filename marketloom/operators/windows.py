@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.num import finite, safe_div
 
-BY = Window.partitionBy("symbol").orderBy("date")
+def by():
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def trailing(n: int):
-    return BY.rowsBetween(-(n - 1), 0)
+    return by().rowsBetween(-(n - 1), 0)
 
 
 def rolling(agg, c: Column, n: int, min_periods: int | None = None) -> Column:
@@ -36,7 +37,7 @@ def rsum(c: Column, n: int, min_periods: int | None = None) -> Column:
 
 
 def lag(c: Column, n: int = 1) -> Column:
-    return F.lag(c, n).over(BY)
+    return F.lag(c, n).over(by())
 
 
 def log_return(c: Column, n: int = 1) -> Column:
@@ -52,8 +53,8 @@ def zscore(c: Column, n: int, min_periods: int) -> Column:
 
 
 def ffill(c: Column, window=None) -> Column:
-    return F.last(c, ignorenulls=True).over((window or BY).rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(c, ignorenulls=True).over((window or by()).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def bfill(c: Column, window=None) -> Column:
-    return F.first(c, ignorenulls=True).over((window or BY).rowsBetween(0, Window.unboundedFollowing))
+    return F.first(c, ignorenulls=True).over((window or by()).rowsBetween(0, Window.unboundedFollowing))

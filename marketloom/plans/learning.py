@@ -53,7 +53,7 @@ def uniqueness_q(spark, sf_dir) -> DataFrame:
 @query("interval_overlap", twin("SELECT symbol, pos::INT AS pos, count(*)::BIGINT AS open_events FROM ce GROUP BY ALL", *_EVENTS, *_CELLS))
 def interval_overlap(spark, sf_dir) -> DataFrame:
     """How many labelled events are open at each bar."""
-    at = bars(spark, sf_dir).select("symbol", "date", F.row_number().over(w.BY).alias("pos"))
+    at = bars(spark, sf_dir).select("symbol", "date", F.row_number().over(w.by()).alias("pos"))
     e = events(spark, sf_dir).select("symbol", "date", "t1")
     spans = e.join(at.withColumnRenamed("pos", "a"), ["symbol", "date"]).join(at.select("symbol", F.col("date").alias("t1"), F.col("pos").alias("b")), ["symbol", "t1"])
     return spans.select("symbol", F.explode(F.sequence("a", "b")).alias("pos")).groupBy("symbol", "pos").agg(F.count(F.lit(1)).alias("open_events"))

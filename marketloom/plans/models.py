@@ -126,5 +126,5 @@ def sequence_windows(spark, sf_dir) -> DataFrame:
     """Windows of thirty returns with the forward return over five bars."""
     c = F.col("close")
     b = bars(spark, sf_dir).withColumn("r", w.log_return(c)).where("r is not null")
-    b = b.select("symbol", "date", F.collect_list("r").over(w.trailing(30)).alias("x"), (F.lead(c, 5).over(w.BY) / c - 1).alias("fwd")).where((F.size("x") == 30) & F.col("fwd").isNotNull())
+    b = b.select("symbol", "date", F.collect_list("r").over(w.trailing(30)).alias("x"), (F.lead(c, 5).over(w.by()) / c - 1).alias("fwd")).where((F.size("x") == 30) & F.col("fwd").isNotNull())
     return b.select("symbol", "date", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("total"), r6(F.col("fwd")).alias("fwd"))
