@@ -56,7 +56,7 @@ def held_out():
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """The languages, most documents first, and the filter: masks[word, slot]."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
     langs = [lang for lang, _ in sorted(counts, key=lambda x: (-x[1], x[0]))]
     if not langs:
