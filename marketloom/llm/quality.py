@@ -155,11 +155,15 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray | None:
     sample = docs.select(text.alias("text"), draw.alias("draw")).where((F.pmod("draw", F.lit(1_000_003)) / 1_000_003 < share) & (F.length("text") > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for _, part in slices(batches) for t in part]  # a TRAINERS-th of the bounded sample
-        if texts:
+        held: dict[int, list[bytes]] = {}  # a TRAINERS-th of the bounded sample for each part
+        for batch, texts in slices(batches):
+            for part, t in zip(batch.column("part").to_pylist(), texts):
+                held.setdefault(part, []).append(t)
+        for texts in held.values():
             yield pa.RecordBatch.from_arrays([pa.array([_train(texts, posterior).tobytes()], pa.binary()), pa.array([len(texts)], pa.int64())], names=["weights", "n"])
 
-    parts = sample.repartition(TRAINERS, "draw").sortWithinPartitions("draw").select("text").mapInArrow(run, "weights binary, n long").collect()
+    sample = sample.withColumn("part", F.pmod("draw", F.lit(TRAINERS)).cast("int")).repartition(TRAINERS, "part").sortWithinPartitions("part", "draw")
+    parts = sample.select("part", "text").mapInArrow(run, "weights binary, n long").collect()  # TRAINERS vectors, however many partitions
     if not parts:
         return None
     return sum(np.frombuffer(r["weights"]) * r["n"] for r in parts) / sum(r["n"] for r in parts)
