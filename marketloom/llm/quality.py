@@ -114,7 +114,7 @@ def _features(texts: list[bytes], stats: np.ndarray) -> tuple[np.ndarray, np.nda
     scale = np.array([100, 15, 15, 15, 15, 30, 15, 30, 1])
     steps = np.minimum(15, np.floor(np.c_[stats[:, 1:] * scale, np.log2(1 + stats[:, 0])]))
     keys = (np.arange(1, steps.shape[1] + 1) * 16 + steps).astype(np.uint64)
-    return grams.astype(np.int64), np.cumsum(sizes) - sizes, (mixed(keys) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return grams.astype(np.int32), np.cumsum(sizes) - sizes, (mixed(keys) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def _sums(weights: np.ndarray, grams: np.ndarray, begins: np.ndarray, stat_keys: np.ndarray) -> np.ndarray:
@@ -128,7 +128,7 @@ def _train(texts: list[bytes], posterior: dict[int, float]) -> np.ndarray:
     target = np.array([posterior.get(p, 0.5) for p in _pattern(votes(stats)).tolist()])
     grams, begins, stat_keys = _features(texts, stats)
     sizes = np.diff(np.r_[begins, len(grams) + 3])
-    owner = np.repeat(np.arange(len(texts)), np.diff(np.r_[begins, len(grams)]))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.r_[begins, len(grams)]))
     w = np.zeros((1 << BUCKET_BITS) + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     share = np.array([(1 - target).mean(), target.mean()])  # both classes weigh the same
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray | None:
     posterior = fit_labellers(counts)[2]
     share = min(1.0, sample_docs / sum(counts.values()))
     text = text_or_empty()
-    draw = F.xxhash64(text, F.lit(SEED))
+    draw = F.xxhash64("doc_id", text, F.lit(SEED))  # with the id: copies of one text do not come all together
     sample = docs.select(text.alias("text"), draw.alias("draw")).where((F.pmod("draw", F.lit(1_000_003)) / 1_000_003 < share) & (F.length("text") > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
