@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.num import add_business_days, r6, sig_round
 from ..operators import portfolio as pf
 from ..operators import windows as w
-from ..operators.asof import latest_per_group
+from ..operators.asof import asof_forward, latest_per_group
+from ..operators.labels import triple_barrier
 from ..registry import query
-from ..sources.logical import bars, predictions, twin, verdicts
+from ..sources.logical import bars, predictions, ticks, twin, verdicts
 from .learning import _EVENTS, _W, events
 
 _RB = ("rb", f"SELECT *, ln(close / lag(close) OVER {_W})) AS r FROM bars")
@@ -25,19 +26,19 @@ _BV = ("bv", f"""SELECT symbol, date, lag(b) OVER {_W}) AS beta, lag(v) OVER {_W
     CASE WHEN count(r) {_f(20)} >= 10 THEN stddev_samp(r) {_f(20)} END AS v FROM rb JOIN mk USING (date))""")
 
 
-def beta_vol(spark, sf_dir) -> DataFrame:
-    """Yesterday's rolling beta (60, at least 30) to the equal-weight market and volatility (20, at least 10)."""
-    b = bars(spark, sf_dir).select("symbol", "date", w.log_return(F.col("close")).alias("r"))
+def with_risk(b: DataFrame) -> DataFrame:
+    """Adds log return r and yesterday's rolling beta (60, at least 30) to the equal-weight market and volatility (20, at least 10)."""
+    b = b.withColumn("r", w.log_return(F.col("close")))
     b = b.join(b.groupBy("date").agg(F.avg("r").alias("m")), "date")
     long, pair = w.trailing(60), F.when(F.col("r").isNotNull(), F.col("m"))
     beta = F.when(F.count("r").over(long) >= 30, F.covar_samp("r", "m").over(long) / F.nullif(F.var_samp(pair).over(long), F.lit(0.0)))
-    b = b.select("symbol", "date", beta.alias("b"), w.rstd(F.col("r"), 20, 10).alias("v"))
-    return b.select("symbol", "date", w.lag(F.col("b")).alias("beta"), w.lag(F.col("v")).alias("vol"))
+    b = b.withColumns({"_b": beta, "_v": w.rstd(F.col("r"), 20, 10)})
+    return b.withColumns({"beta": w.lag(F.col("_b")), "vol": w.lag(F.col("_v"))}).drop("m", "_b", "_v")
 
 
 @query("market_beta", twin("SELECT symbol, date, round(beta, 6) AS beta, round(vol, 6) AS vol FROM bv", _RB, _MK, _BV))
 def market_beta(spark, sf_dir) -> DataFrame:
-    return beta_vol(spark, sf_dir).select("symbol", "date", r6(F.col("beta")).alias("beta"), r6(F.col("vol")).alias("vol"))
+    return with_risk(bars(spark, sf_dir)).select("symbol", "date", r6(F.col("beta")).alias("beta"), r6(F.col("vol")).alias("vol"))
 
 
 _PN = ("pn", """SELECT e.symbol, e.date, e.ret, coalesce(beta, 1) AS beta, CASE WHEN vol > 0 THEN vol ELSE md END AS vol, ascii(right(e.symbol, 1)) % 4 AS sector, 0.4::DOUBLE + (volume::BIGINT % 41) / 100::DOUBLE AS meta,
@@ -47,9 +48,10 @@ _PANEL = (*_EVENTS, _RB, _MK, _BV, _PN)
 
 def panel(spark, sf_dir) -> DataFrame:
     """Event returns with point-in-time risk, sector, score and regime; missing risk takes beta 1 and the median volatility."""
-    bv = beta_vol(spark, sf_dir)
-    median = bv.where("vol > 0").agg(F.percentile("vol", 0.5).alias("md"))
-    e = events(spark, sf_dir).select("symbol", "date", "ret").join(bars(spark, sf_dir).select("symbol", "date", "volume"), ["symbol", "date"]).join(bv, ["symbol", "date"], "left").crossJoin(F.broadcast(median))  # one row
+    b = with_risk(bars(spark, sf_dir))  # one pass over the bars: all windows share an exchange and a sort
+    median = b.where("vol > 0").agg(F.percentile("vol", 0.5).alias("md"))
+    b = b.withColumn("width", w.rstd(F.col("r"), 20))
+    e = triple_barrier(b.select("symbol", "date", "close", "volume", "beta", "vol", "width"), "width").crossJoin(F.broadcast(median))  # one row
     month = F.month("date") % 3
     return e.select("symbol", "date", "ret", F.coalesce("beta", F.lit(1.0)).alias("beta"), F.when(F.col("vol") > 0, F.col("vol")).otherwise(F.col("md")).alias("vol"), (F.ascii(F.right("symbol", F.lit(1))) % 4).alias("sector"),
         (0.4 + (F.col("volume").cast("long") % 41) / 100).alias("meta"), F.when(month == 0, "trend").when(month == 1, "chop").otherwise("risk_off").alias("regime"))
@@ -235,9 +237,6 @@ def band_prices(spark, sf_dir) -> DataFrame:
     SELECT p.*, m.px, m.px / nullif(last_close, 0) - 1 AS ret FROM predictions p ASOF JOIN (SELECT symbol, ts::DATE AS date, arg_max(price, (ts, id)) AS px FROM ticks GROUP BY ALL) m ON p.symbol = m.symbol AND p.target_date <= m.date)"""))
 def resolve_outcomes(spark, sf_dir) -> DataFrame:
     """Due predictions against the first close on or after their target date."""
-    from ..operators.asof import asof_forward
-    from ..sources.logical import ticks
-
     m = ticks(spark, sf_dir).groupBy("symbol", F.to_date("ts").alias("date")).agg(F.max_by("price", F.struct("ts", "id")).alias("px"))
     p = asof_forward(predictions(spark, sf_dir).withColumn("date", F.col("target_date")), m, ["symbol"], "date", ["px"]).where("px is not null")
     ret, up = F.try_divide("px", F.nullif("last_close", F.lit(0.0))) - 1, F.col("prob_up") >= 0.5
@@ -247,6 +246,4 @@ def resolve_outcomes(spark, sf_dir) -> DataFrame:
 
 @query("significant_figures", twin("SELECT id, CASE WHEN price = 0 THEN 0 ELSE round(price * pow(10::DOUBLE, 2 - floor(log10(abs(price))))) / pow(10::DOUBLE, 2 - floor(log10(abs(price)))) END AS price_3sf FROM ticks"))
 def significant_figures(spark, sf_dir) -> DataFrame:
-    from ..sources.logical import ticks
-
     return ticks(spark, sf_dir).select("id", sig_round(F.col("price"), 3).alias("price_3sf"))
