@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import mixed, powers, slices
+from .arrow_text import SLICE_BYTES, mixed, powers, slices
 from .common import text_or_empty
 
 LIMIT, CACHE_PIECES, WIDE = 512, 300_000, 64
@@ -277,7 +277,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
         counter = _COUNTERS.get(tokenizer)
         if counter is None:
             counter = _COUNTERS[tokenizer] = PrefixCounter(tokenizer)
-        for batch, raw in slices(batches):
+        for batch, raw in slices(batches, limit=2 * SLICE_BYTES):
             if len(counter.ids) > CACHE_PIECES:
                 counter.reset()
             texts = [t.decode() for t in raw]
