@@ -189,15 +189,20 @@ def live_book(spark, sf_dir) -> DataFrame:
     return book(spark, sf_dir).select("symbol", "prob_up", "regime", r6(F.col("weight")).alias("weight"))
 
 
-@query("verdict_valve", twin("""SELECT symbol, round(CASE WHEN label = 'downgrade' AND confidence > 0 THEN weight * least(confidence, llm_confidence) / confidence ELSE weight END, 6) AS weight, CASE WHEN label IS NULL THEN confidence ELSE least(confidence, llm_confidence) END AS final_confidence
-    FROM bk LEFT JOIN (SELECT symbol, arg_max(label, (generated_at, id)) AS label, arg_max(llm_confidence, (generated_at, id)) AS llm_confidence FROM verdicts WHERE insight_type = 'verdict' GROUP BY symbol) USING (symbol) WHERE label IS NULL OR label <> 'veto'""", _LATEST, _BOOK))
-def verdict_valve(spark, sf_dir) -> DataFrame:
+def valved(spark, sf_dir) -> DataFrame:
     """A veto drops a name, a downgrade scales it, nothing is ever raised, and the rest is not renormalised."""
     at = F.struct("generated_at", "id")
     v = verdicts(spark, sf_dir).where("insight_type = 'verdict'").groupBy("symbol").agg(F.max_by("label", at).alias("label"), F.max_by("llm_confidence", at).alias("llm_confidence"))
     b = book(spark, sf_dir).join(v, "symbol", "left").where("label is null or label <> 'veto'")
     low = F.least("confidence", "llm_confidence")
-    return b.select("symbol", r6(F.when((F.col("label") == "downgrade") & (F.col("confidence") > 0), F.col("weight") * low / F.nullif("confidence", F.lit(0))).otherwise(F.col("weight"))).alias("weight"), F.when(F.col("label").isNull(), F.col("confidence")).otherwise(low).alias("final_confidence"))
+    weight = F.when((F.col("label") == "downgrade") & (F.col("confidence") > 0), F.col("weight") * low / F.nullif("confidence", F.lit(0))).otherwise(F.col("weight"))
+    return b.select("symbol", weight.alias("weight"), F.when(F.col("label").isNull(), F.col("confidence")).otherwise(low).alias("final_confidence"))
+
+
+@query("verdict_valve", twin("""SELECT symbol, round(CASE WHEN label = 'downgrade' AND confidence > 0 THEN weight * least(confidence, llm_confidence) / confidence ELSE weight END, 6) AS weight, CASE WHEN label IS NULL THEN confidence ELSE least(confidence, llm_confidence) END AS final_confidence
+    FROM bk LEFT JOIN (SELECT symbol, arg_max(label, (generated_at, id)) AS label, arg_max(llm_confidence, (generated_at, id)) AS llm_confidence FROM verdicts WHERE insight_type = 'verdict' GROUP BY symbol) USING (symbol) WHERE label IS NULL OR label <> 'veto'""", _LATEST, _BOOK))
+def verdict_valve(spark, sf_dir) -> DataFrame:
+    return valved(spark, sf_dir).withColumn("weight", r6(F.col("weight")))
 
 
 _KELLY = "CASE WHEN prob_up <= 0 OR prob_up >= 1 OR 2 * prob_up - 1 <= 0 THEN 0 ELSE least(0.5::DOUBLE, 0.25::DOUBLE * (2 * prob_up - 1)) END"
@@ -247,3 +252,11 @@ def resolve_outcomes(spark, sf_dir) -> DataFrame:
 @query("significant_figures", twin("SELECT id, CASE WHEN price = 0 THEN 0 ELSE round(price * pow(10::DOUBLE, 2 - floor(log10(abs(price))))) / pow(10::DOUBLE, 2 - floor(log10(abs(price)))) END AS price_3sf FROM ticks"))
 def significant_figures(spark, sf_dir) -> DataFrame:
     return ticks(spark, sf_dir).select("id", sig_round(F.col("price"), 3).alias("price_3sf"))
+
+
+@query("daily_cycle_orders", twin("""SELECT symbol, round(least(10000, 50000 * weight), 2) AS notional FROM (SELECT bk.symbol, CASE WHEN label = 'downgrade' AND confidence > 0 THEN weight * least(confidence, llm_confidence) / confidence ELSE weight END AS weight FROM bk LEFT JOIN
+    (SELECT symbol, arg_max(label, (generated_at, id)) AS label, arg_max(llm_confidence, (generated_at, id)) AS llm_confidence FROM verdicts WHERE insight_type = 'verdict' GROUP BY symbol) v ON v.symbol = bk.symbol WHERE label IS NULL OR label <> 'veto') WHERE 50000 * weight >= 1""", _LATEST, _BOOK))
+def daily_cycle_orders(spark, sf_dir) -> DataFrame:
+    """The day's chain: latest predictions, book, verdicts, orders."""
+    orders = valved(spark, sf_dir).select("symbol", (50000 * F.col("weight")).alias("n")).where("n >= 1")
+    return orders.select("symbol", F.round(F.least(F.lit(10000.0), F.col("n")), 2).alias("notional"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.files import KeyedTable, backup, epoch_day, read_csv, read_json_records, restore, scratch
-from ..sources.logical import bars, ticks, transactions, twin
+from ..sources.logical import bars, news, raw, ticks, transactions, twin
 
 
 @query("upsert_keep_latest", twin("SELECT symbol, day, price FROM (SELECT symbol, ts::DATE AS day, price, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY (event_type IN ('click', 'view'))::INT DESC, ts DESC, id DESC) AS n FROM ticks) WHERE n = 1"))
@@ -71,3 +71,36 @@ def backup_restore(spark, sf_dir) -> DataFrame:
     path = scratch(spark, "backup")
     backup(t, path)
     return restore(spark, path, t.schema)
+
+
+@query("tsv_facts", "SELECT o_orderkey AS adsh, l_returnflag AS tag, round(sum(l_extendedprice), 2) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('F', 'O') AND l_returnflag IN ('A', 'R') AND l_linestatus <> 'F' GROUP BY ALL")
+def tsv_facts(spark, sf_dir) -> DataFrame:
+    """Filings and facts as tab-separated files: form and tag white lists, consolidated rows only, joined on the filing."""
+    sub, num = scratch(spark, "sub"), scratch(spark, "num")
+    raw(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("adsh"), F.col("o_orderstatus").alias("form")).write.csv(sub, sep="\t", header=True)
+    raw(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("adsh"), F.col("l_returnflag").alias("tag"), F.when(F.col("l_linestatus") == "F", "segment").alias("segments"), F.col("l_extendedprice").alias("value")).write.csv(num, sep="\t", header=True)
+    filings = read_csv(spark, sub, {"adsh": "bigint", "form": "string"}, sep="\t").where(F.col("form").isin("F", "O"))
+    facts = read_csv(spark, num, {"adsh": "bigint", "tag": "string", "segments": "string", "value": "double"}, sep="\t").where(F.col("tag").isin("A", "R") & F.col("segments").isNull())
+    return facts.join(filings.select("adsh"), "adsh").groupBy("adsh", "tag").agg(F.round(F.sum("value"), 2).alias("v"))
+
+
+@query("json_ticker_map", "SELECT upper(n_name) AS ticker, n_nationkey AS cik FROM nation WHERE n_regionkey < 3")
+def json_ticker_map(spark, sf_dir) -> DataFrame:
+    """A JSON object of objects as a table, cut to the known universe."""
+    path = scratch(spark, "map")
+    n = raw(spark, sf_dir, "nation").select(F.concat(F.lit('"'), F.col("n_nationkey").cast("string"), F.lit('": '), F.to_json(F.struct(F.col("n_name").alias("ticker"), F.col("n_nationkey").alias("cik_str")))).alias("e"))
+    n.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("e")), ", "), F.lit("}")).alias("value")).write.text(path)  # a small dimension in one document, as the source ships it
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.map_values(F.from_json("value", "map<string, struct<ticker: string, cik_str: int>>"))).alias("r"))
+    universe = raw(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("cik"))
+    return rows.select(F.upper("r.ticker").alias("ticker"), F.col("r.cik_str").alias("cik")).join(universe, "cik").select("ticker", "cik")
+
+
+@query("labelled_csv", twin("SELECT trim(title) AS sentence, CASE score WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END AS label FROM news WHERE score IS NOT NULL AND url % 3 <> 0"))
+def labelled_csv(spark, sf_dir) -> DataFrame:
+    """Labelled sentences: quoted text with line breaks, labels trimmed, lower-cased and checked against the known ones."""
+    path = scratch(spark, "labelled")
+    label = F.when(F.col("score") == 1, " Positive").when(F.col("score") == -1, "NEGATIVE ").otherwise("neutral")
+    n = news(spark, sf_dir).where("score is not null").select(F.trim("title").alias("sentence"), F.when(F.col("url") % 3 == 0, "n/a").otherwise(label).alias("label"))
+    n.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = spark.read.csv(path, header=True, multiLine=True, escape='"', schema="sentence string, label string")
+    return back.select(F.coalesce("sentence", F.lit("")).alias("sentence"), F.lower(F.trim("label")).alias("label")).where(F.col("label").isin("positive", "negative", "neutral"))
