@@ -42,7 +42,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     first = stored(first, "line-repeats")
     # texts of the kept copies: each document is asked for its own chunks
     asked = first.select("_key", "_first.*").groupBy("doc_id", "_text").agg(F.collect_list(F.struct("_no", "_key")).alias("_asked"))
-    kept = rows.dropDuplicates(["doc_id", "_text"]).join(asked, ["doc_id", "_text"]).select(F.explode(F.expr("transform(_asked, a -> struct(a._key as _key, chunks[a._no].text as _kept))")).alias("x")).select("x.*")
+    kept = rows.join(asked, ["doc_id", "_text"]).select(F.explode(F.expr("transform(_asked, a -> struct(a._key as _key, chunks[a._no].text as _kept))")).alias("x")).select("x.*").dropDuplicates(["_key"])
     others = seen.join(first, "_key").where(F.struct("doc_id", "_text", "_no") != F.col("_first")).drop("_first")
     others = others.join(kept, "_key").groupBy("doc_id", "_text").agg(F.collect_list(F.struct("_no", "_kept")).alias("_others"))
     out = rows.join(others, ["doc_id", "_text"], "left")
