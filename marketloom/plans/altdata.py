@@ -145,7 +145,7 @@ def same_quarter_surprise(spark, sf_dir) -> DataFrame:
     return surprises(spark, sf_dir).select("symbol", "fy", "fp", r6(clip(F.col("growth"), -1.0, 1.0)).alias("growth"), F.round(clip(F.col("z"), -4.0, 4.0), 5).alias("sue"))
 
 
-@query("accruals", twin(f"SELECT symbol, fy, fp, round({_clip('(rev - inc - lag(rev - inc) OVER s) / nullif((ytd + lag(ytd) OVER s) / 2, 0)', -1, 1)}, 6) AS accruals FROM qt WINDOW s AS (PARTITION BY symbol ORDER BY fy, fp)", _Q, _FI, _QT))
+@query("accruals", twin(f"SELECT symbol, fy, fp, round({_clip('(rev - inc - lag(rev - inc) OVER s) / nullif((ytd + lag(ytd) OVER s) / 2, 0)', -1, 1)}, 6) + 0 AS accruals FROM qt WINDOW s AS (PARTITION BY symbol ORDER BY fy, fp)", _Q, _FI, _QT))
 def accruals(spark, sf_dir) -> DataFrame:
     s = Window.partitionBy("symbol").orderBy("fy", "fp")
     gap = F.col("rev") - F.col("inc")
