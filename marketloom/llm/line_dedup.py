@@ -42,8 +42,8 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     first = stored(first, "line-repeats")
     # texts of the kept copies: each document is asked for its own chunks
     asked = first.select("_key", "_first.*").groupBy("doc_id", "_text").agg(F.collect_list(F.struct("_no", "_key")).alias("_asked"))
-    kept = rows.join(asked, ["doc_id", "_text"]).select(F.explode(F.expr("transform(_asked, a -> struct(a._key as _key, struct(doc_id, _text, a._no as _no) as _first, chunks[a._no].text as _kept))")).alias("x")).select("x.*").dropDuplicates(["_key"])
-    kept = stored(kept, "line-kept")  # one join of two plain tables on the key: Spark can split a hot chunk's rows
+    kept = rows.join(asked, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"])  # before the exchange on the key, so that Spark can split a hot chunk's rows in the join
+    kept = kept.select(F.explode(F.expr("transform(_asked, a -> struct(a._key as _key, struct(doc_id, _text, a._no as _no) as _first, chunks[a._no].text as _kept))")).alias("x")).select("x.*")
     others = seen.join(kept, "_key").where(F.struct("doc_id", "_text", "_no") != F.col("_first"))
     others = others.groupBy("doc_id", "_text").agg(F.collect_list(F.struct("_no", "_kept")).alias("_others"))
     out = rows.join(others, ["doc_id", "_text"], "left")
