@@ -208,7 +208,7 @@ def holdings_mtm(spark, sf_dir) -> DataFrame:
     h = trades(spark, sf_dir).where("side = 'BUY'").groupBy("user_id", "symbol").agg(F.sum("quantity").alias("quantity"), (F.sum(F.col("quantity") * F.col("price")) / F.sum("quantity")).alias("cost"))
     last = bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "date").alias("last"))
     value = F.col("quantity") * F.col("last")
-    return h.join(last, "symbol").select("user_id", "symbol", "quantity", F.round(value, 4).alias("value"), F.round(100 * value / F.sum(value).over(Window.partitionBy("user_id")), 4).alias("weight"), F.round(100 * F.try_divide(F.col("last") - F.col("cost"), F.nullif("cost", F.lit(0.0))), 4).alias("pnl_pct"))
+    return h.join(last, "symbol").select("user_id", "symbol", "quantity", (F.floor(value * 10000 + 0.5) / 10000).alias("value"), F.round(100 * value / F.sum(value).over(Window.partitionBy("user_id")), 4).alias("weight"), F.round(100 * F.try_divide(F.col("last") - F.col("cost"), F.nullif("cost", F.lit(0.0))), 4).alias("pnl_pct"))
 
 
 @query("catalogue_union", twin("SELECT symbol, event_type AS kind, max(ts) AS last_ts FROM ticks GROUP BY ALL UNION ALL SELECT s, 'index', NULL FROM (SELECT unnest(['S1', 'IDX']) AS s) WHERE s NOT IN (SELECT symbol FROM ticks)"))
