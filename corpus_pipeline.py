@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import stored, table
-from marketloom.llm.decontaminate import contamination
+from marketloom.llm.decontaminate import contaminated_rows, row_key
 from marketloom.llm.mixing import mix_sources
-from marketloom.llm.near_dedup import near_duplicates
+from marketloom.llm.near_dedup import representatives
 from marketloom.llm.quality import quality_filter
 from marketloom.llm.sharding import shard_documents
 
@@ -27,15 +27,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id (of rows equal in id, one)."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicates: the smallest id (null last), then the smallest hash of the text.
+
+    Rows count as the same only where both id and text are equal, so null or repeated ids cost no text.
+    """
+    kept = representatives(docs).withColumnRenamed("_text", "_kept")
+    docs = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
+    taken = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.col("_text") == F.col("_kept")), "left_semi")
+    return taken.dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """Documents without a word inside a benchmark window; of rows with one id, only those whose text has one go."""
+    hit = contaminated_rows(docs, table(spark, sf_dir, "benchmark"))
+    return docs.select("*", *row_key()).join(hit, ["_id", "_th"], "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

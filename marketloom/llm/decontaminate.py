@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import mixed, powers, slices
@@ -133,13 +133,23 @@ def _scan(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
                     [ids.take(own), ths.take(own), none(pa.int64(), len(at)), pa.array(np.full(len(at), length, dtype=np.int32)), pa.array(h[found][pick].view(np.int64)), pa.array((at - first[owner]).astype(np.int32)), pa.array((at - low).astype(np.int32)), pa.array(ctx, pa.string())], names=names,
                 )
 
-    text = text_or_empty()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    doc_id, th = row_key()
+    rows = docs.select(doc_id.alias("doc_id"), th.alias("th"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "doc_id long, th long, n_words long, length int, h long, p int, skip int, ctx string")
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def row_key() -> list[Column]:
+    """What tells documents apart: doc_id (null as the smallest long) and a hash of the text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text_or_empty()).alias("_th")]
+
+
+def contaminated_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(_id, _th): the row keys of the documents that share a window with an item."""
+    return _hits(docs, items)[2].select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+
+
+def _hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The items' windows, the documents' scan, and the documents' windows that match word for word."""
     windows = stored(item_windows(items), "bench-windows")
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most WINDOW values
     scan = stored(_scan(docs, lengths, _bit_map(windows)), "bench-scan")
@@ -147,7 +157,13 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     asked = windows.select("length", "h", "off", "words").distinct()
     hits = scan.where("length is not null").join(asked, ["length", "h"]).withColumn("s", F.col("p") - F.col("off")).withColumn("lead", F.col("skip") - F.col("off"))
     hits = hits.where("lead >= 0 and array_join(slice(split(ctx, ' '), lead + 1, length), ' ') = words").select(*key, "s", "length", "words").distinct()
-    hits = stored(hits, "bench-hits")
+    return windows, scan, stored(hits, "bench-hits")
+
+
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    windows, scan, hits = _hits(docs, items)
+    key = ["doc_id", "th"]
     order = Window.partitionBy(*key).orderBy("s", "length")
     reach = F.coalesce(F.max(F.col("s") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = hits.withColumn("_new", F.greatest(F.lit(0), F.col("s") + F.col("length") - F.greatest(F.col("s"), reach))).groupBy(*key).agg(F.sum("_new").alias("n_hit"))

@@ -64,3 +64,21 @@ def test_stages_take_nulls_repeats_and_extra_columns(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_null_and_repeated_ids_cost_no_text(spark):
+    own = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(8)]
+    ids = [None, None, None, 5, 5, 5, 6, 7]  # every text is its own group
+    rows = list(zip(ids, own)) + [(None, own[0]), (5, own[3]), (9, own[4]), (2, own[7]), (None, None), (None, "")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    got = [(r.doc_id, r.text or "") for r in kept.collect()]
+    want = [(None, own[0]), (None, own[1]), (None, own[2]), (5, own[3]), (5, own[4]), (5, own[5]), (6, own[6]), (2, own[7]), (None, "")]
+    assert kept.columns == ["doc_id", "text"] and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_contaminated_row_takes_only_its_own_text(spark):
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    clean = [(i, f"clean text {n} with words of its own") for n, i in enumerate([None, None, 4, 4, 8])]
+    rows = [*clean, (None, f"before {item} after"), (4, f"again {item} here"), (4, f"again {item} here")]
+    left = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert left.columns == ["doc_id", "text"] and sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, clean))
