@@ -42,14 +42,15 @@ def pooled_position(df: DataFrame, time: str, tie: list[str]) -> DataFrame:
     return df.withColumn("_in", inside).join(days, time).withColumn("pos", F.col("_before") + F.col("_in")).drop("_in", "_before")
 
 
-def purged_folds(events: DataFrame, k: int = 5, embargo: int = 7) -> DataFrame:
+def purged_folds(events: DataFrame, k: int = 5, embargo: int = 7, whole: bool = False) -> DataFrame:
     """Walk-forward folds over pooled events (with ``pos`` and t1): fold, role (train or test) and the event's columns.
 
     Training events lie before the test block and end before the event ``embargo`` rows ahead of it.
+    With ``whole`` the last test block takes the events that the division leaves over.
     """
     n = events.agg(F.max("pos").alias("m")).first()["m"]
     size = ((n if n is not None else -1) + 1) // (k + 1)
-    starts = [(f, f * size, (f + 1) * size, max(0, f * size - embargo)) for f in range(1, k + 1)]
+    starts = [(f, f * size, n + 1 if whole and f == k and n is not None else (f + 1) * size, max(0, f * size - embargo)) for f in range(1, k + 1)]
     at = {r["pos"]: r["date"] for r in events.where(F.col("pos").isin([s[3] for s in starts])).select("pos", "date").collect()}  # k rows
     bounds = events.sparkSession.createDataFrame([(f, a, b, at.get(c)) for f, a, b, c in starts], "fold int, a long, b long, before date")
     test = (F.col("pos") >= F.col("a")) & (F.col("pos") < F.col("b"))

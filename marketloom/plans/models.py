@@ -16,6 +16,7 @@ from ..sources.logical import SQL, bars, twin
 from .learning import events
 
 _W = "(PARTITION BY symbol ORDER BY date"
+FOLDS = 6
 
 
 def features(spark, sf_dir) -> DataFrame:
@@ -26,33 +27,35 @@ def features(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).join(f, ["symbol", "date"]).dropna().withColumn("y", (F.col("label") > 0).cast("double"))
 
 
-def out_of_fold(spark, sf_dir, model: str) -> DataFrame:
-    """Scores of test rows by a model trained on the purged rows before them; at most two folds here."""
+def out_of_fold(rows: DataFrame, model: str) -> DataFrame:
+    """Scores of test rows by a model trained on the purged rows before them: ``FOLDS`` walk-forward folds, as in the surveyed evaluation.
+
+    A fold without training rows is left out; the last one reaches the last event.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = pooled_position(features(spark, sf_dir), "date", ["symbol"]).cache()
-    folds = purged_folds(rows, k=2)
+    rows = pooled_position(rows, "date", ["symbol"]).cache()
+    folds = purged_folds(rows, k=FOLDS, whole=True)
     learner = GBTClassifier(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=7) if model == "gbt" else LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=0.5, regParam=0.01)
-    out = None
-    for k in (1, 2):
+    out = folds.where("false").select("symbol", "date", "fold", "y", F.lit(0.0).alias("p"))
+    for k in sorted(r["fold"] for r in folds.where("role = 'train'").select("fold").distinct().collect()):
         part = folds.where(F.col("fold") == k)
         fitted = Pipeline(stages=[VectorAssembler(inputCols=["sma5", "sma20", "vol20", "r1", "r5"], outputCol="x"), learner]).fit(part.where("role = 'train'"))
-        scored = fitted.transform(part.where("role = 'test'")).select("symbol", "date", "fold", "y", vector_to_array("probability")[1].alias("p"))
-        out = scored if out is None else out.unionByName(scored)
+        out = out.unionByName(fitted.transform(part.where("role = 'test'")).select("symbol", "date", "fold", "y", vector_to_array("probability")[1].alias("p")))
     return out
 
 
 @query("oof_gbt")
 def oof_gbt(spark, sf_dir) -> DataFrame:
-    return out_of_fold(spark, sf_dir, "gbt").withColumn("p", r6(F.col("p")))
+    return out_of_fold(features(spark, sf_dir), "gbt").withColumn("p", r6(F.col("p")))
 
 
 @query("oof_logistic")
 def oof_logistic(spark, sf_dir) -> DataFrame:
-    return out_of_fold(spark, sf_dir, "logistic").withColumn("p", r6(F.col("p")))
+    return out_of_fold(features(spark, sf_dir), "logistic").withColumn("p", r6(F.col("p")))
 
 
 _VOL = ("WITH RECURSIVE bars AS (" + SQL["bars"] + f"),\nr2 AS (SELECT symbol, date, pow(ln(close / lag(close) OVER {_W})), 2) AS x FROM bars),\n" + smooth_sql("r2", "x", 0.06, "e", 10)

@@ -149,3 +149,26 @@ def test_tolerant_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("open_time,value\n1,2.5\n2,x\n")
     got = read_csv(spark, str(tmp_path / "a.csv"), {"t": "bigint", "v": "double"}, header=False).collect()
     assert sorted((r.t, r.v) for r in got) == [(1, 2.5), (2, None)]
+
+
+def test_out_of_fold_scores_every_event_after_the_first_block(spark):
+    import random
+    from datetime import date, timedelta
+
+    from marketloom.plans.models import out_of_fold
+
+    rng, rows = random.Random(3), []
+    for d in range(41):
+        for s in "abc":
+            x = rng.uniform(-1, 1)
+            rows.append((s, date(2024, 1, 1) + timedelta(d), date(2024, 1, 6) + timedelta(d), x, *[rng.uniform(-1, 1) for _ in range(4)], float(x > 0)))
+    df = spark.createDataFrame(rows, "symbol string, date date, t1 date, sma5 double, sma20 double, vol20 double, r1 double, r5 double, y double")
+    got = out_of_fold(df, "logistic").collect()
+    size = len(rows) // 7  # 123 events in order of (date, symbol): blocks of 17, the last one takes 4 more
+    want = {(r[0], r[1]): min(i // size, 6) for i, r in enumerate(rows) if i >= 2 * size}  # nothing ends before fold 1's embargo
+    fold_1 = {(r[0], r[1]) for i, r in enumerate(rows) if size <= i < 2 * size}
+    trainable = any(r[2] < rows[size - 7][1] for r in rows[:size])
+    want |= dict.fromkeys(fold_1, 1) if trainable else {}
+    assert len(got) == len(want) and {(r.symbol, r.date): r.fold for r in got} == want
+    late = [r for r in got if r.fold >= 3]
+    assert sum((r.p > 0.5) == (r.y > 0.5) for r in late) > 0.85 * len(late)
