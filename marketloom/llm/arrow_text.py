@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text still goes whole.
 SLICE_BYTES = 2 << 20
+#: Longer texts are worked off in pieces of about so many bytes.
+PIECE = 1 << 20
+_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -35,3 +40,19 @@ def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
+
+
+def pieces(text: bytes, overlap: int, limit: int = PIECE) -> Iterator[bytes]:
+    """Cut a long text between words; each piece begins with the last ``overlap`` words of the one before and has more words than that."""
+    at = 0
+    while len(text) - at > limit:
+        end, words = at, []
+        while end < len(text) and len(words) <= overlap:
+            blank = _BLANK.search(text, min(len(text), end + limit))
+            end = blank.start() if blank else len(text)
+            words = text[at:end].rsplit(None, overlap)
+        if end == len(text):
+            break
+        yield text[at:end]
+        at = at + len(words[0]) if overlap else end
+    yield text[at:]

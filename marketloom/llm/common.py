@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="marketloom-")
         context.setCheckpointDir(base)
     return base
@@ -39,6 +42,30 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+MAP_BITS = 23
+
+
+def bit_map(df: DataFrame, column: str) -> np.ndarray:
+    """One bit for each slot that some value of a long column falls into: 2^MAP_BITS bits, however many values there are."""
+    slots = df.select(F.col(column).bitwiseAND(F.lit((1 << MAP_BITS) - 1).cast("long")).alias("slot"))
+    parts = slots.groupBy(F.shiftright("slot", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 5), dtype=np.uint32)
+    out[parts.column("at").to_numpy()] = parts.column("bits").to_numpy()
+    return out
+
+
+def in_bit_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the (unsigned 64-bit) values may be in the map."""
+    slot = values & np.uint64((1 << MAP_BITS) - 1)
+    return ((bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """Inner join with a side that has one row per key; a hot key's rows are dealt to ``salts`` tasks by a hash of ``by``."""
+    one = one.withColumn("_salt", F.explode(F.expr(f"sequence(0, {salts - 1})")))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(one, [key, "_salt"]).drop("_salt")
+
+
 def with_prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str], tag: str) -> DataFrame:
     """Add, for each ``{new: column}`` of ``sums``, the sum of ``column`` over all rows before this one in ``order``.
 

@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import mixed, powers, slices
-from .common import stored, text_or_empty
+from .common import bit_map, in_bit_map, stored, text_or_empty
 
-WINDOW, GRAM, MAP_BITS = 10, 5, 23
+WINDOW, GRAM = 10, 5
 #: Lower-case A-Z; blanks for the other characters below 0x80 that are no letter or digit.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _IN_WORD, _IN_GRAM = powers(0x9E3779B97F4A7C15, 4096), powers(0xC2B2AE3D27D4EB4F, GRAM)
@@ -93,22 +93,11 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return items.select(F.col(id_col).cast("long").alias("item_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "item_id long, length int, h long, off int, words string")
 
 
-def _bit_map(windows: DataFrame) -> np.ndarray:
-    """One bit for each slot that some item's fingerprint falls into: 2^MAP_BITS bits, however many items there are."""
-    slots = windows.select(F.col("h").bitwiseAND(F.lit((1 << MAP_BITS) - 1).cast("long")).alias("slot"))
-    parts = slots.groupBy(F.shiftright("slot", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).collect()
-    out = np.zeros(1 << (MAP_BITS - 5), dtype=np.uint32)
-    for r in parts:
-        out[r["at"]] = r["bits"]
-    return out
-
-
 def _scan(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
     """A row (length null) for each document, and a row for each of its fingerprints that the bit map lets through."""
     held = docs.sparkSession.sparkContext.broadcast(bits)  # 1 MB, fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, mask = held.value, np.uint64((1 << MAP_BITS) - 1)
         names = ["doc_id", "th", "n_words", "length", "h", "p", "skip", "ctx"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
         for batch, texts in slices(batches):
@@ -119,8 +108,7 @@ def _scan(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
             for length in lengths:
                 k = min(GRAM, length)
                 start, h, off = words.winnow(length)
-                slot = h & mask
-                found = np.flatnonzero((table[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+                found = np.flatnonzero(in_bit_map(held.value, h))
                 at, pick = np.unique(start[found] + off[found], return_index=True)
                 if not len(at):
                     continue
@@ -152,7 +140,7 @@ def _hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, Data
     """The items' windows, the documents' scan, and the documents' windows that match word for word."""
     windows = stored(item_windows(items), "bench-windows")
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most WINDOW values
-    scan = stored(_scan(docs, lengths, _bit_map(windows)), "bench-scan")
+    scan = stored(_scan(docs, lengths, bit_map(windows, "h")), "bench-scan")
     key = ["doc_id", "th"]
     asked = windows.select("length", "h", "off", "words").distinct()
     hits = scan.where("length is not null").join(asked, ["length", "h"]).withColumn("s", F.col("p") - F.col("off")).withColumn("lead", F.col("skip") - F.col("off"))
