@@ -27,9 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the smallest id (null last), then the smallest hash of the text.
+    """One row of each group of near-duplicates (Jaccard similarity of 5-word shingles of 0.8 or more, and what that reaches): the
+    smallest id (null last), then the smallest hash of the text.
 
-    Rows count as the same only where both id and text are equal, so null or repeated ids cost no text.
+    Null, empty and blank texts are one group.  Rows count as the same only where both id and text are equal, so null or repeated ids cost no text.
     """
     kept = representatives(docs).withColumnRenamed("_text", "_kept")
     docs = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
