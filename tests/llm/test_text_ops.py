@@ -9,6 +9,7 @@ import numpy as np
 from marketloom.llm.decontaminate import Words, contamination
 from marketloom.llm.langid import identify
 from marketloom.llm.parsing import SKETCH, edited_likeness, likeness, sketches
+from marketloom.llm import quality
 from marketloom.llm.quality import fit_labellers, pattern_counts, quality_filter, quality_scores
 from marketloom.llm.warc import END, MAGIC, archive_pages, read_warc
 
@@ -146,8 +147,92 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     kept = quality_filter(df)
     assert kept.columns == df.columns and kept.count() == sum(r.keep for r in got)
     assert quality_scores(df.limit(0)).count() == 0
-    counts = pattern_counts(df)
-    assert sum(counts.values()) == len(rows) and 0.7 < fit_labellers(counts)[1][0] < 0.95
+    counts, size = pattern_counts(df)
+    assert sum(counts.values()) == len(rows) and size == sum(len((t or "").encode()) for _, t in rows) and 0.7 < fit_labellers(counts)[1][0] < 0.95
+
+
+def test_scores_do_not_depend_on_partitions_or_neighbours(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, "en", rng.randint(1, 40)) for _ in range(60)] + ["A! B!! $$$ " * 9] * 3
+    rows = [(i, t) for i, t in enumerate(texts * 3)] + [(None, texts[0])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, DOC)
+    runs = [{(r.doc_id, r.score) for r in quality_scores(df.repartition(n)).collect()} for n in (1, 4, 211)]
+    assert runs[0] == runs[1] == runs[2]
+    by_text = {}
+    for i, s in runs[0]:
+        by_text.setdefault(texts[(i or 0) % len(texts)], set()).add(s)
+    assert all(len(s) == 1 for s in by_text.values())
+
+
+def test_scorer_equals_a_plain_loop():
+    rng = np.random.default_rng(2)
+    weights = rng.integers(-(2**34), 2**34, (1 << quality.BUCKET_BITS) + 1)
+    texts = [b"Some words, SOME words.", b"x", b"one two two three!!", ("é" * 90).encode(), b""]
+
+    def plain(text):
+        padded, total = text + b"    ", 0
+        for i in range(len(text) + 1):
+            wide = int.from_bytes(padded[i : i + 4], "little")
+            total += int(weights[(wide * 2654435761 & 0xFFFFFFFF) >> (32 - quality.BUCKET_BITS)])
+        stats = np.array([quality.statistics(text)])
+        z = (4 * total / (len(text) + 1) + int(weights[quality._stat_buckets(stats)].sum()) + int(weights[-1])) / 2**32
+        return 1 / (1 + np.exp(-min(50, max(-50, z)))) if text.split() else 0.0
+
+    assert np.allclose(quality._score(texts, weights), [plain(t) for t in texts], rtol=1e-12)
+    long = b"Words of a long text, with GREAT pieces. " * 60_000  # 2.5 MB: piece by piece
+    got = quality._score([long, texts[0]], weights)
+    grams, counts = quality._grams([long])
+    z = (4 * (weights[grams].sum() / counts[0]) + weights[quality._stat_buckets(np.array([quality.statistics(long)]))].sum() + weights[-1]) / 2**32
+    assert got[0] == 1 / (1 + np.exp(-np.clip(z, -50, 50))) and got[1] == quality._score(texts[:1], weights)[0]
+
+
+def test_statistics_equal_a_plain_loop():
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["Word", "UP", "up", "up", "mark!", "$$", "é"]) for _ in range(300_000))
+    words = text.split()
+    n = len(words)
+    got = quality.statistics(text.encode())
+    assert got[0] == n and got[2] == sum(w[-1] in "#$%&*|!~^=" for w in words) / n and got[4] == sum(w.isupper() and w.isascii() for w in words) / n
+    assert got[7] == len(set(words)) / n and got[8] == sum(a == b for a, b in zip(words, words[1:])) / (n - 1) and got[9] == sum(len(w.encode()) for w in words) / n
+
+
+def test_labeller_accuracies_equal_plain_em():
+    rng = random.Random(5)
+    m = len(quality.LABELLERS)
+    counts = {}
+    for _ in range(4000):
+        kind = rng.choices([0, 1, 2, 3], [7, 1, 1, 1])[0]
+        votes = [2 if rng.random() < 0.2 else 0 if rng.random() < (0.7 if quality.KINDS[j] == kind else 0.02) else 1 for j in range(m)]
+        key = sum(v * 3**j for j, v in enumerate(votes))
+        counts[key] = counts.get(key, 0) + 1
+    table, share, posterior = fit_labellers(counts, 15)
+    pats = {p: [p // 3**j % 3 for j in range(m)] for p in counts}
+    total = sum(counts.values())
+
+    def normal(xs):
+        return [x / sum(xs) for x in xs]
+
+    belief = {p: normal([np.exp(3.0 * sum(v[j] == 0 and quality.KINDS[j] == c for j in range(m))) for c in range(4)]) for p, v in pats.items()}
+    for _ in range(15):
+        shares = [max(sum(counts[p] * belief[p][c] for p in pats) / total, 1e-4) for c in range(4)]
+        bad = [[0.0] * 4 for _ in range(m)]
+        for j in range(m):
+            for c in range(4):
+                said = sum(counts[p] * belief[p][c] for p, v in pats.items() if v[j] == 0)
+                seen = sum(counts[p] * belief[p][c] for p, v in pats.items() if v[j] != 2)
+                prior = 0.6 if quality.KINDS[j] == c else 0.01
+                bad[j][c] = (said + quality.ANCHOR * total * prior) / (seen + quality.ANCHOR * total)
+        belief = {p: normal([shares[c] * np.prod([bad[j][c] if v[j] == 0 else 1 - bad[j][c] if v[j] == 1 else 1.0 for j in range(m)]) for c in range(4)]) for p, v in pats.items()}
+    assert np.allclose(table, bad, rtol=1e-6) and np.allclose(share, shares, rtol=1e-6)
+    assert all(abs(posterior[p] - belief[p][0]) < 1e-6 for p in pats)
+
+
+def test_nothing_to_train_on(spark):
+    for rows in ([(1, None), (2, None)], [(1, ""), (None, "")], [(1, " \n"), (2, None)]):
+        df = spark.createDataFrame(rows, DOC)
+        assert [(r.score, r.keep) for r in quality_scores(df).collect()] == [(0.0, False)] * len(rows)
+        assert quality_filter(df).count() == 0
 
 
 def pages_of(spark, rows):
