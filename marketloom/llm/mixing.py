@@ -3,26 +3,32 @@
 The token budget flows down a domain - language - source tree.  At every node it is split among the
 children by weight; a child that cannot use its share (its tokens times ``max_epochs`` fall short) leaves
 the rest to its siblings, and only what a whole subtree cannot use goes to the siblings of its parent.
-That is a capped proportional split per node, solved in closed form with windows over the (small) tree.
+That is a capped proportional split per node.  Children are ordered by cap over weight, and prefix sums over
+ranges of all nodes of a level tell which are filled; no task holds all children of a node.
 A leaf with q full epochs and a remainder r takes each document q times, and the first r tokens of a
 seeded shuffle of epoch q.  Splits are exact integers: the shares of a node sum to its budget.
 
-Tokens are counted as ``ceil(bytes / 4)``.  The document that crosses the remainder is selected, and
-``used_tokens`` counts only the tokens inside the budget.
+Target weights are given per level as a table with a column ``weight`` (whole numbers) and any of the level's own and the upper
+levels' names; a node that the table lacks weighs 1, and one that weighs 0 or less (or null) takes nothing.  A level without
+a table weighs its nodes by floor(sqrt(tokens)), at least 1.  Tokens are counted as ``ceil(bytes / 4)`` unless a column
+of counts is given (such as ``n_tokens`` of the token counts); null or negative counts are 0.  The document that crosses the
+remainder is selected, and ``used_tokens`` counts only the tokens inside the budget.
 
-Defined cases: null lang, source or domain is the branch ``und``; null and empty texts hold no tokens and
-are never selected; equal rows are separate rows (ordered by id, then text hash); an empty table
-gives an empty result.  Further input columns are ignored.
+Defined cases: null lang, source or domain is the branch ``und``; documents without tokens (null and empty texts)
+are never selected; equal rows are separate rows (ordered by id, then text hash); rows that tie in all of these
+are interchangeable; an empty table gives an empty result.  Further input columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty, with_prefix_sums
+from .common import salted_join, stored, text_or_empty, with_prefix_sums
 
 LEVELS = ("domain", "lang", "source")
+#: Production targets of languages inside each domain; other languages weigh 1.
+LANGUAGE_WEIGHTS = {"en": 4, "de": 2, "es": 2, "fr": 2}
 
 
 def source_domain(source: Column) -> Column:
@@ -33,51 +39,74 @@ def source_domain(source: Column) -> Column:
 
 def _split(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """Split ``budget`` of each parent over its children (``cap``, ``weight``): capped shares, exact in integers."""
-    group = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    filled = group.orderBy(F.col("cap") / F.col("weight"), name)
-    until, rest = filled.rowsBetween(Window.unboundedPreceding, -1), filled.rowsBetween(0, Window.unboundedFollowing)
     big = lambda c: c.cast("decimal(19,0)")
-    out = nodes.withColumn("_left", F.col("budget") - F.coalesce(F.sum("cap").over(until), F.lit(0))).withColumn("_weights", F.sum("weight").over(rest))
-    out = out.withColumn("_full", big(F.col("cap")) * big(F.col("_weights")) <= big(F.col("weight")) * big(F.col("_left")))
-    out = out.withColumn("_spare", F.col("budget") - F.sum(F.when(F.col("_full"), F.col("cap")).otherwise(0)).over(group))
-    open_weight = F.when(F.col("_full"), 0).otherwise(F.col("weight"))
-    out = out.withColumn("_open", F.sum(open_weight).over(group)).withColumn("_upto", F.sum(open_weight).over(filled.rowsBetween(Window.unboundedPreceding, 0)))
-    for n, upto in (("_hi", F.col("_upto")), ("_lo", F.col("_upto") - F.col("weight"))):
-        out = out.withColumn("_a", big(F.col("_spare")) * big(upto)).withColumn("_b", big(F.col("_open"))).withColumn(n, F.expr("if(_b = 0, 0L, _a div _b)"))
-    return out.withColumn("share", F.when(F.col("_full"), F.col("cap")).otherwise(F.col("_hi") - F.col("_lo"))).drop("_left", "_weights", "_full", "_spare", "_open", "_upto", "_hi", "_lo", "_a", "_b")
-
-
-def leaf_budgets(leaves: DataFrame, budget_share: float, max_epochs: int) -> DataFrame:
-    """Propagate the budget (a share of all tokens) from the root to the leaves (domain, lang, source, tokens)."""
-    per_mille = int(round(budget_share * 1000))
-    parents = leaves.agg(F.floor(F.sum("tokens") * per_mille / 1000).cast("long").alias("budget"))
+    group = [F.col(c) for c in parent] or [F.lit(0).alias("_root")]
+    keys = parent or ["_root"]
+    nodes = nodes.withColumn("_ratio", F.col("cap") / F.col("weight"))
+    out = with_prefix_sums(nodes, [*parent, "_ratio", name], {"_caps": "cap", "_weights": "weight"}, "mix-nodes").withColumn("_root", F.lit(0))
+    sums = out.groupBy(*keys).agg(F.min("_caps").alias("_caps0"), F.min("_weights").alias("_weights0"), F.sum("weight").alias("_all"))
+    out = salted_join(out, sums, keys, name)
+    left, rest = F.col("budget") - (F.col("_caps") - F.col("_caps0")), F.col("_all") - (F.col("_weights") - F.col("_weights0"))
+    out = stored(out.withColumn("_filled", big(F.col("cap")) * big(rest) <= big(F.col("weight")) * big(left)), "mix-filled")
+    filled = F.col("_filled")
+    sums = out.groupBy(*keys).agg(F.sum(F.when(filled, F.col("cap")).otherwise(0)).alias("_used"), F.sum(F.when(filled, F.col("weight")).otherwise(0)).alias("_done"))
+    out = salted_join(out, sums, keys, name)
+    upto = F.col("_weights") - F.col("_weights0") - F.col("_done")  # of the open siblings before this one: filled ones come first
+    out = out.withColumn("_a", big(F.col("budget") - F.col("_used"))).withColumn("_b", big(F.col("_all") - F.col("_done")))
+    out = out.withColumn("_lo", big(upto)).withColumn("_hi", big(upto + F.col("weight")))
+    return out.withColumn("share", F.expr("if(_filled, cap, if(_b = 0, 0L, _a * _hi div _b - _a * _lo div _b))"))
+
+
+def _weighted(nodes: DataFrame, level: str, weights: dict[str, DataFrame]) -> DataFrame:
+    """Add ``weight`` to the nodes (with ``tokens``) of a level."""
+    if level not in weights:
+        return nodes.withColumn("weight", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("tokens").cast("double"))).cast("long")))
+    given = weights[level]
+    keys = [c for c in LEVELS if c in given.columns]
+    given = given.groupBy(*keys).agg(F.max(F.coalesce(F.col("weight"), F.lit(0))).cast("long").alias("weight"))
+    return nodes.join(given, keys, "left").withColumn("weight", F.greatest(F.lit(0), F.coalesce("weight", F.lit(1))).cast("long"))
+
+
+def leaf_budgets(leaves: DataFrame, budget_share: float, max_epochs: int, weights: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Propagate the budget (a share of all tokens, in thousandths) from the root to the leaves (domain, lang, source, tokens)."""
+    weights, per_mille = weights or {}, int(round(budget_share * 1000))
+    parents = leaves.agg(F.expr(f"coalesce(sum(cast(tokens as decimal(19,0))) * {per_mille} div 1000, 0L)").alias("budget"))
+    for depth in range(1, len(LEVELS) + 1):  # a leaf under a node that weighs nothing takes no part
+        if (level := LEVELS[depth - 1]) in weights:
+            nodes = _weighted(leaves.groupBy(*LEVELS[:depth]).agg(F.sum("tokens").alias("tokens")), level, weights)
+            leaves = leaves.join(nodes.where("weight > 0").select(*LEVELS[:depth]), list(LEVELS[:depth]), "left_semi")
     for depth in range(1, len(LEVELS) + 1):
         keys, parent = list(LEVELS[:depth]), list(LEVELS[: depth - 1])
         nodes = leaves.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs)
-        nodes = nodes.withColumn("weight", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("tokens").cast("double"))).cast("long")))
-        nodes = nodes.join(parents, parent) if parent else nodes.crossJoin(F.broadcast(parents))  # the root is one row
-        parents = _split(nodes, parent, keys[-1]).select(*keys, "tokens", F.col("share").alias("budget")) if depth == len(LEVELS) else _split(nodes, parent, keys[-1]).select(*keys, F.col("share").alias("budget"))
+        nodes = _weighted(nodes, LEVELS[depth - 1], weights)
+        nodes = salted_join(nodes, parents, parent, keys[-1]) if parent else nodes.crossJoin(F.broadcast(parents))  # the root is one row
+        parents = _split(nodes, parent, keys[-1]).select(*keys, *(["tokens"] if depth == len(LEVELS) else []), F.col("share").alias("budget"))
     return parents
 
 
-def mix_sources(docs: DataFrame, seed: int = 42, budget_share: float = 1.0, max_epochs: int = 2, domain: Column | None = None) -> DataFrame:
+def mix_sources(
+    docs: DataFrame, seed: int = 42, budget_share: float = 1.0, max_epochs: int = 2, domain: Column | None = None, weights: dict[str, DataFrame] | None = None, tokens: Column | None = None
+) -> DataFrame:
     """Documents that the mix takes: id, branch, tokens, copies (epochs that include it) and used_tokens."""
     domain = source_domain(F.col("source")) if domain is None else domain
-    text = text_or_empty()
-    base = docs.select("doc_id", F.coalesce(domain, F.lit("und")).alias("domain"), *[F.coalesce(F.col(c), F.lit("und")).alias(c) for c in LEVELS[1:]], F.expr("cast((octet_length(coalesce(text, '')) + 3) div 4 as long)").alias("tokens"), F.md5(text).alias("_text"))
+    tokens = F.expr("(octet_length(coalesce(text, '')) + 3) div 4") if tokens is None else tokens
+    base = docs.select("doc_id", F.coalesce(domain, F.lit("und")).alias("domain"), *[F.coalesce(F.col(c), F.lit("und")).alias(c) for c in LEVELS[1:]], tokens.cast("long").alias("tokens"), F.md5(text_or_empty()).alias("_text"))
     base = stored(base.where("tokens > 0"), "mix-base")
-    leaves = base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
-    plan = leaf_budgets(leaves, budget_share, max_epochs)
-    plan = plan.select(*LEVELS, F.col("tokens").alias("_leaf"), F.expr("budget div tokens").alias("_full"), F.expr("budget % tokens").alias("_rest"))
-    picked = base.join(plan, list(LEVELS)).withColumn("_turn", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    order = [*LEVELS, "_turn", "doc_id", "_text"]
-    picked = with_prefix_sums(picked, order, {"_before": "tokens"}, "mix-order")
-    starts = plan.select(*LEVELS, F.coalesce(F.sum("_leaf").over(Window.orderBy(*LEVELS).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    picked = picked.join(starts, list(LEVELS)).withColumn("_inside", F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("_rest") - (F.col("_before") - F.col("_start")))))
+    leaves = stored(base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
+    plan = with_prefix_sums(leaf_budgets(leaves, budget_share, max_epochs, weights), list(LEVELS), {"_start": "tokens"}, "mix-plan")
+    plan = stored(plan.select(*LEVELS, "_start", F.expr("budget div tokens").alias("_full"), F.expr("budget % tokens").alias("_rest")), "mix-plan")
+    picked = salted_join(base, plan, list(LEVELS), "_text").withColumn("_turn", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    picked = with_prefix_sums(picked, [*LEVELS, "_turn", "doc_id", "_text"], {"_before": "tokens"}, "mix-order")
+    picked = picked.withColumn("_inside", F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("_rest") - (F.col("_before") - F.col("_start")))))
     picked = picked.withColumn("copies", (F.col("_full") + F.when(F.col("_inside") > 0, 1).otherwise(0)).cast("int")).where("copies > 0")
     return picked.select("doc_id", *LEVELS, "tokens", "copies", (F.col("_full") * F.col("tokens") + F.col("_inside")).alias("used_tokens"), "_text")
 
 
+def target_weights(spark: SparkSession) -> dict[str, DataFrame]:
+    """The production targets, as tables of weights."""
+    return {"lang": spark.createDataFrame(sorted(LANGUAGE_WEIGHTS.items()), "lang string, weight long")}
+
+
 _BIG = "HUGEINT"
 
 
@@ -96,7 +125,10 @@ def _sql_split(src: str, parent: tuple[str, ...], keys: tuple[str, ...]) -> str:
 def _sql_nodes(keys: tuple[str, ...], parent: str, parent_keys: tuple[str, ...]) -> str:
     joined = f"JOIN {parent} p USING ({', '.join(parent_keys)})" if parent_keys else f"CROSS JOIN {parent} p"
     names = ", ".join(keys)
-    return f"(SELECT n.*, p.budget, n.tokens * 2 AS cap, greatest(1, floor(sqrt(n.tokens::DOUBLE))::BIGINT) AS weight FROM (SELECT {names}, sum(tokens)::BIGINT AS tokens FROM leaves GROUP BY {names}) n {joined})"
+    weight = "greatest(1, floor(sqrt(n.tokens::DOUBLE))::BIGINT)"
+    if keys[-1] == "lang":
+        weight = f"CASE n.lang {' '.join(f"WHEN '{k}' THEN {w}" for k, w in LANGUAGE_WEIGHTS.items())} ELSE 1 END"
+    return f"(SELECT n.*, p.budget, n.tokens * 2 AS cap, {weight} AS weight FROM (SELECT {names}, sum(tokens)::BIGINT AS tokens FROM leaves GROUP BY {names}) n {joined})"
 
 
 MIX_SQL = f"""

@@ -11,7 +11,7 @@ from .common import table
 from .decontaminate import CONTAMINATION_SQL, contamination
 from .langid import identify
 from .line_dedup import LINES_SQL, dedup_lines
-from .mixing import MIX_SQL, mix_sources
+from .mixing import MIX_SQL, mix_sources, target_weights
 from .near_dedup import near_duplicates
 from .parsing import edited_likeness
 from .quality import quality_scores
@@ -56,7 +56,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("_text")
+    return mix_sources(table(spark, sf_dir, "documents"), weights=target_weights(spark)).drop("_text")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

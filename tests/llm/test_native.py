@@ -4,6 +4,8 @@ import hashlib
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from marketloom.llm.line_dedup import DIVISOR, FACTOR, dedup_lines
 from marketloom.llm.mixing import leaf_budgets, mix_sources
 from marketloom.llm.sharding import shard_documents
@@ -123,3 +125,27 @@ def test_mix_takes_exact_budgets(spark):
     again = mix_sources(docs(spark, rows[::-1]), budget_share=0.6, max_epochs=2).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mix_sources(docs(spark, [])).count() == 0
+
+
+def test_given_weights_are_met_to_the_token(spark):
+    leaves = [("d1", "en", "a", 1000), ("d1", "en", "b", 1000), ("d1", "de", "c", 1000), ("d2", "en", "d", 1000), ("d3", "en", "e", 5000)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    weights = {
+        "domain": spark.createDataFrame([("d1", 3), ("d2", 1), ("d3", 0)], "domain string, weight long"),
+        "lang": spark.createDataFrame([("en", 2), ("de", 1)], "lang string, weight long"),
+        "source": spark.createDataFrame([("d1", "a", 3), ("d1", "b", 1)], "domain string, source string, weight long"),
+    }
+    got = {r.source: r.budget for r in leaf_budgets(df, 0.2, 1, weights).collect()}  # 9000 tokens, 1800 of them to take
+    assert got == {"a": 675, "b": 225, "c": 450, "d": 450}  # 1350 : 450, then 900 : 450, then 675 : 225
+    got = {r.source: r.budget for r in leaf_budgets(df, 0.3, 1, weights).collect()}  # 2700: d1 2025, of it en 1350, a would get 1012
+    assert got == {"a": 1000, "b": 350, "c": 675, "d": 675}  # a's shortage goes to b, its sibling
+    got = {r.source: r.budget for r in leaf_budgets(df, 0.4, 1, weights).collect()}  # 3600: d1 2700, en 1800, a full, b 800
+    assert got == {"a": 1000, "b": 800, "c": 900, "d": 900}
+    assert sum(r.budget for r in leaf_budgets(df, 1.0, 1, weights).collect()) == 4000  # all that d1 and d2 have; d3 takes nothing
+
+
+def test_token_counts_can_be_given(spark):
+    rows = [(i, "w" * 40, "en", "src1", 1) for i in range(30)]
+    df = docs(spark, rows).withColumn("n", F.when(F.col("doc_id") < 10, F.col("doc_id")))  # others null
+    got = mix_sources(df, budget_share=1.0, max_epochs=1, tokens=F.col("n")).collect()
+    assert sorted((r.doc_id, r.tokens, r.used_tokens) for r in got) == [(i, i, i) for i in range(1, 10)]
