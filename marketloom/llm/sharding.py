@@ -30,7 +30,7 @@ class Boundaries:
     """Offsets at which a group ends, with distributed floor and ceiling look-ups."""
 
     def __init__(self, groups: DataFrame, widest: int):
-        self.ends, self.widest = groups.select((F.col("start") + F.col("bytes")).alias("end")), widest
+        self.ends, self.widest = groups.select("end"), widest
 
     def around(self, points: list[int]) -> list[tuple[int, int | None]]:
         """For each point the largest boundary at or below it (0 counts as one) and the smallest at or above it."""
@@ -114,7 +114,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     base = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("_group"))
     base = stored(base, "shard-base")
     groups = base.groupBy("_group").agg(F.min("doc_id").alias("first_id"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    groups = stored(with_prefix_sums(groups, ["first_id", "_group"], {"start": "bytes", "row_start": "rows"}, "shard-order"), "shard-groups")
+    groups = stored(with_prefix_sums(groups, ["first_id", "_group"], {"start": "bytes", "row_start": "rows"}, "shard-order").withColumn("end", F.col("start") + F.col("bytes")), "shard-groups")  # `end` ascends: look-ups read few row groups
     sums = groups.agg(F.sum("bytes").alias("total"), F.max("bytes").alias("widest")).first()
     total, widest = sums["total"] or 0, sums["widest"] or 0
     cuts: list[int] = []

@@ -11,6 +11,9 @@ round, so logarithmically many rounds) keeps only the reachable candidates: a ma
 a whole record inside a payload is never reached.  Payloads that were cut by a magic line inside
 them are put together again from their segments.
 
+Files whose names end in .gz are read as streams of gzip members (one per record, as archives have them, or one per file); their
+offsets are those of the unpacked bytes, and such a file is one split.
+
 Defined cases: null html is an empty payload, null url an empty one; line breaks in an url become blanks; a null
 page_id is always a response; rows with equal id and payload are both responses if their id is the largest; an
 empty table gives an empty archive; further columns are ignored.
@@ -47,9 +50,23 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between magic lines: file, block (split start), at (order inside a scan), value."""
+    """What lies between magic lines: file, block (split start), at (order inside a scan), size, value."""
     rows = spark.read.option("lineSep", MAGIC).text(path)
-    return rows.select(F.substring_index("_metadata.file_path", "/", -1).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return rows.select(F.substring_index("_metadata.file_path", "/", -1).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.octet_length("value").cast("long").alias("size"), "value")
+
+
+def _placed(segments: DataFrame) -> DataFrame:
+    """Replace (block, at) by the offset of the magic line before each segment.
+
+    Segments are summed inside each file split, and a file's splits (one row each) by prefix sums.  Offsets rest on one scan
+    only: two scans whose splits differ agree on them.
+    """
+    whole = F.col("size") + len(MAGIC)
+    start = F.coalesce(F.sum("_all").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = segments.groupBy("file", "block").agg(F.sum(whole).alias("_all")).select("file", "block", start.alias("_start"))
+    inside = F.coalesce(F.sum(whole).over(Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = segments.withColumn("_inside", inside).join(blocks, ["file", "block"])
+    return out.withColumn("offset", F.col("_start") + F.col("_inside") - len(MAGIC)).drop("block", "at", "_start", "_inside")
 
 
 def _reachable(candidates: DataFrame) -> DataFrame:
@@ -69,19 +86,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     segments = _segments(spark, path)
     head = F.substring_index("value", END, 1)
     field = lambda name: F.regexp_extract("head", rf"(?m)^{name}:[ \t]*([^\r\n]*)", 1)
-    parsed = segments.select("file", "block", "at", F.octet_length("value").alias("size"), head.alias("head"), "value")
+    parsed = segments.select("file", "block", "at", "size", head.alias("head"), "value")
     parsed = parsed.withColumn("length", F.expr("try_cast(nullif(regexp_extract(head, '(?m)^Content-Length:[ \\\\t]*([0-9]+)', 1), '') as bigint)"))
     parsed = parsed.withColumn("head_size", F.octet_length("head")).withColumn("whole", F.coalesce(F.col("size") == F.col("head_size") + F.col("length") + 8, F.lit(False)))
     payload = F.expr("substring(value, length(head) + 5, greatest(length(value) - length(head) - 8, 0))")
     parsed = parsed.select("file", "block", "at", "size", "head_size", "length", "whole", field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), field("WARC-Refers-To").alias("refers_to"), field("WARC-Payload-Digest").alias("declared"), field("X-Payload-Length").alias("payload_length"), F.when(F.col("whole"), F.sha1(payload)).alias("payload_sha1"))
-    before = Window.partitionBy("file").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
-    parsed = stored(parsed.withColumn("offset", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(before), F.lit(0)) - len(MAGIC)), "warc-segments")
+    parsed = stored(_placed(stored(parsed, "warc-heads")), "warc-segments")
     candidates = parsed.where(f"offset >= 0 and record_type <> '' and length is not null").withColumn("next", F.col("offset") + len(MAGIC) + F.col("head_size") + F.col("length") + 8)
     records = stored(candidates.join(_reachable(candidates), ["file", "offset"], "left_semi"), "warc-records")
     cut = records.where("not whole").select("file", F.col("offset").alias("record"), "next", F.col("length").alias("want"))
     if not cut.isEmpty():  # payloads with magic lines inside: fetch their segments
-        inner = parsed.select("file", "block", "at", "offset").join(cut, "file").where("offset >= record and offset < next")
-        inner = segments.join(inner, ["file", "block", "at"]).groupBy("file", "record", "want").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+        cut = stored(cut, "warc-cut")  # its size is known then: a short list is broadcast and other files are not shuffled
+        inner = _placed(segments.join(cut.select("file").distinct(), "file", "left_semi")).join(cut, "file").where("offset >= record and offset < next")
+        inner = inner.groupBy("file", "record", "want").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
         inner = inner.select("file", F.col("record").alias("offset"), "value", F.substring_index("value", END, 1).alias("head"), "want")
         inner = inner.where("octet_length(value) = octet_length(head) + want + 8").select("file", "offset", F.sha1(payload).alias("whole_sha1"))
         records = records.join(inner, ["file", "offset"], "left").withColumn("payload_sha1", F.coalesce("payload_sha1", "whole_sha1"))

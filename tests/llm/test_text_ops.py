@@ -1,5 +1,6 @@
 """Decontamination, fingerprints, language ID, quality and WARC on small tables, against brute force where there is one."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -269,3 +270,13 @@ def test_records_out_of_the_chain_are_ignored(spark, tmp_path):
     got = read_warc(spark, str(tmp_path)).collect()
     assert sorted(r.record_id for r in got) == [f"<urn:page:{n}>" for n in (1, 2, 4)]
     assert {r.payload_sha1 for r in got} == {hashlib.sha1(x.encode()).hexdigest() for x in ("one", "x" + record(3, "three") + "y", "four")}
+
+
+def test_gzip_members_are_read(spark, tmp_path):
+    record = lambda n, body: f"{MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}{END}".encode()
+    bodies = ["one", "zwei é", "x" + record(9, "inner").decode() + "y", "four" * 5000]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(i, b)) for i, b in enumerate(bodies)))
+    (tmp_path / "b.warc").write_bytes(b"".join(record(10 + i, b) for i, b in enumerate(bodies)))
+    got = read_warc(spark, str(tmp_path)).collect()
+    sums = [hashlib.sha1(b.encode()).hexdigest() for b in bodies]
+    assert {(r.record_id, r.payload_sha1) for r in got} == {(f"<urn:page:{10 * k + i}>", s) for i, s in enumerate(sums) for k in (0, 1)} and len(got) == 8
