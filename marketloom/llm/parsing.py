@@ -9,9 +9,10 @@ only, so equal substrings get equal interior names wherever they stand.
 A fingerprint is the SKETCH smallest distinct names (32 bits each, as hex) of level BASE_LEVEL and the levels above it;
 likeness is the share of common names among the SKETCH smallest of both.
 
-``edited_likeness`` pairs each document with the next by id.  Documents are dealt into id ranges once, with the first
-document of each range copied into the range before it, so a range is worked off as a stream and holds
-neither the table nor a group in memory.
+``edited_likeness`` pairs each document with the next by id.  Documents are dealt into ranges of (id, text hash) once, at most
+some RANGE_BYTES of text each, with the first document of each range copied into the range before it, so a range is
+worked off as a stream and holds neither the table nor a group in memory.  Phrases are named PHRASES at a time, so a
+long text takes some 12 bytes of memory a byte.
 
 Defined cases: a null text is an empty one with an empty fingerprint (likeness 1 to another empty one, else 0); a null
 ``doc_id`` comes first; rows with equal ids follow the hash of their text; the last document's next is the first, a sole
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .arrow_text import SLICE_BYTES, mixed, powers
 from .common import text_or_empty
 
-SKETCH, BASE_LEVEL, TOP_LEVEL = 64, 2, 24
+SKETCH, BASE_LEVEL, TOP_LEVEL, PHRASES, RANGE_BYTES = 64, 2, 24, 1 << 18, 128 << 20
 _LOW_BIT = np.array([0, *[(x & -x).bit_length() - 1 for x in range(1, 256)]], dtype=np.uint8)
 _STEP = powers(0xD6E8FEB86659FD93, 64)
 _BYTE_NAMES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -62,12 +63,15 @@ def _parse(symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     new = np.ones(len(symbols), dtype=bool)
     new[1:] = symbols[1:] != symbols[:-1]
     new[begins] = True
-    at = np.flatnonzero(new)
-    if len(at) < len(symbols):
-        runs = np.diff(np.r_[at, len(symbols)])
-        symbols, begins = symbols[at], np.searchsorted(at, begins)
-    else:
-        runs = None
+    runs_at = runs = np.zeros(0, dtype=np.int64)
+    if not new.all():  # runs of equal symbols become one symbol
+        more = ~np.r_[new, True]
+        starts, stops = np.flatnonzero(new & more[1:]), np.flatnonzero(more[:-1] & ~more[1:]) + 1
+        place = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        runs_at, runs, begins = place[starts].astype(np.int64), stops - starts, place[begins].astype(np.int64)
+        symbols = symbols[new]
+        del place, more
+    del new
     colour = _colours(symbols, begins)
     start = np.zeros(len(symbols), dtype=bool)
     if len(symbols) > 2:
@@ -76,13 +80,19 @@ def _parse(symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     start[follows] = False
     start[begins] = True
     heads = np.flatnonzero(start)
-    names = _BYTE_NAMES[symbols] if symbols.dtype == np.uint8 else symbols
-    if runs is not None:
-        names = np.where(runs > 1, mixed(names + runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), names)
-    sizes = np.diff(np.r_[heads, len(symbols)])
-    place = np.arange(len(symbols)) - np.repeat(heads, sizes)
-    sums = np.add.reduceat(names * _STEP[place & 63], heads)
-    return mixed(sums + sizes.astype(np.uint64)), np.searchsorted(heads, begins)
+    edges = np.r_[heads, len(symbols)]
+    out = np.empty(len(heads), dtype=np.uint64)
+    for a in range(0, len(heads), PHRASES):  # so many at once: what they need beside is 8 bytes a symbol several times over
+        own = edges[a : a + PHRASES + 1]
+        low, high = int(own[0]), int(own[-1])
+        names = _BYTE_NAMES[symbols[low:high]] if symbols.dtype == np.uint8 else symbols[low:high].copy()
+        x, y = np.searchsorted(runs_at, [low, high])
+        at = runs_at[x:y] - low
+        names[at] = mixed(names[at] + runs[x:y].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        sizes = np.diff(own)
+        names *= _STEP[(np.arange(low, high) - np.repeat(own[:-1], sizes)) & 63]
+        out[a : a + PHRASES] = mixed(np.add.reduceat(names, own[:-1] - low) + sizes.astype(np.uint64))
+    return out, np.searchsorted(heads, begins)
 
 
 def sketches(texts: list[bytes]) -> list[np.ndarray]:
@@ -96,12 +106,10 @@ def sketches(texts: list[bytes]) -> list[np.ndarray]:
     levels = []
     for level in range(1, TOP_LEVEL + 1):
         symbols, begins = _parse(symbols, begins)
-        if level >= BASE_LEVEL:
+        if level >= BASE_LEVEL:  # every text goes that far, however short, so that its names do not depend on its neighbours
             levels.append((symbols.astype(np.uint32), [*begins.tolist(), len(symbols)]))
-        if len(symbols) == len(begins):
-            break
-    if not levels:  # no text has more than one phrase on the first level
-        levels.append((symbols.astype(np.uint32), [*begins.tolist(), len(symbols)]))
+            if len(symbols) == len(begins):
+                break
     for k, i in enumerate(full):
         parts = [names[b[k] : b[k + 1]] for names, b in levels]
         depth = next((d for d, p in enumerate(parts) if len(p) == 1), len(parts) - 1)
@@ -122,26 +130,35 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.count_nonzero(both[1:][twice] <= union[-1]) / len(union))
 
 
+def _order_keys(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Byte strings that sort as (id, hash) do."""
+    pairs = np.stack([ids.astype(np.int64), hashes.astype(np.int64)], axis=1).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(pairs.astype(">u8")).view("S16").ravel()
+
+
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     none = -(2**63)
-    text = text_or_empty()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), text.alias("text"))
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = ", ".join(str(i / ranges) for i in range(1, ranges))
-    at = rows.agg(F.min("doc_id").alias("low"), F.expr(f"percentile_approx(doc_id, array({shares}), 10000)").alias("cuts")).first()
-    bounds = np.array(sorted({at["low"], *at["cuts"]}) if at["low"] is not None else [none], dtype=np.int64)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ordered = rows.select("doc_id", "th").repartitionByRange(ranges, "doc_id", "th")
+    lows = ordered.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("doc_id", "th")).alias("low")).select("low.*").toArrow()  # a row per range
+    bounds = np.sort(_order_keys(lows.column("doc_id").to_numpy(), lows.column("th").to_numpy()))
+    last = max(1, len(bounds))
 
     @F.pandas_udf("int")
-    def placed(ids: pd.Series) -> pd.Series:  # twice the range's number, plus one for a range's first id
-        right = np.searchsorted(bounds, ids, side="right")
-        return pd.Series((2 * right + (np.searchsorted(bounds, ids, side="left") != right)).astype(np.int32))
-
-    last = len(bounds)
-    copies = F.expr(f"if(code % 2 = 1, array(struct(code div 2 as part, 0 as tail), struct(if(code div 2 = 1, {last}, code div 2 - 1) as part, 1 as tail)), array(struct(code div 2 as part, 0 as tail)))")
-    dealt = rows.withColumn("code", placed("doc_id")).select(F.explode(copies).alias("x"), "doc_id", "text").select(F.col("x.part").cast("int").alias("part"), "x.tail", "doc_id", "text", F.xxhash64("text").alias("th"))
-    dealt = dealt.repartition("part").sortWithinPartitions("part", "tail", "doc_id", "th").select("part", "tail", "doc_id", "text")
+    def placed(ids: pd.Series, hashes: pd.Series) -> pd.Series:  # twice the range's number, plus one for a range's first row
+        keys = _order_keys(ids.to_numpy(), hashes.to_numpy())
+        right = np.searchsorted(bounds, keys, side="right")
+        return pd.Series((2 * right + (np.searchsorted(bounds, keys, side="left") != right)).astype(np.int32))
+
+    coded = rows.withColumn("code", placed("doc_id", "th"))
+    own = coded.select(F.expr("code div 2 - 1").cast("int").alias("part"), F.lit(0).alias("tail"), "doc_id", "th", "text")
+    heads = coded.where("code % 2 = 1").dropDuplicates(["code"])  # one of the rows that begin a range
+    heads = heads.select(F.pmod(F.expr("code div 2 - 2"), F.lit(last)).cast("int").alias("part"), F.lit(1).alias("tail"), "doc_id", "th", "text")
+    dealt = own.unionByName(heads).repartitionById(last, "part").sortWithinPartitions("part", "tail", "doc_id", "th").select("part", "tail", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
