@@ -6,11 +6,12 @@ gram.  A document's counts per language are corrected by each language's false-p
 of set slots to the power HASHES); the largest corrected share decides.
 
 Learning: at most SAMPLE_DOCS documents per language, chosen by a hash of the id, from rows with crc32(doc_id) mod 5
-<> 0 and a language.  A language holds the grams that make up at least MIN_SHARE of its grams.  The filter's
+<> 0 and a language.  A language holds the grams that occur twice and make up at least MIN_SHARE of its grams.  The filter's
 size is fixed (2^SLOT_BITS slots times one 64-bit word per 63 languages); all documents are predicted.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; a text with letters but no gram
-known to any language gets the language with most learned documents and score 0; null ids count as
+known to any language gets the language with most learned documents and score 0; of languages with equal shares the one with
+more learned documents, then the first by name, is taken; texts over PIECE bytes are counted piece by piece; null ids count as
 held out; without any language to learn all rows are ``und``; equal rows get equal results; further columns are ignored.
 """
 
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import mixed, slices
+from .arrow_text import PIECE, mixed, slices
 from .common import text_or_empty
 
 SAMPLE_DOCS, MIN_SHARE, SLOT_BITS, HASHES, WORD_BITS = 2000, 2e-5, 20, 3, 63
@@ -32,17 +33,19 @@ _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _LETTER = regex.compile(r"\p{L}")
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams with one blank at most of all texts, and the text that each is from."""
+def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams with one blank at most of all texts, and the text that each is from, in parts of some PIECE bytes."""
     parts = [t.lower().encode() for t in texts]
-    data = np.frombuffer(b"    ".join([b"", *parts, b""]).translate(_LETTERS), dtype=np.uint8)
-    blank = (data == 32).view(np.int8)
-    n = len(data) - 3
-    keep = np.flatnonzero(blank[:n] + blank[1 : n + 1] + blank[2 : n + 2] + blank[3 : n + 3] <= 1)
-    wide = data.astype(np.uint32)
-    grams = (wide[:n] | wide[1 : n + 1] << np.uint32(8) | wide[2 : n + 2] << np.uint32(16) | wide[3 : n + 3] << np.uint32(24))[keep]
-    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 4
-    return grams, np.searchsorted(np.cumsum(sizes), keep, side="right")
+    whole = b"    ".join([b"", *parts, b""])
+    stops = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 4)
+    for begin in range(0, max(1, len(whole) - 3), PIECE):
+        data = np.frombuffer(whole[begin : begin + PIECE + 3].translate(_LETTERS), dtype=np.uint8)
+        blank = (data == 32).view(np.int8)
+        n = len(data) - 3
+        keep = np.flatnonzero(blank[:n] + blank[1 : n + 1] + blank[2 : n + 2] + blank[3 : n + 3] <= 1)
+        wide = data.astype(np.uint32)
+        grams = (wide[:n] | wide[1 : n + 1] << np.uint32(8) | wide[2 : n + 2] << np.uint32(16) | wide[3 : n + 3] << np.uint32(24))[keep]
+        yield grams, np.searchsorted(stops, begin + keep, side="right")
 
 
 def _slots(grams: np.ndarray) -> list[np.ndarray]:
@@ -67,10 +70,10 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            grams, owner = _grams([t.decode() for t in texts])
-            code = np.asarray(batch.column("no")).astype(np.uint64)[owner] << np.uint64(32) | grams
-            codes, n = np.unique(code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((codes >> np.uint64(32)).astype(np.int32)), pa.array((codes & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["no", "gram", "n"])
+            numbers = np.asarray(batch.column("no")).astype(np.uint64)
+            for grams, owner in _grams([t.decode() for t in texts]):
+                codes, n = np.unique(numbers[owner] << np.uint64(32) | grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((codes >> np.uint64(32)).astype(np.int32)), pa.array((codes & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["no", "gram", "n"])
 
     grams = sample.mapInArrow(run, "no int, gram long, n long").groupBy("no", "gram").agg(F.sum("n").alias("n"))
     totals = grams.groupBy("no").agg(F.sum("n").alias("total"))
@@ -90,17 +93,18 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], n
 
 def predict(texts: list[str], langs: list[str], masks: np.ndarray, false_rate: np.ndarray) -> tuple[list[str], np.ndarray]:
     n = len(texts)
-    grams, owner = _grams(texts)
-    total = np.bincount(owner, minlength=n).astype(float)
-    share = np.zeros((len(langs), n))
-    slots = _slots(grams)
-    for word in range(len(masks)):
-        hits = masks[word][slots[0]]
-        for s in slots[1:]:
-            hits &= masks[word][s]
-        for i in range(word * WORD_BITS, min(len(langs), (word + 1) * WORD_BITS)):
-            found = np.bincount(owner[(hits >> np.uint64(i % WORD_BITS) & np.uint64(1)).astype(bool)], minlength=n)
-            share[i] = np.maximum(0, found - total * false_rate[i]) / np.maximum(total * (1 - false_rate[i]), 1e-9)
+    total, found = np.zeros(n), np.zeros((len(langs), n))
+    for grams, owner in _grams(texts):
+        total += np.bincount(owner, minlength=n)
+        slots = _slots(grams)
+        for word in range(len(masks)):
+            hits = masks[word][slots[0]]
+            for s in slots[1:]:
+                hits &= masks[word][s]
+            for i in range(word * WORD_BITS, min(len(langs), (word + 1) * WORD_BITS)):
+                found[i] += np.bincount(owner[(hits >> np.uint64(i % WORD_BITS) & np.uint64(1)).astype(bool)], minlength=n)
+    rate = false_rate[:, None]
+    share = np.maximum(0, found - total * rate) / np.maximum(total * (1 - rate), 1e-9)
     best, whole = share.argmax(axis=0), share.sum(axis=0)
     score = np.where(whole > 0, share[best, np.arange(n)] / np.maximum(whole, 1e-12), 0.0)
     lettered = np.fromiter((bool(_LETTER.search(t)) for t in texts), dtype=bool, count=n)
