@@ -10,6 +10,8 @@ A bit map of fixed size (2^23 bits, gathered from all items) keeps fingerprints
 inside the scan; what is shuffled is the matches.  Hot passages are joined with Spark's skew handling, as
 documents are only ever the streamed side.
 
+Texts over PIECE bytes are scanned in pieces that overlap by OVERLAP words, so every window is whole in one of them.
+
 Defined cases: null and wordless texts have no words and are clean; rows equal in id and text get the same
 result; null item ids are left out of the lists but mark words; empty tables work on either side; further
 columns are ignored.
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import mixed, powers, slices
+from .arrow_text import PIECE, mixed, pieces, powers, slices
 from .common import bit_map, in_bit_map, stored, text_or_empty
 
 WINDOW, GRAM = 10, 5
+OVERLAP = 2 * WINDOW
 #: Lower-case A-Z; blanks for the other characters below 0x80 that are no letter or digit.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _IN_WORD, _IN_GRAM = powers(0x9E3779B97F4A7C15, 4096), powers(0xC2B2AE3D27D4EB4F, GRAM)
@@ -93,6 +96,18 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return items.select(F.col(id_col).cast("long").alias("item_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "item_id long, length int, h long, off int, words string")
 
 
+def _parts(texts: list[bytes]) -> Iterator[tuple[int, int, bool, list[bytes]]]:
+    """(row, number of the first word, is it the end, texts): all texts at once, or the pieces of a long one, which overlap."""
+    if max(map(len, texts), default=0) <= PIECE:
+        yield 0, 0, True, texts
+        return
+    for row, text in enumerate(texts):
+        base, parts = 0, list(pieces(text.translate(_TABLE), OVERLAP))
+        for i, part in enumerate(parts):
+            yield row, base, i + 1 == len(parts), [part]
+            base += len(part.split()) - OVERLAP
+
+
 def _scan(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
     """A row (length null) for each document, and a row for each of its fingerprints that the bit map lets through."""
     held = docs.sparkSession.sparkContext.broadcast(bits)  # 1 MB, fixed
@@ -101,25 +116,33 @@ def _scan(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
         names = ["doc_id", "th", "n_words", "length", "h", "p", "skip", "ctx"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
         for batch, texts in slices(batches):
-            words, ids, ths = Words(texts), batch.column("doc_id"), batch.column("th")
-            n, none = len(texts), lambda t, k: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([ids, ths, pa.array(words.last - words.first), *[none(t, n) for t in types[3:]]], names=names)
-            first, last = words.first, words.last
-            for length in lengths:
-                k = min(GRAM, length)
-                start, h, off = words.winnow(length)
-                found = np.flatnonzero(in_bit_map(held.value, h))
-                at, pick = np.unique(start[found] + off[found], return_index=True)
-                if not len(at):
-                    continue
-                owner = np.searchsorted(first, at, side="right") - 1
-                low = np.maximum(first[owner], at - (length - k))
-                high = np.minimum(last[owner], at + length)
-                ctx = [words.text(a, b).decode() for a, b in zip(low.tolist(), high.tolist())]
-                own = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(own), ths.take(own), none(pa.int64(), len(at)), pa.array(np.full(len(at), length, dtype=np.int32)), pa.array(h[found][pick].view(np.int64)), pa.array((at - first[owner]).astype(np.int32)), pa.array((at - low).astype(np.int32)), pa.array(ctx, pa.string())], names=names,
-                )
+            for at, base, ends, own in _parts(texts):
+                yield from scanned(batch.slice(at, len(own)), own, base, ends)
+
+    def scanned(batch: pa.RecordBatch, texts: list[bytes], base: int, ends: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of texts, or of one piece whose first word is word ``base`` of its text; the last piece counts the words."""
+        names = ["doc_id", "th", "n_words", "length", "h", "p", "skip", "ctx"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+        words, ids, ths = Words(texts), batch.column("doc_id"), batch.column("th")
+        n, none = len(texts), lambda t, k: pa.nulls(k, t)
+        if ends:
+            yield pa.RecordBatch.from_arrays([ids, ths, pa.array(base + words.last - words.first), *[none(t, n) for t in types[3:]]], names=names)
+        first, last = words.first, words.last
+        for length in lengths:
+            k = min(GRAM, length)
+            start, h, off = words.winnow(length)
+            found = np.flatnonzero(in_bit_map(held.value, h))
+            at, pick = np.unique(start[found] + off[found], return_index=True)
+            if not len(at):
+                continue
+            owner = np.searchsorted(first, at, side="right") - 1
+            low = np.maximum(first[owner], at - (length - k))
+            high = np.minimum(last[owner], at + length)
+            ctx = [words.text(a, b).decode() for a, b in zip(low.tolist(), high.tolist())]
+            own = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(own), ths.take(own), none(pa.int64(), len(at)), pa.array(np.full(len(at), length, dtype=np.int32)), pa.array(h[found][pick].view(np.int64)), pa.array((at - first[owner] + base).astype(np.int32)), pa.array((at - low).astype(np.int32)), pa.array(ctx, pa.string())], names=names,
+            )
 
     doc_id, th = row_key()
     rows = docs.select(doc_id.alias("doc_id"), th.alias("th"), text_or_empty().alias("text"))

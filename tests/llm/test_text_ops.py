@@ -4,14 +4,19 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 
 from marketloom.llm.decontaminate import Words, contamination
-from marketloom.llm.langid import identify
+from marketloom.llm.langid import _slots, identify, learn
+from marketloom.llm.line_dedup import dedup_lines
+from marketloom.llm.mixing import mix_sources
+from marketloom.llm.near_dedup import near_duplicates, representatives
 from marketloom.llm.parsing import SKETCH, edited_likeness, likeness, sketches
 from marketloom.llm import quality
 from marketloom.llm.quality import fit_labellers, pattern_counts, quality_filter, quality_scores
+from marketloom.llm.sharding import shard_documents
 from marketloom.llm.warc import END, MAGIC, archive_pages, read_warc
 
 DOC = "doc_id long, text string"
@@ -280,3 +285,180 @@ def test_gzip_members_are_read(spark, tmp_path):
     got = read_warc(spark, str(tmp_path)).collect()
     sums = [hashlib.sha1(b.encode()).hexdigest() for b in bodies]
     assert {(r.record_id, r.payload_sha1) for r in got} == {(f"<urn:page:{10 * k + i}>", s) for i, s in enumerate(sums) for k in (0, 1)} and len(got) == 8
+
+
+# Brute-force versions of the fingerprints and of the language filters, one symbol or gram at a time.
+MASK = 2**64 - 1
+
+
+def scramble(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & MASK
+    return x ^ x >> 31
+
+
+def plain_level(symbols, is_bytes):
+    """One level of locally consistent parsing of one text."""
+    runs = []
+    for s in symbols:
+        if runs and runs[-1][0] == s:
+            runs[-1][1] += 1
+        else:
+            runs.append([s, 1])
+    colour = [s for s, _ in runs]
+    for _ in range(4):  # deterministic coin tossing against the left neighbour
+        out = []
+        for i, c in enumerate(colour):
+            low = 0 if i == 0 else ((c ^ colour[i - 1]) & -(c ^ colour[i - 1])).bit_length() - 1
+            out.append(2 * max(low, 0) + (c >> max(low, 0) & 1))
+        colour = out
+    heads = [i for i in range(len(runs)) if i == 0 or (0 < i < len(runs) - 1 and colour[i - 1] < colour[i] > colour[i + 1])]
+    names = []
+    for a, b in zip(heads, [*heads[1:], len(runs)]):
+        total = 0
+        for place, (s, n) in enumerate(runs[a:b]):
+            name = scramble(s + 1) if is_bytes else s
+            if n > 1:
+                name = scramble(name + n * 0x9E3779B97F4A7C15 & MASK)
+            total += name * pow(0xD6E8FEB86659FD93, place % 64, 2**64)
+        names.append(scramble(total + b - a & MASK))
+    return names
+
+
+def plain_sketch(text):
+    levels, symbols = [], list(text)
+    for level in range(1, 25):
+        if not symbols:
+            return []
+        symbols = plain_level(symbols, level == 1)
+        if level >= 2:
+            levels.append(symbols)
+            if len(symbols) == 1:
+                break
+    return sorted({x & 0xFFFFFFFF for names in levels for x in names})[:SKETCH]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    union = sorted({*a, *b})[:SKETCH]
+    return sum(x in a and x in b for x in union) / len(union)
+
+
+def test_sketches_equal_a_plain_parser(monkeypatch):
+    from marketloom.llm import parsing
+
+    rng = random.Random(12)
+    texts = [prose(rng, lang, n).encode() for lang in SYLLABLES for n in (1, 3, 12, 90)] + [b"", b"a", b"aa", b"ab", b"a" * 700, b"aab" * 90, b"x" * 40 + b"yz" + b"x" * 40, bytes(range(1, 200)) * 3]
+    want = [plain_sketch(t) for t in texts]
+    for phrases in (1 << 18, 5):  # the second names few phrases at a time
+        monkeypatch.setattr(parsing, "PHRASES", phrases)
+        assert [s.tolist() for s in sketches(texts)] == want
+    assert [sketches([t])[0].tolist() for t in texts] == want  # each alone
+    for a, b in zip(range(len(texts)), range(1, len(texts))):
+        assert likeness(np.array(want[a], dtype=np.uint32), np.array(want[b], dtype=np.uint32)) == plain_likeness(want[a], want[b])
+
+
+def test_edited_likeness_equals_brute_force(spark):
+    rng = random.Random(13)
+    texts = [prose(rng, rng.choice(list(SYLLABLES)), rng.randint(0, 60)) for _ in range(50)]
+    rows = [(rng.randint(0, 30), t) for t in texts] + [(None, texts[0]), (None, texts[3]), (None, None), (8, texts[1]), (8, texts[1])]
+    df = spark.createDataFrame(rows, DOC)
+    hashes = [r.h for r in df.selectExpr("xxhash64(coalesce(text, '')) as h").collect()]
+    order = sorted((-1 if i is None else i, h, t or "") for (i, t), h in zip(rows, hashes))
+    want = []
+    for (i, _, t), (_, _, u) in zip(order, [*order[1:], order[0]]):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + u[:q]
+        own, other, following = plain_sketch(t.encode()), plain_sketch(edited.encode()), plain_sketch(u.encode())
+        names = lambda s: "".join(f"{x:08x}" for x in s)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), names(own), names(other), plain_likeness(own, other), plain_likeness(own, following)))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in edited_likeness(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def plain_grams(text):
+    data = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in b"    " + text.lower().encode() + b"    ")
+    return [g for i in range(len(data) - 3) if (g := data[i : i + 4]).count(b" ") <= 1]
+
+
+def test_language_filters_against_exact_gram_sets(spark):
+    """With exact sets of grams instead of filters the same languages come out, but for what false positives add."""
+    rng = random.Random(14)
+    rows = [(i, prose(rng, lang := ("en", "fr", "de")[i % 3], rng.randint(1, 60)), lang) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned, counts = {}, {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            learned[lang] = learned.get(lang, 0) + 1
+            for g in plain_grams(t):
+                counts.setdefault(lang, {})[g] = counts.setdefault(lang, {}).get(g, 0) + 1
+    sets = {lang: {g for g, k in c.items() if k >= max(2, sum(c.values()) * 2e-5)} for lang, c in counts.items()}
+    order = sorted(learned, key=lambda x: (-learned[x], x))
+    langs, masks = learn(df)
+    assert langs == order
+    for no, lang in enumerate(order):  # no gram of a language is missing in its filter
+        slots = _slots(np.array([int.from_bytes(g, "little") for g in sets[lang]], dtype=np.uint32))
+        assert all((masks[0][s] >> np.uint64(no) & np.uint64(1)).all() for s in slots)
+    by = {r.doc_id: r for r in identify(df).collect()}
+    for i, t, _ in rows:
+        grams = plain_grams(t)
+        share = [sum(g in sets[lang] for g in grams) / max(1, len(grams)) for lang in order]
+        best = max(range(3), key=lambda k: (share[k], -k))
+        assert by[i].lang_pred == order[best] and abs(by[i].score - share[best] / sum(share)) < 0.01
+
+
+def test_pieces_of_long_texts_change_no_language(monkeypatch):
+    from marketloom.llm import langid
+
+    rng = random.Random(15)
+    texts = [prose(rng, "en", 200), "", "é", prose(rng, "fr", 90)]
+    whole = [np.concatenate(x) for x in zip(*langid._grams(texts))]
+    monkeypatch.setattr(langid, "PIECE", 17)
+    assert all(np.array_equal(a, np.concatenate(b)) for a, b in zip(whole, zip(*langid._grams(texts))))
+    assert [int.from_bytes(g, "little") for t in texts[:1] for g in plain_grams(t)] == whole[0][whole[1] == 0].tolist()
+
+
+def test_pieces_of_a_long_text_hold_all_its_windows(monkeypatch):
+    from marketloom.llm import arrow_text, decontaminate
+
+    monkeypatch.setattr(decontaminate, "PIECE", 150)
+    monkeypatch.setattr(decontaminate, "pieces", lambda text, overlap: arrow_text.pieces(text, overlap, 150))
+    rng = random.Random(16)
+    vocab = ["Alpha", "beta", "été", "g4", "d", "x"]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(n))) for k, n in enumerate([30, 10, 7, 3])]
+    texts = []
+    for _ in range(12):
+        t = [rng.choice(vocab) for _ in range(rng.randint(0, 300))]
+        for _ in range(3):
+            src = words_of(rng.choice(items)[1])
+            at = rng.randint(0, len(t))
+            t[at:at] = src
+        texts.append(" ".join(t))
+    parts = list(decontaminate._parts([t.encode() for t in texts]))
+    for i, t in enumerate(texts):
+        own = [p for p in parts if p[0] == i]
+        assert [p[2] for p in own] == [False] * (len(own) - 1) + [True]
+        assert own[-1][1] + len(own[-1][3][0].split()) == len(words_of(t))
+        for _, base, _, (piece,) in own:
+            w = [x.decode() for x in piece.split()]
+            assert w == words_of(t)[base : base + len(w)]
+
+
+def test_a_text_of_many_megabytes_goes_through_every_operator(spark):
+    """20 MB in one text, beside a short one; what workers take for it at once is measured in the README."""
+    rng = random.Random(17)
+    block = prose(rng, "en", 3000)
+    item = prose(rng, "fr", 30)
+    long = (block + " ") * (20_000_000 // len(block)) + item
+    df = spark.createDataFrame([(1, long, "en", "src1"), (2, block, "en", "src1"), (3, block, "en", "src2")], "doc_id long, text string, lang string, source string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    hit = {r.doc_id: r for r in contamination(df, bench).collect()}
+    assert hit[1].n_words == len(words_of(long)) and hit[1].n_hit == len(words_of(item)) and not hit[2].contaminated
+    assert {r.doc_id for r in representatives(df).collect()} <= {1, 2} and near_duplicates(df).count() == 3
+    assert len({r.score for r in quality_scores(df).collect()}) == 2
+    assert {r.doc_id: r.n_chars for r in edited_likeness(df).collect()}[1] == len(long)
+    assert {r.lang_pred for r in identify(df).collect()} <= {"en", "und"}
+    assert {r.doc_id: r["size"] for r in shard_documents(df).collect()}[1] == len(long.encode()) + 1
+    assert dedup_lines(df).count() == 3 and mix_sources(df).count() >= 1
+    assert archive_pages(df.selectExpr("doc_id as page_id", "lang as url", "text as html")).where("payload_bytes > 19000000").count() == 1
