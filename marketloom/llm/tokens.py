@@ -6,7 +6,8 @@ its first i bytes: the one token t that ends there and that the encoder would le
 with running sums over the pieces every prefix of the text has: where to truncate for a token budget, or what a prefix costs,
 is looked up and never re-encoded.
 
-The recurrence runs for all distinct new pieces of a batch at once, column by column in NumPy; a task keeps
+The recurrence runs for all distinct new pieces of like lengths at once, column by column in NumPy (of some CELLS bytes together; a
+few long pieces go one by one); a task keeps
 the counts of at most CACHE_PIECES pieces.  Nothing is shuffled.
 
 Prefixes are counted where they end between code points, not inside a special string or a contraction, and not inside a
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .arrow_text import SLICE_BYTES, mixed, powers, slices
 from .common import text_or_empty
 
-LIMIT, CACHE_PIECES, WIDE = 512, 300_000, 64
+LIMIT, CACHE_PIECES, CELLS, FEW = 512, 300_000, 4_000_000, 16
 #: The byte-level vocabulary's piece pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _BASE = powers(0x9E3779B97F4A7C15, 512)
@@ -182,14 +183,11 @@ class PrefixCounter:
             return
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(new)
         order = sorted(range(len(new)), key=lambda k: -len(new[k]))
-        short = [k for k in order if len(new[k]) <= WIDE]
-        for k in order[: len(order) - len(short)]:
-            out[k] = self._long(new[k])
         at = 0
-        while at < len(short):  # groups whose widths are alike
-            width = len(new[short[at]])
-            group = [k for k in short[at : at + 100_000] if 2 * len(new[k]) >= width or width <= 8]
-            for k, counts in zip(group, self._columns([new[k] for k in group])):
+        while at < len(order):  # groups whose widths are alike
+            width = len(new[order[at]])
+            group = [k for k in order[at : at + max(1, CELLS // width)] if 2 * len(new[k]) >= width or width <= 8]
+            for k, counts in zip(group, self._columns([new[k] for k in group]) if width <= 64 or len(group) >= FEW else map(self._long, [new[k] for k in group])):
                 out[k] = counts
             at += len(group)
         self.counts = np.concatenate([self.counts, *out])

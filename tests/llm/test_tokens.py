@@ -34,6 +34,15 @@ def test_whole_texts_count_as_the_library_counts(library, counter):
         assert counter.total(parts) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_many_long_pieces_count_as_the_library_counts(library):
+    rng = random.Random(5)
+    own = PrefixCounter(PATH)
+    long = ["".join(rng.choice("漢字言語処理日本東京大学生活") for _ in range(rng.randint(30, 200))) for _ in range(60)] + ["".join(rng.choice("abcde") for _ in range(900))]
+    cut = [own.cut(t) for t in long]
+    own.learn()
+    assert [own.total(p) for p in cut] == [len(library.encode(t, add_special_tokens=False).ids) for t in long]
+
+
 def test_every_offered_prefix_counts_exactly(library, counter):
     for text in texts()[:120]:
         lengths, counts = counter.prefixes(text)
