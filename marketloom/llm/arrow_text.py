@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer text still goes whole.
 SLICE_BYTES = 2 << 20
@@ -19,12 +20,12 @@ _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut record batches into parts of about ``limit`` bytes of text, with the texts as UTF-8 bytes."""
     for batch in batches:
-        sizes = np.asarray(batch.column(column).cast(pa.binary()).fill_null(b""))
-        lengths = np.fromiter(map(len, sizes), dtype=np.int64, count=len(sizes))
+        text = batch.column(column)
+        lengths = np.asarray(pc.binary_length(text).fill_null(0)).astype(np.int64)
         part = (np.cumsum(lengths) - lengths) // limit
-        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else []
-        for a, b in zip(edges, edges[1:]):
-            yield batch.slice(a, b - a), sizes[a:b].tolist()
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)] if len(lengths) else []
+        for a, b in zip(edges, edges[1:]):  # only this part's texts become Python objects
+            yield batch.slice(a, b - a), text.slice(a, b - a).cast(pa.binary()).fill_null(b"").to_pylist()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -60,7 +60,7 @@ def in_bit_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ((bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: str | list[str], by: str, salts: int = 16) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, keys: str | list[str], by: str, salts: int = 8) -> DataFrame:
     """Inner join with a side that has one row per key; a hot key's rows are dealt to ``salts`` tasks by a hash of ``by``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     one = one.withColumn("_salt", F.explode(F.expr(f"sequence(0, {salts - 1})")))
