@@ -35,8 +35,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str,
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], time: str, carry: list[str]) -> DataFrame:
     """Left rows with the columns of the first right row at or after them."""
     rows = _stack(left, right, keys, time, carry, right_first=False)
-    order = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("_m", F.first("_r", ignorenulls=True).over(order)).where("_l is not null")
+    order = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)  # from the last row back: one pass
+    rows = rows.withColumn("_m", F.last("_r", ignorenulls=True).over(order)).where("_l is not null")
     return rows.select("_l.*", *[F.col(f"_m.{c}").alias(c) for c in carry])
 
 

@@ -42,6 +42,19 @@ def ece(df: DataFrame, y: str, p: str) -> DataFrame:
     return bins.crossJoin(F.broadcast(total)).agg((F.sum(F.col("k") * F.col("gap")) / F.max("n")).alias("ece"), F.max("n").alias("n"))  # one row
 
 
+def drift(df: DataFrame, keys: list[str], y: str, p: str, least: int = 200, floor: float = 0.48, ceiling: float = 0.10) -> DataFrame:
+    """Per key: n, accuracy and calibration error (NULL under ``least`` outcomes), and whether one of them drifts."""
+    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("_acc"))
+    bins = df.where(F.col(p) < 1).groupBy(*keys, decile(F.col(p)).alias("_bin")).agg(F.count(F.lit(1)).alias("_k"), F.abs(F.avg(p) - F.avg(y)).alias("_gap"))
+    gaps = bins.groupBy(*keys).agg(F.sum(F.col("_k") * F.col("_gap")).alias("_gaps"))
+    out = sums.join(gaps, keys, "left").withColumn("_ece", F.coalesce("_gaps", F.lit(0.0)) / F.col("n"))
+    enough = F.col("n") >= least
+    return out.select(
+        *keys, "n", F.when(enough, F.col("_acc")).alias("accuracy"), F.when(enough, F.col("_ece")).alias("ece"),
+        (enough & ((F.col("_acc") < floor) | (F.col("_ece") > ceiling))).alias("drift"),
+    )
+
+
 def with_rank(df: DataFrame, key: Column, order: list, bands: int = 1000) -> DataFrame:
     """Adds ``rank`` from 1 in ``order``; ``key`` in [0, 1) must rise with the order and deals rows into bands."""
     df = df.withColumn("_band", F.floor(key * bands))

@@ -55,6 +55,18 @@ def leg_weights(df: DataFrame, kelly: bool = True, inverse_vol: bool = True) ->
     return df.withColumn("_w", raw).withColumn("weight", F.when(total > 0, F.col("_w") / F.nullif(total, F.lit(0.0))).otherwise(1 / F.count(F.lit(1)).over(day))).drop("_w")
 
 
+def vol_target(returns: DataFrame, ret: str, target: float, least: int = 10, most: float = 3.0) -> DataFrame:
+    """Adds ``leverage`` and ``scaled`` = leverage * ``ret`` to returns (one row per date, hence the unpartitioned window).
+
+    Leverage is target over the deviation of all earlier dates, ``most`` at most; 1 before ``least`` of them and where they do
+    not deviate.
+    """
+    past = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    sd = F.stddev_samp(ret).over(past)
+    lever = F.when((F.count(ret).over(past) < least) | (sd <= 1e-12), 1.0).otherwise(F.least(F.lit(most), target / F.nullif(sd, F.lit(0.0))))
+    return returns.withColumn("leverage", lever).withColumn("scaled", F.col("leverage") * F.col(ret))
+
+
 def spaced_dates(dates: DataFrame, next_date) -> DataFrame:
     """From the distinct dates those that a non-overlapping grid takes; ``next_date`` maps a taken date to the earliest next one.
 

@@ -13,20 +13,7 @@ from pyspark.sql import DataFrame
 
 def smooth(x: np.ndarray, alpha: float, min_periods: int = 0) -> np.ndarray:
     """Recursive mean seeded with the first value; a missing value keeps the mean and ages its weight."""
-    out, mean, old, seen = np.full(len(x), np.nan), np.nan, 1.0, 0
-    for i, v in enumerate(x):
-        if v == v:
-            seen += 1
-            if mean != mean:
-                mean, old = v, 1.0
-            else:
-                old *= 1 - alpha
-                mean, old = (old * mean + alpha * v) / (old + alpha), 1.0
-        elif mean == mean:
-            old *= 1 - alpha
-        if seen >= min_periods and seen:
-            out[i] = mean
-    return out
+    return pd.Series(x).ewm(alpha=alpha, adjust=False, min_periods=min_periods).mean().to_numpy()
 
 
 def smoothed(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:

@@ -56,5 +56,6 @@ def ffill(c: Column, window=None) -> Column:
     return F.last(c, ignorenulls=True).over((window or by()).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def bfill(c: Column, window=None) -> Column:
-    return F.first(c, ignorenulls=True).over((window or by()).rowsBetween(0, Window.unboundedFollowing))
+def bfill(c: Column) -> Column:
+    """The next value at or after; read from the last row back, so a symbol's rows take one pass."""
+    return F.last(c, ignorenulls=True).over(Window.partitionBy("symbol").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0))

@@ -87,18 +87,24 @@ def weighted_news(spark, sf_dir) -> DataFrame:
     return n.groupBy("symbol").agg(r6(F.when(F.sum("rel") > 0, F.sum(F.col("rel") * F.col("score")) / F.nullif(F.sum("rel"), F.lit(0.0))).otherwise(F.avg("score"))).alias("sentiment"), r6(F.avg("rel")).alias("relevance"), F.count(F.lit(1)).alias("n"))
 
 
-@query("sentiment_agg", twin("""SELECT symbol, round(s, 6) AS sentiment, CASE WHEN s > 0.15::DOUBLE THEN 'bullish' WHEN s < -0.15::DOUBLE THEN 'bearish' ELSE 'neutral' END AS label, n FROM (SELECT y.symbol, sum(wt * score) / sum(wt) AS s, count(*)::BIGINT AS n FROM (SELECT DISTINCT symbol FROM news WHERE symbol <> 'src0') y JOIN
+@query("sentiment_agg", twin("""SELECT symbol, round(s, 6) AS sentiment, CASE WHEN s > 0.15::DOUBLE THEN 'bullish' WHEN s < -0.15::DOUBLE THEN 'bearish' ELSE 'neutral' END AS label, n FROM (SELECT y.symbol, coalesce(sum(wt * score) / nullif(sum(wt), 0), 0) AS s, count(wt)::BIGINT AS n FROM (SELECT DISTINCT symbol FROM news WHERE symbol <> 'src0') y LEFT JOIN
     (SELECT symbol, score, pow(0.5::DOUBLE, (DATE '2024-02-01' - published) / 3::DOUBLE) * CASE WHEN symbol = 'src0' THEN 1 ELSE 2 END AS wt FROM news WHERE score IS NOT NULL AND published >= DATE '2024-01-18') x ON x.symbol = y.symbol OR x.symbol = 'src0' GROUP BY y.symbol)"""))
 def sentiment_agg(spark, sf_dir) -> DataFrame:
     """Recency-weighted sentiment of a symbol's own (twice) and the general news; the OR is a union of two aggregates."""
     n = news(spark, sf_dir)
     recent = n.where("score is not null and published >= date'2024-01-18'").withColumn("wt", F.pow(F.lit(0.5), F.datediff(F.lit("2024-02-01").cast("date"), "published") / 3))
     sums = recent.groupBy("symbol").agg(F.sum(F.col("wt") * F.col("score")).alias("ws"), F.sum("wt").alias("w"), F.count(F.lit(1)).alias("n"))
-    general = sums.where("symbol = 'src0'").select(F.col("ws").alias("gs"), F.col("w").alias("gw"), F.col("n").alias("gn"))
-    own = n.where("symbol <> 'src0'").select("symbol").distinct().join(sums, "symbol", "left").crossJoin(F.broadcast(general))  # one row
+    return blended_sentiment(n.select("symbol").distinct(), sums, "src0")
+
+
+def blended_sentiment(symbols: DataFrame, sums: DataFrame, general: str) -> DataFrame:
+    """Own sums (``ws``, ``w``, ``n`` by symbol) twice and those of the symbol ``general`` once; neutral where there is neither."""
     z = lambda c: F.coalesce(c, F.lit(0))
-    s = own.withColumn("s", (2 * z("ws") + F.col("gs")) / (2 * z("w") + F.col("gw")))
-    return s.select("symbol", r6(F.col("s")).alias("sentiment"), F.when(F.col("s") > 0.15, "bullish").when(F.col("s") < -0.15, "bearish").otherwise("neutral").alias("label"), (z("n") + F.col("gn")).alias("n"))
+    common = sums.where(F.col("symbol") == general).agg(F.sum("ws").alias("gs"), F.sum("w").alias("gw"), F.sum("n").alias("gn"))  # one row, even if there is no general news
+    own = symbols.where(F.col("symbol") != general).join(sums, "symbol", "left").crossJoin(F.broadcast(common))
+    s = own.withColumn("s", z(safe_div(2 * z("ws") + z("gs"), 2 * z("w") + z("gw"))))
+    label = F.when(F.col("s") > 0.15, "bullish").when(F.col("s") < -0.15, "bearish").otherwise("neutral")
+    return s.select("symbol", r6(F.col("s")).alias("sentiment"), label.alias("label"), (z("n") + z("gn")).cast("long").alias("n"))
 
 
 _Q = ("q", "SELECT 'C' || (o_custkey % 20)::VARCHAR AS symbol, year(o_orderdate) AS fy, quarter(o_orderdate) AS fp, sum(o_totalprice) AS quarter_revenue, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS income FROM orders GROUP BY ALL")

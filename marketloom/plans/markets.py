@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import r6, safe_div
 from ..operators import windows as w
-from ..operators.evaluation import auc
+from ..operators.evaluation import auc, drift
+from ..operators.recursive import smooth
 from ..registry import query
 from ..sources.files import KeyedTable, scratch
 from ..sources.logical import bars, predictions, raw, ticks, transactions, twin, verdicts
-from .learning import _RES, resolved
+from .learning import _BIN, _RES, resolved
 
 _W = "(PARTITION BY symbol ORDER BY date"
 _RET = f"ln(close / lag(close) OVER {_W}))"
@@ -62,12 +64,9 @@ def feat_rsi_seeded(spark, sf_dir) -> DataFrame:
         up, down = x.clip(min=0), (-x).clip(min=0)
         if len(x) < 14:
             return pdf.iloc[:0].assign(rsi=0.0)[["symbol", "date", "rsi"]]
-        g, loss, out = up[:14].mean(), down[:14].mean(), []
-        for i in range(14, len(x) + 1):
-            out.append(100.0 if loss == 0 else 100 - 100 / (1 + g / loss))
-            if i < len(x):
-                g, loss = (g * 13 + up[i]) / 14, (loss * 13 + down[i]) / 14
-        return pdf.iloc[14:].assign(rsi=out)[["symbol", "date", "rsi"]]
+        g, loss = (smooth(np.r_[side[:14].mean(), side[14:]], 1 / 14) for side in (up, down))
+        rsi = np.where(loss == 0, 100.0, 100 - 100 / (1 + g / np.where(loss == 0, 1.0, loss)))
+        return pdf.iloc[14:].assign(rsi=rsi)[["symbol", "date", "rsi"]]
 
     b = bars(spark, sf_dir).select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, "symbol string, date date, rsi double")
     return b.withColumn("rsi", F.round("rsi", 5))
@@ -123,12 +122,21 @@ def conviction_topk(spark, sf_dir) -> DataFrame:
     return predictions(spark, sf_dir).orderBy(F.desc(c), "id").limit(10).select("id", "symbol", r6(c).alias("conviction"))
 
 
-@query("drift_decision", twin("SELECT fold, n, round(acc, 6) AS accuracy, n >= 200 AND acc < 0.48::DOUBLE AS drift, n >= 200 AND acc < 0.48::DOUBLE AND fold >= 3 AS retrain FROM (SELECT fold, count(*)::BIGINT AS n, avg(correct) AS acc FROM res GROUP BY fold)", _RES))
+_DRIFT = f"""SELECT symbol, n, CASE WHEN n >= 200 THEN round(acc, 6) END AS accuracy, CASE WHEN n >= 200 THEN round(s / n, 6) END AS ece, n >= 200 AND (acc < 0.48::DOUBLE OR s / n > 0.1::DOUBLE) AS drift,
+  n >= 200 AND (acc < 0.48::DOUBLE OR s / n > 0.1::DOUBLE) AND age >= 3 AS retrain FROM
+  (SELECT symbol, count(*)::BIGINT AS n, avg(correct) AS acc, (SELECT max(generated_at::DATE) FROM res) - min(generated_at::DATE) AS age FROM res GROUP BY symbol) JOIN
+  (SELECT symbol, sum(k * gap) AS s FROM (SELECT symbol, count(*) AS k, abs(avg(p) - avg(correct)) AS gap FROM (SELECT symbol, confidence / 100::DOUBLE AS p, correct FROM res) WHERE p < 1 GROUP BY symbol, {_BIN}) GROUP BY symbol) USING (symbol)"""
+
+
+@query("drift_decision", twin(_DRIFT, _RES))
 def drift_decision(spark, sf_dir) -> DataFrame:
-    """Retrain only models that drift on enough outcomes and are old enough (the fold number stands for the age in days)."""
-    m = resolved(spark, sf_dir).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("acc"))
-    drift = (F.col("n") >= 200) & (F.col("acc") < 0.48)
-    return m.select("fold", "n", r6(F.col("acc")).alias("accuracy"), drift.alias("drift"), (drift & (F.col("fold") >= 3)).alias("retrain"))
+    """Retrain a symbol's model if its accuracy or its calibration drifts on enough outcomes, and it is three days old (since its first forecast)."""
+    r = resolved(spark, sf_dir).withColumn("stated", F.col("confidence") / 100)
+    newest = r.agg(F.max(F.to_date("generated_at")).alias("newest"))
+    age = r.groupBy("symbol").agg(F.min(F.to_date("generated_at")).alias("first")).crossJoin(F.broadcast(newest))  # one row
+    age = age.select("symbol", F.datediff("newest", "first").alias("age"))
+    d = drift(r, ["symbol"], "correct", "stated").join(age, "symbol")
+    return d.select("symbol", "n", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("ece")).alias("ece"), "drift", (F.col("drift") & (F.col("age") >= 3)).alias("retrain"))
 
 
 @query("forecast_bundle", twin("SELECT symbol, date, open * k AS open, high * k AS high, low * k AS low, close * k AS close FROM (SELECT *, (1 - (volume::BIGINT % 5) / 100::DOUBLE) AS k, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM bars) WHERE n <= 60"))

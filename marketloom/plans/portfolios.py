@@ -119,13 +119,14 @@ def benchmark(spark, sf_dir) -> DataFrame:
 _EXP = "OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-@query("vol_target", twin(f"SELECT date, round(CASE WHEN count(m) {_EXP} < 10 THEN 1 ELSE least(3, 0.05::DOUBLE / nullif(stddev_samp(m) {_EXP}, 0)) END, 6) AS leverage, round(m, 6) AS ret FROM mk WHERE m IS NOT NULL", _RB, _MK))
+_LEVER = f"CASE WHEN count(m) {_EXP} < 10 OR stddev_samp(m) {_EXP} <= 1e-12::DOUBLE THEN 1 ELSE least(3, 0.05::DOUBLE / nullif(stddev_samp(m) {_EXP}, 0)) END"
+
+
+@query("vol_target", twin(f"SELECT date, round({_LEVER}, 6) AS leverage, round(m * {_LEVER}, 6) AS ret FROM mk WHERE m IS NOT NULL", _RB, _MK))
 def vol_target(spark, sf_dir) -> DataFrame:
-    """Leverage from the expanding deviation of earlier periods; one row per date, hence the unpartitioned window."""
+    """Market returns scaled by the leverage that the deviation of earlier dates asks for."""
     m = bars(spark, sf_dir).select("symbol", "date", w.log_return(F.col("close")).alias("r")).groupBy("date").agg(F.avg("r").alias("m")).where("m is not null")
-    past = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    lev = F.when(F.count("m").over(past) < 10, 1.0).otherwise(F.least(F.lit(3.0), 0.05 / F.nullif(F.stddev_samp("m").over(past), F.lit(0.0))))
-    return m.select("date", r6(lev).alias("leverage"), r6(F.col("m")).alias("ret"))
+    return pf.vol_target(m, "m", 0.05).select("date", r6(F.col("leverage")).alias("leverage"), r6(F.col("scaled")).alias("ret"))
 
 
 def _perf_sql(src: str, by: str, periods: float) -> str:

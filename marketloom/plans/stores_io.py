@@ -95,12 +95,12 @@ def json_ticker_map(spark, sf_dir) -> DataFrame:
     return rows.select(F.upper("r.ticker").alias("ticker"), F.col("r.cik_str").alias("cik")).join(universe, "cik").select("ticker", "cik")
 
 
-@query("labelled_csv", twin("SELECT trim(title) AS sentence, CASE score WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END AS label FROM news WHERE score IS NOT NULL AND url % 3 <> 0"))
+@query("labelled_csv", twin("SELECT trim(text) AS sentence, CASE score WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END AS label FROM news WHERE score IS NOT NULL AND url % 3 <> 0"))
 def labelled_csv(spark, sf_dir) -> DataFrame:
     """Labelled sentences: quoted text with line breaks, labels trimmed, lower-cased and checked against the known ones."""
     path = scratch(spark, "labelled")
     label = F.when(F.col("score") == 1, " Positive").when(F.col("score") == -1, "NEGATIVE ").otherwise("neutral")
-    n = news(spark, sf_dir).where("score is not null").select(F.trim("title").alias("sentence"), F.when(F.col("url") % 3 == 0, "n/a").otherwise(label).alias("label"))
+    n = news(spark, sf_dir).where("score is not null").select(F.trim("text").alias("sentence"), F.when(F.col("url") % 3 == 0, "n/a").otherwise(label).alias("label"))
     n.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     back = spark.read.csv(path, header=True, multiLine=True, escape='"', schema="sentence string, label string")
     return back.select(F.coalesce("sentence", F.lit("")).alias("sentence"), F.lower(F.trim("label")).alias("label")).where(F.col("label").isin("positive", "negative", "neutral"))

@@ -27,10 +27,22 @@ def stream_dedupe(spark, sf_dir) -> DataFrame:
     return jobs.drain(jobs.deduplicated(_ticks(spark, sf_dir), ["symbol", "event_type"]).select("symbol", "event_type"), "dedupe")
 
 
-@query("stream_rate_limit", twin("SELECT symbol, start, count(*)::BIGINT AS n FROM (SELECT symbol, unnest([time_bucket(INTERVAL 3 HOUR, ts), time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR]) AS start FROM ticks) GROUP BY ALL HAVING count(*) > 6"))
+_HITS = ("h", "SELECT symbol, id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY symbol ORDER BY ts, id) AS n FROM ticks")
+_LOG = ("lg", """SELECT symbol, id, n, t, [t] AS q, true AS admitted, NULL::BIGINT AS retry FROM h WHERE n = 1
+  UNION ALL SELECT symbol, id, n, t, CASE WHEN len(f) < 3 THEN list_append(f, t) ELSE f END, len(f) < 3, CASE WHEN len(f) >= 3 THEN greatest(1, ceil(f[1] + 21600 - t))::BIGINT END
+  FROM (SELECT h.symbol, h.id, h.n, h.t, list_filter(lg.q, lambda x: x > h.t - 21600) AS f FROM lg JOIN h ON h.symbol = lg.symbol AND h.n = lg.n + 1)""")
+
+
+@query("stream_rate_limit", twin("SELECT symbol, id, admitted, retry FROM lg", _HITS, _LOG, recursive=True))
 def stream_rate_limit(spark, sf_dir) -> DataFrame:
+    """At most three hits of a symbol in any six hours; what is refused does not count."""
+    return jobs.drain(jobs.limited(_ticks(spark, sf_dir), "symbol", 3, 6 * 3600.0), "rate")
+
+
+@query("stream_hits", twin("SELECT symbol, start, count(*)::BIGINT AS n FROM (SELECT symbol, unnest([time_bucket(INTERVAL 3 HOUR, ts), time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR]) AS start FROM ticks) GROUP BY ALL HAVING count(*) > 6"))
+def stream_hits(spark, sf_dir) -> DataFrame:
     """Windows of six hours, every three, with more than six hits."""
-    out = jobs.drain_upserts(jobs.hits_per_window(_ticks(spark, sf_dir)), "rate", ["symbol", "start"])
+    out = jobs.drain_upserts(jobs.hits_per_window(_ticks(spark, sf_dir)), "hits", ["symbol", "start"])
     return out.where("n > 6").select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 

@@ -7,7 +7,6 @@ the old one and readers take the newest complete one; an executor lost in mid-wr
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,8 +14,14 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share (``spark.checkpoint.dir``; a temporary folder where that is unset)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="marketloom-")
+    """A new folder that driver and executors share (``spark.checkpoint.dir``; a temporary folder where that is unset and Spark is local)."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="marketloom-")
+        context.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -42,34 +47,110 @@ def epoch_day(c: Column, unit: str = "ms") -> Column:
 
 
 class KeyedTable:
-    """Rows unique by key in versioned Parquet folders."""
+    """Rows unique by key in versioned Parquet folders, dealt into ``buckets`` by a hash of the key.
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str):
-        self.spark, self.path, self.keys, self.schema = spark, path, keys, schema
-        self.versions: list[str] = []
+    A version is a folder ``v=<number>`` under ``path``; only one with the writer's success marker counts, and the highest counts.
+    Any object over the same path, in any session, finds it.  A change rewrites the buckets that its keys fall into; the
+    others of the version before stay where they are, as each bucket is read from the newest version that has it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int = 16):
+        self.spark, self.path, self.keys, self.schema, self.buckets = spark, path, keys, schema, buckets
+
+    def _versions(self) -> list[str]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not store.exists(root):
+            return []
+        names = [f.getPath().getName() for f in store.listStatus(root) if f.getPath().getName().startswith("v=")]
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted((n for n in names if store.exists(done(f"{self.path}/{n}/_SUCCESS"))), key=lambda n: int(n[2:]))
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def _current(self) -> DataFrame:
+        """The rows with their bucket; of each bucket those of the newest version that lists it."""
+        versions, empty = self._versions(), self._bucketed(self.spark.createDataFrame([], self.schema))
+        if not versions:
+            return empty
+        newest: dict[int, str] = {}
+        for v in versions:
+            for row in self.spark.read.schema("bucket int").json(f"{self.path}/{v}/buckets").collect():  # at most ``buckets`` rows
+                newest[row["bucket"]] = v
+        used: dict[str, list[int]] = {}
+        for bucket, v in newest.items():
+            used.setdefault(v, []).append(bucket)
+        out = empty
+        for v, own in used.items():
+            part = self.spark.read.schema(empty.schema).parquet(f"{self.path}/{v}/rows").where(F.col("_bucket").isin(own))
+            out = out.unionByName(part)
+        return out
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.versions[-1]) if self.versions else self.spark.createDataFrame([], self.schema)
+        return self._current().drop("_bucket")
+
+    def _write(self, df: DataFrame, touched: list[int]) -> None:
+        """A new version with the rows (and their ``_bucket``) of the touched buckets; the marker comes last."""
+        versions = self._versions()
+        new = f"{self.path}/v={int(versions[-1][2:]) + 1 if versions else 1}"
+        df.write.mode("overwrite").partitionBy("_bucket").parquet(f"{new}/rows")
+        self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").json(f"{new}/buckets")
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{new}/_SUCCESS")
+        done.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).create(done, True).close()
 
-    def _write(self, df: DataFrame) -> None:
-        new = f"{self.path}/v={time.time_ns()}"
-        df.write.parquet(new)
-        self.versions.append(new)
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r[0] for r in rows.select("_bucket").distinct().collect())
 
     def upsert(self, rows: DataFrame, order: list[Column]) -> None:
         """New rows replace old ones of their key; among the new the first in ``order`` wins."""
-        all_rows = self.read().withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+        rows = self._bucketed(rows)
+        touched = self._touched(rows)
+        old = self._current().where(F.col("_bucket").isin(touched)).withColumn("_new", F.lit(0))
         n = F.row_number().over(Window.partitionBy(*self.keys).orderBy(F.desc("_new"), *order))
-        self._write(all_rows.withColumn("_n", n).where("_n = 1").drop("_n", "_new"))
+        merged = old.unionByName(rows.withColumn("_new", F.lit(1))).withColumn("_n", n).where("_n = 1").drop("_n", "_new")
+        if touched:
+            self._write(merged, touched)
 
     def insert_ignore(self, rows: DataFrame, order: list[Column]) -> None:
         """The first writer of a key wins."""
-        n = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*order))
-        fresh = rows.withColumn("_n", n).where("_n = 1").drop("_n").join(self.read().select(*self.keys), self.keys, "left_anti")
-        self._write(self.read().unionByName(fresh))
+        rows = self._bucketed(rows)
+        touched = self._touched(rows)
+        old = self._current().where(F.col("_bucket").isin(touched)).withColumn("_new", F.lit(0))
+        n = F.row_number().over(Window.partitionBy(*self.keys).orderBy("_new", *order))
+        if touched:
+            self._write(old.unionByName(rows.withColumn("_new", F.lit(1))).withColumn("_n", n).where("_n = 1").drop("_n", "_new"), touched)
 
     def prune(self, keep: Column) -> None:
-        self._write(self.read().where(keep))
+        """Keep what ``keep`` holds for; buckets without other rows are left alone."""
+        touched = self._touched(self._current().where(~F.coalesce(keep, F.lit(False))))
+        if touched:
+            self._write(self._current().where(F.col("_bucket").isin(touched) & keep), touched)
+
+    def prune_older(self, column: str, today: Column, keep_days: int) -> None:
+        """Drop rows older than ``keep_days`` before ``today``; with 0 or fewer days nothing is dropped."""
+        if keep_days > 0:
+            self.prune(F.col(column) >= F.date_sub(today, keep_days))
+
+    def vacuum(self) -> None:
+        """Write all buckets as one version and remove the older ones (not while others read them)."""
+        self._write(self._current(), list(range(self.buckets)))
+        for v in self._versions()[:-1]:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{v}")
+            old.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Add rows to a log folder; readers see whole files only."""
+    rows.write.mode("append").parquet(path)
+
+
+def copy_since(source: DataFrame, target: KeyedTable, time: str, since: str, order: list[Column], apply: bool = False) -> DataFrame:
+    """Rows per symbol from the date on; they are upserted into the target only if ``apply`` is set (otherwise a dry run)."""
+    rows = source.where(F.col(time) >= F.lit(since).cast("date"))
+    if apply:
+        target.upsert(rows, order)
+    return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 def backup(df: DataFrame, path: str) -> None:

@@ -67,8 +67,9 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, lab = raw(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.substring("text", 1, 40).alias("title")), raw(spark, sf_dir, "labels")
-    return d.join(lab, "doc_id", "left").select(F.col("doc_id").alias("url"), F.col("source").alias("symbol"), "lang", "n_chars", "title", F.when(F.col("toxic") == 1, -1.0).when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.0).alias("score"), F.date_sub(F.lit("2024-02-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("published"))
+    """url, symbol, lang, n_chars, title (for display), text, score, published."""
+    d, lab = raw(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.substring("text", 1, 40).alias("title"), "text"), raw(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id", "left").select(F.col("doc_id").alias("url"), F.col("source").alias("symbol"), "lang", "n_chars", "title", "text", F.when(F.col("toxic") == 1, -1.0).when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.0).alias("score"), F.date_sub(F.lit("2024-02-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("published"))
 
 
 #: Definitions for the SQL twins.
@@ -85,7 +86,7 @@ SQL: dict[str, str] = {
         'A' || (o_custkey % 3)::VARCHAR AS account, 'Order ' || o_orderkey::VARCHAR AS title FROM orders""",
     "trades": f"""SELECT o_custkey AS user_id, p_brand AS symbol, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity AS quantity, l_extendedprice / l_quantity AS price, l_shipdate::DATE AS trade_date, row({', '.join(_KEY)}) AS seq
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
-    "news": """SELECT d.doc_id AS url, source AS symbol, lang, n_chars, substr(text, 1, 40) AS title, CASE WHEN toxic = 1 THEN -1::DOUBLE WHEN quality = 1 THEN 1::DOUBLE WHEN quality = 0 THEN 0::DOUBLE END AS score,
+    "news": """SELECT d.doc_id AS url, source AS symbol, lang, n_chars, substr(text, 1, 40) AS title, text, CASE WHEN toxic = 1 THEN -1::DOUBLE WHEN quality = 1 THEN 1::DOUBLE WHEN quality = 0 THEN 0::DOUBLE END AS score,
         (DATE '2024-02-01' - (d.doc_id % 30)::INT)::DATE AS published FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 }
 

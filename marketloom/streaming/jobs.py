@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,12 +33,14 @@ def drain_upserts(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Run an update-mode stream; each micro-batch's rows replace those of their keys (the newest batch wins)."""
     spark = stream.sparkSession
     base = scratch(spark, f"stream-{name}")
+    spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0)).write.parquet(f"{base}/out/batch=-1")
 
     def put(batch: DataFrame, number: int) -> None:  # idempotent: a repeated batch overwrites its own folder
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     stream.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(put).start().awaitTermination()
-    rows = spark.read.parquet(f"{base}/out").drop("batch")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema]
+    rows = spark.read.schema(", ".join([*fields, "_batch int"])).parquet(f"{base}/out")  # also where no micro-batch ran
     return rows.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in rows.columns if c not in (*keys, "_batch")])
 
 
@@ -72,6 +76,32 @@ def hits_per_window(ticks: DataFrame, width: str = "6 hours", slide: str = "3 ho
     return hits.select("symbol", F.col("w.start").alias("start"), "n")
 
 
+def limited(hits: DataFrame, key: str, limit: int, window: float) -> DataFrame:
+    """Admit at most ``limit`` hits per key in any ``window`` seconds; refused hits do not count.
+
+    Adds ``admitted`` and ``retry`` (whole seconds until a refused hit could be admitted; NULL if admitted).  The state is the times
+    of the admitted hits of the last window, ``limit`` at most.  Inside a micro-batch hits are taken in order of time and id.
+    """
+    kind = hits.schema[key].dataType.simpleString()
+
+    def admit(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        recent = deque(state.get[0] if state.exists else [])
+        admitted, retry = [], []
+        for now in (rows["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist():
+            while recent and recent[0] <= now - window:
+                recent.popleft()
+            free = len(recent) < limit
+            admitted.append(free)
+            retry.append(None if free else max(1, math.ceil(recent[0] + window - now)))
+            if free:
+                recent.append(now)
+        state.update((list(recent),))
+        yield pd.DataFrame({key: group[0], "id": rows["id"].to_numpy(), "admitted": admitted, "retry": pd.array(retry, dtype="Int64")})
+
+    return hits.select(key, "id", "ts").groupBy(key).applyInPandasWithState(admit, f"{key} {kind}, id long, admitted boolean, retry long", "times array<double>", "append", "NoTimeout")
+
+
 def sessions(ticks: DataFrame, gap: str = "2 hours") -> DataFrame:
     s = ticks.withWatermark("ts", "1 hour").groupBy("symbol", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return s.select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
@@ -87,5 +117,6 @@ def alerts_once(ticks: DataFrame, levels: DataFrame) -> DataFrame:
             state.update((int(first["id"]),))
             yield pd.DataFrame({"symbol": [key[0]], "level": [key[1]], "direction": [key[2]], "price": [first["price"]], "id": [first["id"]]})
 
-    crossed = ticks.join(F.broadcast(levels), "symbol").where(F.when(F.col("direction") == "above", F.col("price") >= F.col("level")).otherwise(F.col("price") <= F.col("level")))  # alerts are a user's own short list
+    # Spark broadcasts the levels if they are few, and shuffles both sides otherwise
+    crossed = ticks.join(levels, "symbol").where(F.when(F.col("direction") == "above", F.col("price") >= F.col("level")).otherwise(F.col("price") <= F.col("level")))
     return crossed.select("symbol", "level", "direction", "price", "id", "ts").groupBy("symbol", "level", "direction").applyInPandasWithState(fire, "symbol string, level double, direction string, price double, id long", "fired long", "append", "NoTimeout")
