@@ -40,3 +40,8 @@ def add_business_days(d: Column, n: int) -> Column:
 
 def banker_round(c: Column) -> Column:
     return F.bround(c, 0)
+
+
+def half_up(c: Column, digits: int) -> Column:
+    """Rounded by the binary value, halves up, as money reports do."""
+    return F.floor(c * 10**digits + 0.5) / 10**digits

@@ -46,13 +46,44 @@ def top_fraction(df: DataFrame, score: str, frac: float, tie: str = "symbol", lo
     return df.where("_n <= _k").drop("_k", "_n")
 
 
-def leg_weights(df: DataFrame, kelly: bool = True, inverse_vol: bool = True) -> DataFrame:
-    """Weights within each date: edge over one half, divided by vol, scaled to sum to 1; equal where nothing is left."""
+def leg_weights(df: DataFrame, kelly: bool = True, inverse_vol: bool = True, by: tuple[str, ...] = ("date",)) -> DataFrame:
+    """Weights that sum to 1 within each group: quarter-Kelly of ``meta``, over volatility.
+
+    A name without an edge takes the mean Kelly share of those that have one; a missing volatility is the group's median; where
+    nothing is left to tell names apart they weigh the same.
+    """
+    group = Window.partitionBy(*by)
+    tilt = F.lit(1.0)
+    if inverse_vol:
+        vol = F.when(F.col("vol") > 0, F.col("vol"))
+        tilt = 1 / F.coalesce(vol, F.median(vol).over(group), F.lit(1.0))
+    if kelly:
+        share = kelly_fraction(F.coalesce("meta", F.lit(0.5)))
+        usual = F.coalesce(F.avg(F.when(share > 0, share)).over(group), F.lit(1.0))
+        tilt = tilt * F.when(share > 0, share).otherwise(usual)
+    total = F.sum("_w").over(group)
+    return df.withColumn("_w", tilt).withColumn("weight", F.when(total > 1e-12, F.col("_w") / F.nullif(total, F.lit(0.0))).otherwise(1 / F.count(F.lit(1)).over(group))).drop("_w")
+
+
+def simulate(panel: DataFrame, dates: DataFrame, frac: float = 0.2, long_short: bool = True, use_regime: bool = True, meta_gate: float = 0.0, mode: str = "none", kelly: bool = True, inverse_vol: bool = True, cost: float = 0.0005) -> DataFrame:
+    """One return per rebalance date: the weighted top ``frac`` by score, less the weighted bottom one if ``long_short``, half each.
+
+    Each leg costs ``cost`` before the legs are halved; the whole period is scaled by regime.  With a neutralising ``mode`` the legs
+    earn residual returns.  Both legs come out of one ranking of each date.
+    """
     day = Window.partitionBy("date")
-    raw = F.greatest(F.col("meta") - 0.5, F.lit(0.0)) if kelly else F.lit(1.0)
-    raw = raw / F.greatest(F.col("vol"), F.lit(1e-9)) if inverse_vol else raw
-    total = F.sum("_w").over(day)
-    return df.withColumn("_w", raw).withColumn("weight", F.when(total > 0, F.col("_w") / F.nullif(total, F.lit(0.0))).otherwise(1 / F.count(F.lit(1)).over(day))).drop("_w")
+    p = panel.join(dates, "date")
+    p = p.where(F.coalesce("meta", F.lit(0.0)) >= meta_gate) if meta_gate > 0 else p
+    p = neutralise(p, "ret", mode)
+    n = F.count(F.lit(1)).over(day)
+    p = p.withColumns({"_n": n, "_k": F.greatest(F.lit(1), F.bround(n * F.lit(frac))), "_at": F.row_number().over(day.orderBy(F.desc("score"), "symbol"))})
+    leg = F.when(F.col("_at") <= F.col("_k"), "long").when(F.lit(long_short) & (F.col("_at") > F.col("_n") - F.col("_k")), "short")
+    p = leg_weights(p.withColumn("_leg", leg).where("_leg is not null"), kelly, inverse_vol, ("date", "_leg"))
+    side = lambda name, sign: F.sum(F.when(F.col("_leg") == name, sign * F.col("weight") * F.col("residual")))
+    sums = p.groupBy("date").agg(side("long", 1) .alias("_up"), side("short", -1).alias("_down"), F.min("regime").alias("regime"), F.max("_n").alias("breadth"), F.max("_k").cast("long").alias("n_leg"))
+    up = F.col("_up") - cost
+    period = 0.5 * up + 0.5 * (F.col("_down") - cost) if long_short else up
+    return sums.select("date", (period * regime_scale(F.col("regime")) if use_regime else period).alias("ret"), "breadth", "n_leg")
 
 
 def vol_target(returns: DataFrame, ret: str, target: float, least: int = 10, most: float = 3.0) -> DataFrame:
@@ -75,7 +106,7 @@ def spaced_dates(dates: DataFrame, next_date) -> DataFrame:
     kept = F.aggregate(
         F.sort_array(F.collect_set("date")), F.struct(F.lit(None).cast("date").alias("next"), F.array().cast("array<date>").alias("taken")),
         lambda acc, d: F.when(acc["next"].isNull() | (d >= acc["next"]), F.struct(next_date(d).alias("next"), F.concat(acc["taken"], F.array(d)).alias("taken"))).otherwise(acc),
-        lambda acc: acc["taken"],
+        lambda acc: acc["taken"],  # the appends copy a list of at most one date in ten weekdays
     )
     return dates.agg(kept.alias("dates")).select(F.explode("dates").alias("date"))
 
@@ -90,13 +121,13 @@ def regime_scale(c):
 
 
 def performance(df: DataFrame, r: str, by: list[str], order: str, periods: float) -> DataFrame:
-    """Sharpe (sample deviation), worst drawdown, profit factor, win rate and total return of each group's return stream."""
+    """Sharpe (sample deviation), worst drawdown, profit factor (infinite without losses), win rate, total and annual return of each group's return stream."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     x = F.col(r)
-    df = df.withColumn("_e", F.exp(F.sum(F.log1p(x)).over(w)))
+    df = df.withColumn("_e", F.product(1 + x).over(w))
     df = df.withColumn("_dd", F.col("_e") / F.max("_e").over(w) - 1)
     sd = F.stddev_samp(x)
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.when((F.count(x) < 2) | (sd == 0), 0.0).otherwise(F.avg(x) / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(periods))).alias("sharpe"), F.min("_dd").alias("max_drawdown"),
-        F.try_divide(F.sum(F.when(x > 0, x).otherwise(0.0)), -F.sum(F.when(x < 0, x).otherwise(0.0))).alias("profit_factor"), F.avg((x > 0).cast("int")).alias("win_rate"), (F.max_by("_e", order) - 1).alias("total_return"),
+        F.when(F.sum(F.when(x < 0, x).otherwise(0.0)) == 0, float("inf")).otherwise(F.try_divide(F.sum(F.when(x > 0, x).otherwise(0.0)), -F.sum(F.when(x < 0, x).otherwise(0.0)))).alias("profit_factor"), F.avg((x > 0).cast("int")).alias("win_rate"), (F.max_by("_e", order) - 1).alias("total_return"), (F.pow(1 + F.avg(x), F.lit(periods)) - 1).alias("annual_return"), sd.alias("deviation"),
     )

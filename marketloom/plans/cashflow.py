@@ -10,6 +10,8 @@ from ..operators.ledger import expense, income, positions
 from ..registry import query
 from ..sources.logical import bars, raw, trades, transactions, twin, verdicts
 
+#: The category of the test tables that stands for investments, which are no expense.
+INVESTMENT = "not specified"
 _AS_OF = ("asof_", "SELECT max(tx_date) AS d FROM transactions")
 _T = ("t", "SELECT *, CASE WHEN amount > 0 THEN amount ELSE 0 END AS inc, CASE WHEN amount < 0 AND category <> 'not specified' THEN -amount ELSE 0 END AS exp FROM transactions, asof_")
 _POS = (("o", "SELECT *, row_number() OVER (PARTITION BY user_id, symbol ORDER BY trade_date, seq, side, quantity, price) AS rn FROM trades"),
@@ -22,7 +24,7 @@ def dated(spark, sf_dir) -> DataFrame:
     """Transactions with the report date ``d``: the newest transaction, never the clock."""
     t = transactions(spark, sf_dir)
     t = t.crossJoin(F.broadcast(t.agg(F.max("tx_date").alias("d"))))  # one row
-    return t.withColumn("inc", income(F.col("amount"))).withColumn("exp", expense(F.col("amount"), F.col("category")))
+    return t.withColumn("inc", income(F.col("amount"))).withColumn("exp", expense(F.col("amount"), F.col("category"), INVESTMENT))
 
 
 def r2(c):
@@ -128,11 +130,15 @@ def heatmap(spark, sf_dir) -> DataFrame:
     return days.crossJoin(top).select("tx_date", r2(F.col("spend")).alias("spend"), F.least(F.lit(4), F.floor(4 * F.log1p("spend") / F.nullif(F.log1p("top"), F.lit(0.0)))).cast("int").alias("level"))
 
 
-@query("top_categories", twin("SELECT user_id, category, round(spend, 2) AS spend FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY spend DESC, category) AS k FROM (SELECT user_id, category, sum(exp) AS spend FROM t GROUP BY ALL) WHERE spend > 0) WHERE k <= 2", _AS_OF, _T))
+@query("top_categories", twin("SELECT user_id, category, round(spend, 2) AS spend, round(100 * (inc - total) / nullif(inc, 0), 4) AS savings_rate FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY spend DESC, category) AS k FROM (SELECT user_id, category, sum(exp) AS spend, sum(sum(inc)) OVER (PARTITION BY user_id) AS inc, sum(sum(exp)) OVER (PARTITION BY user_id) AS total FROM t GROUP BY user_id, category) WHERE spend > 0) WHERE k <= 5", _AS_OF, _T))
 def top_categories(spark, sf_dir) -> DataFrame:
-    s = dated(spark, sf_dir).groupBy("user_id", "category").agg(F.sum("exp").alias("spend")).where("spend > 0")
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("spend"), "category"))
-    return s.withColumn("k", k).where("k <= 2").select("user_id", "category", r2(F.col("spend")).alias("spend"))
+    """The five largest categories of a user's spending, with the share of income that is saved."""
+    s = dated(spark, sf_dir).groupBy("user_id", "category").agg(F.sum("exp").alias("spend"), F.sum("inc").alias("inc"))
+    user = Window.partitionBy("user_id")
+    s = s.withColumns({"total": F.sum("spend").over(user), "earned": F.sum("inc").over(user)}).where("spend > 0")
+    k = F.row_number().over(user.orderBy(F.desc("spend"), "category"))
+    saved = F.round(100 * (F.col("earned") - F.col("total")) / F.nullif("earned", F.lit(0.0)), 4)
+    return s.withColumn("k", k).where("k <= 5").select("user_id", "category", r2(F.col("spend")).alias("spend"), saved.alias("savings_rate"))
 
 
 @query("diversification", twin("SELECT user_id, round((1 - sum(w * w)) * 100)::INT AS score, CASE WHEN round((1 - sum(w * w)) * 100) >= 75 THEN 'strong' WHEN round((1 - sum(w * w)) * 100) >= 50 THEN 'moderate' ELSE 'concentrated' END AS label FROM (SELECT user_id, cost / sum(cost) OVER (PARTITION BY user_id) AS w FROM ps WHERE cost > 0) GROUP BY user_id", *_POS, recursive=True))

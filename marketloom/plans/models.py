@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import r6, safe_div
 from ..operators import windows as w
+from ..operators.fracdiff import fracdiff, weights
 from ..operators.labels import pooled_position, purged_folds
 from ..operators.recursive import smooth_sql, smoothed
+from ..operators.regimes import decode
 from ..registry import query
 from ..sources.logical import SQL, bars, twin
 from .learning import events
@@ -77,43 +77,75 @@ def ar1_baseline(spark, sf_dir) -> DataFrame:
     return r.groupBy("symbol").agg(r6(F.regr_slope("x", "b")).alias("phi"), r6(F.regr_intercept("x", "b")).alias("c"), r6(F.avg((F.signum("x") == F.signum("b")).cast("int"))).alias("persistence"), F.count(F.lit(1)).alias("n"))
 
 
-@query("adf_statistic", twin("""SELECT symbol, round(b / se, 4) AS t_stat, b / se < -2.86::DOUBLE AS stationary FROM (SELECT symbol, regr_slope(d, l) AS b, sqrt((regr_syy(d, l) - pow(regr_sxy(d, l), 2) / regr_sxx(d, l)) / (regr_count(d, l) - 2) / regr_sxx(d, l)) AS se
-    FROM (SELECT symbol, x - lag(x) OVER (PARTITION BY symbol ORDER BY date) AS d, lag(x) OVER (PARTITION BY symbol ORDER BY date) AS l FROM (SELECT symbol, date, ln(close) AS x FROM bars)) GROUP BY symbol HAVING count(d) >= 50)"""))
+#: The published small-sample surface of the Dickey-Fuller p-value with a constant, and the normal quantile of 5 percent.
+_SURFACE, _FIVE_PERCENT = (2.1659, 1.4412, 0.038269), -1.6448536269514722
+_ADF_SQL = """SELECT {by}, CASE WHEN n >= 48 THEN b / sqrt((syy - b * sy1 - (sy2 * s11 - sy1 * s12) / det * sy2) / (n - 3) * s22 / det) END AS t, n FROM
+  (SELECT *, s11 * s22 - s12 * s12 AS det, (sy1 * s22 - sy2 * s12) / (s11 * s22 - s12 * s12) AS b FROM (SELECT {by}, count(*) AS n, covar_pop(y, y) * count(*) AS syy, covar_pop(y, x1) * count(*) AS sy1, covar_pop(y, x2) * count(*) AS sy2,
+    covar_pop(x1, x1) * count(*) AS s11, covar_pop(x1, x2) * count(*) AS s12, covar_pop(x2, x2) * count(*) AS s22 FROM
+    (SELECT {by}, x - lag(x) OVER w AS y, lag(x) OVER w AS x1, lag(x) OVER w - lag(x, 2) OVER w AS x2 FROM {src} WHERE x IS NOT NULL WINDOW w AS (PARTITION BY {by} ORDER BY date)) WHERE x2 IS NOT NULL GROUP BY {by}))"""
+
+
+def adf(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series (rows with ``x`` by date) the augmented Dickey-Fuller t with a constant and one lagged difference, and whether p < 0.05.
+
+    Series of fewer than fifty values count as not stationary.  The regression on two columns is solved from its centred sums, so
+    a series is only aggregated.
+    """
+    order = Window.partitionBy(*keys).orderBy("date")
+    x = F.col("x")
+    rows = df.where("x is not null").select(*keys, (x - F.lag(x).over(order)).alias("y"), F.lag(x).over(order).alias("x1"), (F.lag(x).over(order) - F.lag(x, 2).over(order)).alias("x2")).where("x2 is not null")
+    both = lambda a, b: (F.covar_pop(a, b) * F.count(F.lit(1))).alias(f"s{a[-1]}{b[-1]}")
+    s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), both("y", "y"), both("y", "x1"), both("y", "x2"), both("x1", "x1"), both("x1", "x2"), both("x2", "x2"))
+    s = s.withColumn("det", F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")).withColumn("b", F.try_divide(F.col("sy1") * F.col("s22") - F.col("sy2") * F.col("s12"), F.col("det")))
+    lagged = F.try_divide(F.col("sy2") * F.col("s11") - F.col("sy1") * F.col("s12"), F.col("det"))
+    rest = F.col("syy") - F.col("b") * F.col("sy1") - lagged * F.col("sy2")
+    t = F.when(F.col("n") >= 48, F.try_divide(F.col("b"), F.sqrt(rest / (F.col("n") - 3) * F.col("s22") / F.col("det"))))
+    surface = _SURFACE[0] + _SURFACE[1] * F.col("t") + _SURFACE[2] * F.col("t") * F.col("t")
+    return s.withColumn("t", t).select(*keys, "t", (F.coalesce(surface < _FIVE_PERCENT, F.lit(False)) & (F.col("t") > -18.83) | F.coalesce(F.col("t") <= -18.83, F.lit(False))).alias("stationary"))
+
+
+_P_SQL = f"coalesce(t <= -18.83::DOUBLE OR {_SURFACE[0]!r}::DOUBLE + {_SURFACE[1]!r}::DOUBLE * t + {_SURFACE[2]!r}::DOUBLE * t * t < {_FIVE_PERCENT!r}::DOUBLE, false)"
+
+
+@query("adf_statistic", twin(f"SELECT symbol, round(t, 4) AS t_stat, {_P_SQL} AS stationary FROM ({_ADF_SQL.format(by='symbol', src='(SELECT symbol, date, ln(close) AS x FROM bars)')})"))
 def adf_statistic(spark, sf_dir) -> DataFrame:
-    """Dickey-Fuller t statistic with a constant; below -2.86 counts as stationary at 5 percent."""
-    b = bars(spark, sf_dir).select("symbol", "date", F.log("close").alias("x")).withColumn("l", w.lag(F.col("x"))).withColumn("d", F.col("x") - F.col("l"))
-    s = b.groupBy("symbol").agg(F.regr_slope("d", "l").alias("b"), F.regr_sxx("d", "l").alias("sxx"), F.regr_syy("d", "l").alias("syy"), F.regr_sxy("d", "l").alias("sxy"), F.regr_count("d", "l").alias("n")).where("n >= 50")
-    se = F.sqrt((F.col("syy") - F.pow("sxy", F.lit(2)) / F.col("sxx")) / (F.col("n") - 2) / F.col("sxx"))
-    return s.select("symbol", F.round(F.col("b") / se, 4).alias("t_stat"), (F.col("b") / se < -2.86).alias("stationary"))
+    """Is the log price stationary?"""
+    return adf(bars(spark, sf_dir).select("symbol", "date", F.log("close").alias("x")), ["symbol"]).select("symbol", F.round("t", 4).alias("t_stat"), "stationary")
+
+
+ORDERS = tuple(k / 10 for k in range(1, 11))
+
+
+def least_order(b: DataFrame, orders: tuple[float, ...] = ORDERS) -> DataFrame:
+    """Per symbol the smallest order whose fractionally differenced log price is stationary; 1 if none is."""
+    for k, d in enumerate(orders):
+        b = fracdiff(b, F.log("close"), d, f"_d{k}")  # one sort for all orders
+    pairs = F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"_d{k}").alias("x")) for k, d in enumerate(orders)])
+    tests = adf(b.select("symbol", "date", F.explode(pairs).alias("p")).select("symbol", "date", "p.d", "p.x"), ["symbol", "d"])
+    return b.select("symbol").distinct().join(tests.where("stationary").groupBy("symbol").agg(F.min("d").alias("d")), "symbol", "left").select("symbol", F.coalesce("d", F.lit(1.0)).alias("d"))
+
+
+def _order_sql() -> str:
+    parts = []
+    for d in ORDERS:
+        c = weights(d)
+        dot = " + ".join(f"{float(v)!r}::DOUBLE * lag(lx, {i}) OVER w" for i, v in reversed(list(enumerate(c))))
+        parts.append(f"SELECT symbol, {d!r}::DOUBLE AS d, date, {dot} AS x FROM (SELECT symbol, date, ln(close) AS lx FROM bars) WINDOW w AS (PARTITION BY symbol ORDER BY date)")
+    return " UNION ALL ".join(parts)
+
+
+@query("least_ffd_order", twin(f"SELECT symbol, coalesce(min(d) FILTER (WHERE {_P_SQL}), 1) AS d FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN ({_ADF_SQL.format(by='symbol, d', src='fd')}) USING (symbol) GROUP BY symbol", ("fd", _order_sql())))
+def least_ffd_order(spark, sf_dir) -> DataFrame:
+    return least_order(bars(spark, sf_dir).select("symbol", "date", "close"))
 
 
 @query("regime_filter")
 def regime_filter(spark, sf_dir) -> DataFrame:
-    """Forward filter of a three-state Gaussian chain over the market's trend and volatility: one series, one row per date.
-
-    States (risk_off, chop, trend) have means from terciles of volatility; only past observations enter a date's probabilities.
-    """
-    m = bars(spark, sf_dir).groupBy("date").agg(F.log(F.avg("close")).alias("x"))
-    days = Window.orderBy("date")
-    m = m.withColumn("d", F.col("x") - F.lag("x").over(days))
-    m = m.select(F.lit(1).alias("k"), "date", F.stddev_samp("d").over(days.rowsBetween(-19, 0)).alias("v"), F.count("d").over(days.rowsBetween(-19, 0)).alias("n")).where("n >= 20")
-
-    def run(pdf):
-        pdf = pdf.sort_values("date")
-        v = np.log(pdf["v"].to_numpy() + 1e-12)
-        means, sd = np.quantile(v[: max(60, len(v) // 3)], [0.85, 0.5, 0.15]), v.std() / 2 + 1e-9
-        stay = np.full((3, 3), 0.025) + np.eye(3) * 0.925
-        belief, out = np.full(3, 1 / 3), []
-        for x in v:
-            belief = belief @ stay * np.exp(-0.5 * ((x - means) / sd) ** 2) + 1e-300
-            belief /= belief.sum()
-            out.append(belief)
-        p = np.array(out).reshape(-1, 3)
-        return pdf.assign(p_risk_off=p[:, 0], p_chop=p[:, 1], p_trend=p[:, 2])[["date", "p_risk_off", "p_chop", "p_trend"]]
-
-    f = m.groupBy("k").applyInPandas(run, "date date, p_risk_off double, p_chop double, p_trend double")
-    best = F.greatest("p_risk_off", "p_chop", "p_trend")
-    return f.withColumn("regime", F.when(F.col("p_risk_off") == best, "risk_off").when(F.col("p_chop") == best, "chop").otherwise("trend"))
+    """Regimes of each symbol from its trend, its turbulence and its range; only past bars enter a bar's probabilities."""
+    b = bars(spark, sf_dir).withColumn("r", w.log_return(F.col("close")))
+    b = b.select("symbol", "date", w.log_return(F.col("close"), 20).alias("ret20"), w.rstd(F.col("r"), 20).alias("vol20"), F.log(w.rmean((F.col("high") - F.col("low")) / F.col("close"), 5) + 1e-6).alias("fear"))
+    d = decode(b, "symbol", ["ret20", "vol20", "fear"])
+    return d.select("symbol", "date", "regime", *[r6(F.col(c)).alias(c) for c in ("p_risk_off", "p_chop", "p_trend")])
 
 
 @query("feature_matrix", twin(f"""SELECT symbol, date, round(close / (CASE WHEN count(close) OVER s5 >= 5 THEN avg(close) OVER s5 END) - 1, 6) AS sma5, round(close / (CASE WHEN count(close) OVER s20 >= 20 THEN avg(close) OVER s20 END) - 1, 6) AS sma20, round(ln(close / lag(close) OVER {_W})), 6) AS r1,

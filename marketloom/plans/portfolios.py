@@ -41,7 +41,7 @@ def market_beta(spark, sf_dir) -> DataFrame:
     return with_risk(bars(spark, sf_dir)).select("symbol", "date", r6(F.col("beta")).alias("beta"), r6(F.col("vol")).alias("vol"))
 
 
-_PN = ("pn", """SELECT e.symbol, e.date, e.ret, coalesce(beta, 1) AS beta, CASE WHEN vol > 0 THEN vol ELSE md END AS vol, ascii(right(e.symbol, 1)) % 4 AS sector, 0.4::DOUBLE + (volume::BIGINT % 41) / 100::DOUBLE AS meta,
+_PN = ("pn", """SELECT e.symbol, e.date, e.ret, coalesce(beta, 1) AS beta, CASE WHEN vol > 0 THEN vol ELSE md END AS vol, ascii(right(e.symbol, 1)) % 4 AS sector, 0.4::DOUBLE + (volume::BIGINT % 41) / 100::DOUBLE AS meta, ((volume::BIGINT * 7) % 41 - 20) / 100::DOUBLE * (0.4::DOUBLE + (volume::BIGINT % 41) / 100::DOUBLE) AS score,
     CASE month(e.date) % 3 WHEN 0 THEN 'trend' WHEN 1 THEN 'chop' ELSE 'risk_off' END AS regime FROM ev e JOIN bars USING (symbol, date) LEFT JOIN bv USING (symbol, date), (SELECT median(vol) AS md FROM bv WHERE vol > 0)""")
 _PANEL = (*_EVENTS, _RB, _MK, _BV, _PN)
 
@@ -52,9 +52,9 @@ def panel(spark, sf_dir) -> DataFrame:
     median = b.where("vol > 0").agg(F.percentile("vol", 0.5).alias("md"))
     b = b.withColumn("width", w.rstd(F.col("r"), 20))
     e = triple_barrier(b.select("symbol", "date", "close", "volume", "beta", "vol", "width"), "width").crossJoin(F.broadcast(median))  # one row
-    month = F.month("date") % 3
+    month, meta = F.month("date") % 3, 0.4 + (F.col("volume").cast("long") % 41) / 100
     return e.select("symbol", "date", "ret", F.coalesce("beta", F.lit(1.0)).alias("beta"), F.when(F.col("vol") > 0, F.col("vol")).otherwise(F.col("md")).alias("vol"), (F.ascii(F.right("symbol", F.lit(1))) % 4).alias("sector"),
-        (0.4 + (F.col("volume").cast("long") % 41) / 100).alias("meta"), F.when(month == 0, "trend").when(month == 1, "chop").otherwise("risk_off").alias("regime"))
+        meta.alias("meta"), (((F.col("volume").cast("long") * 7) % 41 - 20) / 100 * meta).alias("score"), F.when(month == 0, "trend").when(month == 1, "chop").otherwise("risk_off").alias("regime"))
 
 
 _DAY = "(PARTITION BY date)"
@@ -67,7 +67,15 @@ for _mode, _x, _res in (("market", "ret", f"x - avg(x) OVER {_DAY}"), ("sector",
 
 
 _TOP = ("tp", f"SELECT * FROM (SELECT *, greatest(1, round_even(count(*) OVER {_DAY} * 0.2::DOUBLE, 0)) AS k, row_number() OVER (PARTITION BY date ORDER BY meta DESC, symbol) AS n FROM pn) WHERE n <= k")
-_LEG = ("lg", f"SELECT *, CASE WHEN sum(u) OVER {_DAY} > 0 THEN u / nullif(sum(u) OVER {_DAY}, 0) ELSE 1 / (count(*) OVER {_DAY})::DOUBLE END AS weight FROM (SELECT *, greatest(meta - 0.5::DOUBLE, 0) / greatest(vol, 1e-9) AS u FROM tp)")
+
+
+def _leg_sql(name: str, src: str, by: str) -> tuple[str, str]:
+    share = "CASE WHEN meta <= 0 OR meta >= 1 OR meta <= 0.5 THEN 0 ELSE least(0.5::DOUBLE, 0.25::DOUBLE * (2 * meta - 1)) END"
+    tilt = f"CASE WHEN kf > 0 THEN kf ELSE coalesce(avg(kf) FILTER (WHERE kf > 0) OVER {by}, 1) END / vol"
+    return name, f"SELECT *, CASE WHEN sum(u) OVER {by} > 1e-12 THEN u / nullif(sum(u) OVER {by}, 0) ELSE 1 / (count(*) OVER {by})::DOUBLE END AS weight FROM (SELECT *, {tilt} AS u FROM (SELECT *, {share} AS kf FROM {src}))"
+
+
+_LEG = _leg_sql("lg", "tp", _DAY)
 
 
 @query("leg_weights", twin("SELECT symbol, date, meta, round(weight, 6) AS weight FROM lg", *_PANEL, _TOP, _LEG))
@@ -90,23 +98,41 @@ def rebalance_grid(spark, sf_dir) -> DataFrame:
     return grid(panel(spark, sf_dir))
 
 
-_SIM = ("sm", """SELECT date, (l.r - s.r) * 0.5::DOUBLE * CASE rg WHEN 'chop' THEN 0.6::DOUBLE WHEN 'risk_off' THEN 0.25::DOUBLE ELSE 1 END - 0.001::DOUBLE AS ret, l.n AS n_long, s.n AS n_short FROM
-    (SELECT date, sum(weight * ret) AS r, count(*) AS n, min(regime) AS rg FROM lg GROUP BY date) l JOIN (SELECT date, avg(ret) AS r, count(*) AS n FROM (SELECT *, greatest(1, round_even(count(*) OVER (PARTITION BY date) * 0.2::DOUBLE, 0)) AS k, row_number() OVER (PARTITION BY date ORDER BY meta, symbol) AS n FROM pn) WHERE n <= k GROUP BY date) s USING (date)
-    JOIN (SELECT d AS date FROM gr WHERE d IS NOT NULL) USING (date)""")
+_EXPANDING = "OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_LEGS = ("sl", f"SELECT * FROM (SELECT *, CASE WHEN place <= k THEN 'long' WHEN place > n - k THEN 'short' END AS leg FROM (SELECT *, ret - avg(ret) OVER {_DAY} AS residual, count(*) OVER {_DAY} AS n, greatest(1, round_even(count(*) OVER {_DAY} * 0.2::DOUBLE, 0)) AS k, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS place FROM pn JOIN (SELECT d AS date FROM gr WHERE d IS NOT NULL) USING (date))) WHERE leg IS NOT NULL")
+_SIM = ("sm", """SELECT date, (0.5::DOUBLE * (up - 0.0005::DOUBLE) + 0.5::DOUBLE * (down - 0.0005::DOUBLE)) * CASE rg WHEN 'chop' THEN 0.6::DOUBLE WHEN 'risk_off' THEN 0.25::DOUBLE ELSE 1 END AS ret, breadth, n_leg FROM (SELECT date, sum(weight * residual) FILTER (WHERE leg = 'long') AS up, -sum(weight * residual) FILTER (WHERE leg = 'short') AS down,
+    min(regime) AS rg, max(n)::BIGINT AS breadth, max(k)::BIGINT AS n_leg FROM sw GROUP BY date)""")
+_BOOKED = (*_PANEL, *_GRID, _LEGS, _leg_sql("sw", "sl", "(PARTITION BY date, leg)"), _SIM)
 
 
-def simulate(p: DataFrame, frac: float = 0.2, cost: float = 0.0005) -> DataFrame:
-    """Long the weighted top, short the equal-weight bottom, half each, scaled by regime, less the cost of both legs."""
-    dates = grid(p)
-    p = p.join(dates, "date")
-    top = pf.leg_weights(pf.top_fraction(p, "meta", frac)).groupBy("date").agg(F.sum(F.col("weight") * F.col("ret")).alias("up"), F.count(F.lit(1)).alias("n_long"), F.min("regime").alias("regime"))
-    low = pf.top_fraction(p, "meta", frac, lowest=True).groupBy("date").agg(F.avg("ret").alias("down"), F.count(F.lit(1)).alias("n_short"))
-    return top.join(low, "date").select("date", ((F.col("up") - F.col("down")) * 0.5 * pf.regime_scale(F.col("regime")) - 2 * cost).alias("ret"), "n_long", "n_short")
+def simulated(spark, sf_dir) -> DataFrame:
+    p = panel(spark, sf_dir)
+    return pf.simulate(p, grid(p), mode="market")
 
 
-@query("portfolio_sim", twin("SELECT date, round(ret, 5) AS ret, n_long::BIGINT AS n_long, n_short::BIGINT AS n_short FROM sm", *_PANEL, _TOP, _LEG, *_GRID, _SIM, recursive=True))
+@query("portfolio_sim", twin("SELECT date, round(ret, 6) AS ret, breadth, n_leg FROM sm", *_BOOKED, recursive=True))
 def portfolio_sim(spark, sf_dir) -> DataFrame:
-    return simulate(panel(spark, sf_dir)).withColumn("ret", F.round("ret", 5))
+    """Market-neutral long and short quintiles by edge times meta probability, a return per rebalance date."""
+    return simulated(spark, sf_dir).withColumn("ret", r6(F.col("ret")))
+
+
+_TARGET, _PERIODS = 0.3 / 26**0.5, 26.0
+_LEV = f"CASE WHEN count(ret) {_EXPANDING} < 10 OR stddev_samp(ret) {_EXPANDING} <= 1e-12::DOUBLE THEN 1 ELSE least(3, {_TARGET!r}::DOUBLE / nullif(stddev_samp(ret) {_EXPANDING}, 0)) END"
+_REPORT = f"""SELECT count(*)::BIGINT AS periods, round(avg(breadth), 4) AS avg_breadth, round(avg(x) / stddev_samp(x) * sqrt({_PERIODS!r}::DOUBLE), 4) AS sharpe, round(arg_max(e, date) - 1, 4) AS total_return, round(pow(1 + avg(x), {_PERIODS!r}::DOUBLE) - 1, 4) AS ann_return, round(stddev_samp(x), 6) AS vol_per_period,
+  round(min(e / m - 1), 4) AS max_dd, round(avg((x > 0)::INT), 4) AS win_rate, CASE WHEN sum(least(x, 0)) = 0 THEN 'Infinity'::DOUBLE ELSE round(sum(greatest(x, 0)) / -sum(least(x, 0)), 4) END AS profit_factor FROM
+  (SELECT *, max(e) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS m FROM (SELECT *, product(1 + x) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT date, breadth, ret * {_LEV} AS x FROM sm)))"""
+
+
+@query("portfolio_report", twin(_REPORT, *_BOOKED, recursive=True))
+def portfolio_report(spark, sf_dir) -> DataFrame:
+    """The simulated book under a volatility target of 30 percent a year: one row."""
+    r = pf.vol_target(simulated(spark, sf_dir), "ret", _TARGET).withColumn("k", F.lit(0))
+    m = pf.performance(r, "scaled", ["k"], "date", _PERIODS).join(r.groupBy("k").agg(F.avg("breadth").alias("breadth")), "k")
+    fixed = lambda c, n=4: F.round(c, n)
+    return m.select(
+        F.col("n").alias("periods"), fixed("breadth").alias("avg_breadth"), fixed("sharpe").alias("sharpe"), fixed("total_return").alias("total_return"), fixed("annual_return").alias("ann_return"), fixed("deviation", 6).alias("vol_per_period"),
+        fixed("max_drawdown").alias("max_dd"), fixed("win_rate").alias("win_rate"), F.when(F.col("profit_factor") == float("inf"), F.col("profit_factor")).otherwise(fixed("profit_factor")).alias("profit_factor"),
+    )
 
 
 @query("benchmark", twin("SELECT date, round(avg(ret), 6) AS ret, count(*)::BIGINT AS n FROM pn JOIN gr ON gr.d = pn.date GROUP BY date", *_PANEL, *_GRID, recursive=True))
@@ -116,7 +142,7 @@ def benchmark(spark, sf_dir) -> DataFrame:
     return p.join(grid(p), "date").groupBy("date").agg(r6(F.avg("ret")).alias("ret"), F.count(F.lit(1)).alias("n"))
 
 
-_EXP = "OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_EXP = _EXPANDING
 
 
 _LEVER = f"CASE WHEN count(m) {_EXP} < 10 OR stddev_samp(m) {_EXP} <= 1e-12::DOUBLE THEN 1 ELSE least(3, 0.05::DOUBLE / nullif(stddev_samp(m) {_EXP}, 0)) END"
@@ -131,15 +157,15 @@ def vol_target(spark, sf_dir) -> DataFrame:
 
 def _perf_sql(src: str, by: str, periods: float) -> str:
     e = f"(PARTITION BY {by} ORDER BY date ROWS UNBOUNDED PRECEDING)"
-    return f"""SELECT {by}, count(*)::BIGINT AS n, round(CASE WHEN count(x) < 2 OR stddev_samp(x) = 0 THEN 0 ELSE avg(x) / nullif(stddev_samp(x), 0) * sqrt({periods!r}::DOUBLE) END, 5) AS sharpe, round(min(dd), 5) AS max_drawdown, round(sum(greatest(x, 0)) / nullif(-sum(least(x, 0)), 0), 5) AS profit_factor,
-    round(avg((x > 0)::INT), 6) AS win_rate FROM (SELECT *, e / max(e) OVER {e} - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + x)) OVER {e}) AS e FROM {src})) GROUP BY {by}"""
+    return f"""SELECT {by}, count(*)::BIGINT AS n, round(CASE WHEN count(x) < 2 OR stddev_samp(x) = 0 THEN 0 ELSE avg(x) / nullif(stddev_samp(x), 0) * sqrt({periods!r}::DOUBLE) END, 5) AS sharpe, round(min(dd), 5) AS max_drawdown, CASE WHEN sum(least(x, 0)) = 0 THEN 'Infinity'::DOUBLE ELSE round(sum(greatest(x, 0)) / nullif(-sum(least(x, 0)), 0), 5) END AS profit_factor, round(pow(1 + avg(x), {periods!r}::DOUBLE) - 1, 5) AS annual_return,
+    round(avg((x > 0)::INT), 6) AS win_rate FROM (SELECT *, e / max(e) OVER {e} - 1 AS dd FROM (SELECT *, product(1 + x) OVER {e} AS e FROM {src})) GROUP BY {by}"""
 
 
 @query("drawdown_sharpe", twin(_perf_sql("(SELECT symbol, date, exp(r) - 1 AS x FROM rb WHERE r IS NOT NULL)", "symbol", 52.0), _RB))
 def drawdown_sharpe(spark, sf_dir) -> DataFrame:
     b = bars(spark, sf_dir).select("symbol", "date", (F.exp(w.log_return(F.col("close"))) - 1).alias("x")).where("x is not null")
     p = pf.performance(b, "x", ["symbol"], "date", 52.0)
-    return p.select("symbol", "n", F.round("sharpe", 5).alias("sharpe"), F.round("max_drawdown", 5).alias("max_drawdown"), F.round("profit_factor", 5).alias("profit_factor"), r6(F.col("win_rate")).alias("win_rate"))
+    return p.select("symbol", "n", F.round("sharpe", 5).alias("sharpe"), F.round("max_drawdown", 5).alias("max_drawdown"), F.when(F.col("profit_factor") == float("inf"), F.col("profit_factor")).otherwise(F.round("profit_factor", 5)).alias("profit_factor"), F.round("annual_return", 5).alias("annual_return"), r6(F.col("win_rate")).alias("win_rate"))
 
 
 _SIG = f"(CASE WHEN count(close) {_f(20)} >= 20 THEN (avg(close) {_f(5)} > avg(close) {_f(20)})::INT END)"

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.num import r6
+from ..functions.num import half_up, r6
 from ..operators.asof import asof_backward, asof_forward, daily_spine, keep_last, latest_per_group
+from ..operators.ledger import positions, valued
 from ..registry import query
 from ..sources.logical import bars, news, outcomes, predictions, raw, ticks, transactions, trades, twin, verdicts
+from .cashflow import _POS
 
 _PCOLS = "id, symbol, generated_at, prob_up, meta_prob, act, confidence, regime, target_date"
 
@@ -102,10 +106,14 @@ def tx_search_sort(spark, sf_dir) -> DataFrame:
     return t.orderBy(F.desc(F.abs("amount")), "id").limit(40).select("id", "tx_date", "amount", "category")
 
 
-@query("table_counts", "SELECT 'orders' AS name, count(*)::BIGINT AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("table_counts", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*)::BIGINT AS rows FROM {n}" for n in TABLES))
 def table_counts(spark, sf_dir) -> DataFrame:
+    """Rows of every table."""
     one = lambda n: raw(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows")
-    return one("orders").unionByName(one("lineitem")).unionByName(one("events")).unionByName(one("documents"))
+    return reduce(DataFrame.unionByName, map(one, TABLES))
 
 
 @query("safe_accounts", "SELECT c_custkey AS id, c_name AS name, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0::DOUBLE) AS balance FROM customer")
@@ -196,19 +204,29 @@ def key_intersect_except(spark, sf_dir) -> DataFrame:
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.distinct().join(b, "symbol", "left_anti").withColumn("side", F.lit("first")))
 
 
-@query("even_subsample", twin("SELECT symbol, date, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS n FROM bars) WHERE n % 7 = 0"))
+@query("even_subsample", twin("SELECT symbol, date, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS n, count(*) OVER (PARTITION BY symbol) AS m FROM bars) WHERE m <= 40 OR floor((ceil(n * 39 / (m - 1)::DOUBLE)) * (m - 1) / 39::DOUBLE) = n"))
 def even_subsample(spark, sf_dir) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("date")
-    return bars(spark, sf_dir).withColumn("n", F.row_number().over(w) - 1).where("n % 7 = 0").select("symbol", "date", "close")
+    """At most forty rows of each symbol, evenly spaced from the first to the last: the places floor(i (m - 1) / 39)."""
+    w = Window.partitionBy("symbol")
+    b = bars(spark, sf_dir).withColumns({"n": F.row_number().over(w.orderBy("date")) - 1, "m": F.count(F.lit(1)).over(w)})
+    step = F.ceil(F.col("n") * 39 / (F.col("m") - 1))
+    return b.where((F.col("m") <= 40) | (F.floor(step * (F.col("m") - 1) / 39) == F.col("n"))).select("symbol", "date", "close")
+
+
+_FX = "(VALUES ('USD', 83.2::DOUBLE), ('INR', 1::DOUBLE)) x(currency, rate)"
+_CUR = "CASE ascii(right(symbol, 1)) % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'INR' ELSE 'EUR' END"
 
 
-@query("holdings_mtm", twin("""SELECT user_id, symbol, quantity, round(quantity * last, 4) AS value, round(100 * quantity * last / sum(quantity * last) OVER (PARTITION BY user_id), 4) AS weight, round(100 * (last - cost) / nullif(cost, 0), 4) AS pnl_pct
-    FROM (SELECT user_id, symbol, sum(quantity) AS quantity, sum(quantity * price) / sum(quantity) AS cost FROM trades WHERE side = 'BUY' GROUP BY ALL) JOIN (SELECT symbol, arg_max(close, date) AS last FROM bars GROUP BY symbol) USING (symbol)"""))
+@query("holdings_mtm", twin(f"""SELECT user_id, symbol, quantity, round(quantity * last * rate, 2) AS value, round(100 * quantity * last * rate / nullif(sum(quantity * last * rate) OVER (PARTITION BY user_id), 0), 4) AS weight, round(100 * (quantity * last * rate - cost) / nullif(cost, 0), 4) AS pnl_pct
+    FROM (SELECT *, {_CUR} AS currency FROM ps WHERE quantity > 1e-9) LEFT JOIN {_FX} USING (currency) LEFT JOIN (SELECT symbol, arg_max(close, date) AS last FROM bars GROUP BY symbol) USING (symbol)""", *_POS, recursive=True))
 def holdings_mtm(spark, sf_dir) -> DataFrame:
-    h = trades(spark, sf_dir).where("side = 'BUY'").groupBy("user_id", "symbol").agg(F.sum("quantity").alias("quantity"), (F.sum(F.col("quantity") * F.col("price")) / F.sum("quantity")).alias("cost"))
+    """Average-cost positions at the last close, in the home currency; what has no quote or no exchange rate stays unpriced."""
     last = bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "date").alias("last"))
-    value = F.col("quantity") * F.col("last")
-    return h.join(last, "symbol").select("user_id", "symbol", "quantity", (F.floor(value * 10000 + 0.5) / 10000).alias("value"), F.round(100 * value / F.sum(value).over(Window.partitionBy("user_id")), 4).alias("weight"), F.round(100 * F.try_divide(F.col("last") - F.col("cost"), F.nullif("cost", F.lit(0.0))), 4).alias("pnl_pct"))
+    at = F.ascii(F.right("symbol", F.lit(1))) % 3
+    h = positions(trades(spark, sf_dir)).withColumn("currency", F.when(at == 0, "USD").when(at == 1, "INR").otherwise("EUR"))
+    fx = spark.createDataFrame([("USD", 83.2), ("INR", 1.0)], "currency string, rate double")
+    v = valued(h, last, fx)
+    return v.select("user_id", "symbol", "quantity", half_up(F.col("value"), 2).alias("value"), F.round("weight", 4).alias("weight"), F.round("pnl_pct", 4).alias("pnl_pct"))
 
 
 @query("catalogue_union", twin("SELECT symbol, event_type AS kind, max(ts) AS last_ts FROM ticks GROUP BY ALL UNION ALL SELECT s, 'index', NULL FROM (SELECT unnest(['S1', 'IDX']) AS s) WHERE s NOT IN (SELECT symbol FROM ticks)"))

@@ -251,3 +251,43 @@ def test_empty_streams(spark, tmp_path):
     assert jobs.drain_upserts(jobs.bars_from_ticks(stream()), "bars", ["symbol", "start"]).count() == 0
     assert jobs.drain_complete(jobs.sessions(stream()), "sessions").count() == 0
     assert jobs.drain(jobs.limited(stream(), "symbol", 3, 60.0), "limit").count() == 0
+
+
+def test_leg_weights_by_hand(spark):
+    rows = [("a", "A", 0.60, 0.02), ("a", "B", 0.70, 0.04), ("a", "C", 0.45, 0.01), ("b", "A", 0.5, 0.1), ("b", "B", 0.5, 0.1), ("c", "A", None, None), ("c", "B", 0.9, 0.2), ("c", "C", 0.2, 0.4)]
+    df = spark.createDataFrame(rows, "date string, symbol string, meta double, vol double")
+    got = {(r.date, r.symbol): r.weight for r in pf.leg_weights(df).collect()}
+    tilt = [0.05 / 0.02, 0.10 / 0.04, 0.075 / 0.01]  # C has no edge and takes the mean share
+    assert [got["a", s] for s in "ABC"] == pytest.approx([t / sum(tilt) for t in tilt]) and got["b", "A"] == pytest.approx(0.5)
+    tilt = [0.2 / 0.3, 0.2 / 0.2, 0.2 / 0.4]  # A takes the median volatility
+    assert [got["c", s] for s in "ABC"] == pytest.approx([t / sum(tilt) for t in tilt])
+
+
+def test_simulated_period_by_hand(spark):
+    rows = [(days(0), f"S{i}", r, 1.0, i % 2, 0.5, 0.1, "chop", s) for i, (r, s) in enumerate(zip([0.10, 0.02, 0.01, 0.0, -0.01, -0.02, -0.04, -0.06, 0.03, 0.05], [9, 8, 7, 6, 5, 4, 3, 2, 1, 0]))]
+    p = spark.createDataFrame(rows, "date date, symbol string, ret double, beta double, sector int, meta double, vol double, regime string, score int")
+    dates = p.select("date").distinct()
+    raw = pf.simulate(p, dates).first()
+    assert raw.ret == pytest.approx(0.6 * (0.5 * (0.06 - 0.0005) + 0.5 * (-0.04 - 0.0005))) and (raw.breadth, raw.n_leg) == (10, 2)
+    mean = sum(r[2] for r in rows) / 10
+    hedged = pf.simulate(p, dates, mode="market", use_regime=False).first()
+    assert hedged.ret == pytest.approx(0.5 * (0.06 - mean - 0.0005) + 0.5 * (mean - 0.04 - 0.0005))
+    assert pf.simulate(p, dates, long_short=False, use_regime=False).first().ret == pytest.approx(0.06 - 0.0005)
+
+
+def test_streams_without_losses_have_an_infinite_profit_factor(spark):
+    p = pf.performance(spark.createDataFrame([("A", i, 0.01) for i in range(3)] + [("B", i, x) for i, x in enumerate([0.1, -0.05])], "s string, t int, x double"), "x", ["s"], "t", 4.0)
+    got = {r.s: r for r in p.collect()}
+    assert got["A"].profit_factor == float("inf") and got["B"].profit_factor == pytest.approx(2.0) and got["B"].annual_return == pytest.approx(1.025**4 - 1)
+
+
+def test_holdings_need_a_quote_and_a_rate(spark):
+    from marketloom.operators.ledger import positions, valued
+
+    trades = [("u", "A", "BUY", 10.0, 2.0, days(0), 1), ("u", "A", "SELL", 4.0, 3.0, days(1), 2), ("u", "B", "BUY", 1.0, 5.0, days(0), 3), ("u", "C", "BUY", 1.0, 5.0, days(0), 4), ("u", "D", "BUY", 1.0, 5.0, days(0), 5), ("u", "D", "SELL", 9.0, 5.0, days(2), 6)]
+    h = positions(spark.createDataFrame(trades, "user_id string, symbol string, side string, quantity double, price double, trade_date date, seq int"))
+    h = h.withColumn("currency", F.when(F.col("symbol") == "A", "USD").when(F.col("symbol") == "B", "INR").otherwise("EUR"))
+    quotes = spark.createDataFrame([("A", 3.0), ("C", 9.0), ("B", 720.0)], "symbol string, last double")
+    got = {r.symbol: r for r in valued(h, quotes, spark.createDataFrame([("USD", 80.0), ("INR", 1.0)], "currency string, rate double")).collect()}
+    assert set(got) == {"A", "B", "C"} and got["A"].quantity == 6.0 and got["A"].value == 1440.0 and got["A"].cost == pytest.approx(12.0)
+    assert got["A"].weight == pytest.approx(100 * 1440 / 2160) and got["C"].value is None and got["C"].weight is None
