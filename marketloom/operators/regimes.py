@@ -84,7 +84,7 @@ def decode(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         x = pdf[columns].to_numpy(dtype=float)
         train = x[: max(LEAST, len(x) // 2)]
         if len(train) < 10 * STATES:
-            return pd.DataFrame({key: [], "date": [], "regime": [], "p_risk_off": [], "p_chop": [], "p_trend": []})
+            return pdf.iloc[:0][[key, "date"]].assign(regime="", p_risk_off=0.0, p_chop=0.0, p_trend=0.0)
         spread = train.std(axis=0, ddof=1)
         mean, spread = train.mean(axis=0), np.where(spread > 0, spread, 1.0)
         start, moves, means, covs = fit((train - mean) / spread)

@@ -224,18 +224,36 @@ def like_for_like(spark, sf_dir) -> DataFrame:
     return a.join(b, "id").agg(F.count(F.lit(1)).alias("n"), hit("a").alias("first_hit"), hit("b").alias("second_hit"))
 
 
-@query("isotonic_calibration")
-def isotonic_calibration(spark, sf_dir) -> DataFrame:
-    """Prequential calibration: fold k is calibrated by an isotonic fit on the folds before it (at least 100 rows)."""
+def calibrated(r: DataFrame, y: str = "correct", p: str = "meta_prob", least: int = 100) -> DataFrame:
+    """Rows of each fold with ``calibrated``, by an isotonic fit on the folds before it; folds with fewer than ``least`` rows before them are left out."""
     from pyspark.ml.regression import IsotonicRegression
 
-    r = resolved(spark, sf_dir).select("id", "fold", F.col("meta_prob").alias("p"), F.col("correct").cast("double").alias("y"))
-    out = None
-    for k in range(1, 6):
-        past = r.where(F.col("fold") < k)
-        if past.limit(100).count() < 100:
-            continue
-        model = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="calibrated").fit(past)
-        part = model.transform(r.where(F.col("fold") == k)).select("id", "fold", "p", r6(F.col("calibrated")).alias("calibrated"))
-        out = part if out is None else out.unionByName(part)
+    sizes = {x["fold"]: x["count"] for x in r.groupBy("fold").count().collect()}  # a row per fold
+    out = r.where("false").withColumn("calibrated", F.lit(0.0))
+    for k in sorted(sizes):
+        if sum(n for f, n in sizes.items() if f < k) >= least:
+            past = r.where(F.col("fold") < k).select(F.col(p).alias("_p"), F.col(y).cast("double").alias("_y"))
+            model = IsotonicRegression(featuresCol="_p", labelCol="_y", predictionCol="calibrated").fit(past)
+            out = out.unionByName(model.transform(r.where(F.col("fold") == k).withColumn("_p", F.col(p))).drop("_p"))
     return out
+
+
+@query("isotonic_calibration")
+def isotonic_calibration(spark, sf_dir) -> DataFrame:
+    """Prequential calibration of the meta probabilities."""
+    r = resolved(spark, sf_dir).select("id", "fold", "meta_prob", "correct")
+    return calibrated(r).select("id", "fold", F.col("meta_prob").alias("p"), r6(F.col("calibrated")).alias("calibrated"))
+
+
+def calibration_error(c: DataFrame, y: str = "correct", least: int = 100) -> DataFrame:
+    """Calibration error of each fold of ``least`` rows or more, with its rows, and of all of them together (fold NULL), weighted by rows."""
+    sums = c.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    bins = c.where("calibrated < 1").groupBy("fold", decile(F.col("calibrated")).alias("bin")).agg(F.count(F.lit(1)).alias("k"), F.abs(F.avg("calibrated") - F.avg(y)).alias("gap"))
+    each = sums.join(bins.groupBy("fold").agg(F.sum(F.col("k") * F.col("gap")).alias("s")), "fold", "left").select("fold", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ece"), "n")
+    return each.unionByName(each.agg(F.lit(None).cast("int").alias("fold"), (F.sum(F.col("ece") * F.col("n")) / F.sum("n")).alias("ece"), F.sum("n").alias("n")))
+
+
+@query("ece_calibrated")
+def ece_calibrated(spark, sf_dir) -> DataFrame:
+    """Out-of-sample calibration error: each fold scored by the calibrator of the folds before it."""
+    return calibration_error(calibrated(resolved(spark, sf_dir).select("fold", "meta_prob", "correct"))).withColumn("ece", r6(F.col("ece")))
