@@ -1,15 +1,17 @@
 """Removal of repeated multi-line chunks with content-defined boundaries, in DataFrame functions only.
 
-A line ends a chunk where the rolling hash of its own and the previous line's hash is divisible by
-``divisor``; boundaries therefore follow the content and survive shifts.  Chunks of two or more lines that
+Hashes of the lines roll through a window of three; a line ends a chunk where its hash is the smallest of its window.  Boundaries
+therefore follow the content and survive shifts, every chunk but the last holds two lines at least, and a run of lines that
+two documents share is cut alike inside, wherever it stands.  Chunks of two or more lines that
 occur more than once keep their first occurrence (smallest doc_id, then text hash, then position); the
 others go once their bytes have been compared with the kept chunk, so a hash collision removes nothing.
 
-Hashes alone are shuffled to find repeats.  Only the kept copy of each repeated chunk travels as text.
+Hashes alone are shuffled to find repeats.  For the comparison the kept copy of a repeated chunk travels to each of its occurrences,
+as text.  What is repeated but not cut off as a whole chunk stays: single lines, and the first and last lines of a shared run.
 
 Defined cases: null text is an empty one, null ``doc_id`` sorts first; rows equal in id and text are one
-document (both rows get its result, and neither counts as a repeat of the other); an empty table gives
-an empty result; further input columns are ignored.
+document (both rows get its result, and neither counts as a repeat of the other); equal hashes in a window are no
+boundary; a text of any length goes whole; an empty table gives an empty result; further input columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,22 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-DIVISOR, FACTOR = 3, 1000003
-
-
-def _chunked(docs: DataFrame, divisor: int) -> DataFrame:
+def _chunked(docs: DataFrame) -> DataFrame:
     """doc_id, _text hash and chunks: array of (text, n_lines) that join with newlines to the text."""
     out = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # transform(array(x), v -> ...)[0] binds x once; a plain column would be evaluated anew for every element
     hashed = "transform(split(text, '\n', -1), l -> struct(l as line, cast(conv(substring(md5(l), 1, 8), 16, 10) as bigint) as h))"
-    ends = f"filter(sequence(1, size(s)), i -> i = size(s) or (s[i - 1].h + {FACTOR} * if(i = 1, 0L, s[greatest(i - 2, 0)].h)) % {divisor} = 0)"
+    ends = "filter(sequence(1, size(s)), i -> i = size(s) or (i > 1 and s[i - 1].h < s[greatest(i - 2, 0)].h and s[i - 1].h < s[least(i, size(s) - 1)].h))"
     cut = "transform(e, (x, i) -> struct(array_join(transform(slice(s, if(i = 0, 1, e[greatest(i - 1, 0)] + 1), x - if(i = 0, 0, e[greatest(i - 1, 0)])), y -> y.line), '\n') as text, x - if(i = 0, 0, e[greatest(i - 1, 0)]) as n))"
     return out.select("doc_id", "text", F.md5("text").alias("_text"), F.expr(f"transform(array({hashed}), s -> transform(array({ends}), e -> {cut})[0])[0]").alias("chunks"))
 
 
-def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_chunks, n_removed_lines, clean_text."""
-    rows = _chunked(docs, divisor)
+    rows = _chunked(docs)
     seen = rows.select("doc_id", "_text", F.posexplode("chunks").alias("_no", "_chunk")).where("_chunk.n >= 2")
     seen = seen.select("doc_id", "_text", "_no", F.md5("_chunk.text").alias("_key")).distinct()
     seen = stored(seen, "line-chunks")
@@ -55,11 +54,11 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     )
 
 
-LINES_SQL = f"""
+LINES_SQL = """
 WITH d AS (SELECT DISTINCT coalesce(doc_id, -9223372036854775808) AS doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS th FROM documents),
 l AS (SELECT doc_id, th, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
-b AS (SELECT *, (h + {FACTOR} * coalesce(lag(h) OVER w, 0)) % {DIVISOR} = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id, th ORDER BY i)),
+b AS (SELECT *, coalesce(h < lag(h) OVER w AND h < lead(h) OVER w, false) AS ends FROM h WINDOW w AS (PARTITION BY doc_id, th ORDER BY i)),
 c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, th ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b),
 chunk AS (SELECT doc_id, th, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS ctext FROM c GROUP BY ALL),
 marked AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY ctext, n >= 2 ORDER BY doc_id, th, no) > 1 AS gone FROM chunk),

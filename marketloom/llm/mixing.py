@@ -104,7 +104,8 @@ def mix_sources(
 
 def target_weights(spark: SparkSession) -> dict[str, DataFrame]:
     """The production targets, as tables of weights."""
-    return {"lang": spark.createDataFrame(sorted(LANGUAGE_WEIGHTS.items()), "lang string, weight long")}
+    rows = ", ".join(f"('{lang}', {weight}L)" for lang, weight in sorted(LANGUAGE_WEIGHTS.items()))
+    return {"lang": spark.sql(f"SELECT * FROM VALUES {rows} AS t(lang, weight)")}
 
 
 _BIG = "HUGEINT"

@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from marketloom.llm.line_dedup import DIVISOR, FACTOR, dedup_lines
+from marketloom.llm.line_dedup import dedup_lines
 from marketloom.llm.mixing import leaf_budgets, mix_sources
 from marketloom.llm.sharding import shard_documents
 
@@ -74,7 +74,7 @@ def chunks(text):
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
     out, start = [], 0
     for i in range(len(lines)):
-        if i + 1 == len(lines) or (h[i] + FACTOR * (h[i - 1] if i else 0)) % DIVISOR == 0:
+        if i + 1 == len(lines) or (i and h[i] < h[i - 1] and h[i] < h[i + 1]):
             out.append(lines[start : i + 1])
             start = i + 1
     return out
@@ -107,6 +107,18 @@ def test_shift_keeps_most_boundaries():
     assert len(a - b) <= 2
 
 
+def test_runs_shared_inside_other_lines_go(spark):
+    rng = random.Random(6)
+    own = lambda i, k: "\n".join(f"own {i} {k} {rng.random()}" for _ in range(rng.randint(3, 9)))
+    shared = [f"shared {j} {rng.random()}" for j in range(40)]
+    got = dedup_lines(docs(spark, [(i, "\n".join([own(i, 0), *shared, own(i, 1)]), "en", "s", 1) for i in range(12)])).collect()
+    by = {r.doc_id: r for r in got}
+    assert by[0].n_removed_lines == 0
+    for i in range(1, 12):  # all of the run but its first and last chunk
+        left = [x for x in by[i].clean_text.split("\n") if x.startswith("shared")]
+        assert len(left) <= 14 and by[i].n_removed_lines == 40 - len(left) and sum(x.startswith("own") for x in by[i].clean_text.split("\n")) == by[i].n_lines - 40
+
+
 def test_shortage_goes_to_siblings_before_the_parents_siblings(spark):
     leaves = spark.createDataFrame([("d1", "en", "a", 1000), ("d1", "en", "b", 10), ("d1", "de", "c", 1000), ("d2", "en", "d", 1000)], "domain string, lang string, source string, tokens long")
     plan = {r.source: r.budget for r in leaf_budgets(leaves, 0.5, 1).collect()}
