@@ -157,7 +157,7 @@ def vol_target(spark, sf_dir) -> DataFrame:
 
 def _perf_sql(src: str, by: str, periods: float) -> str:
     e = f"(PARTITION BY {by} ORDER BY date ROWS UNBOUNDED PRECEDING)"
-    return f"""SELECT {by}, count(*)::BIGINT AS n, round(CASE WHEN count(x) < 2 OR stddev_samp(x) = 0 THEN 0 ELSE avg(x) / nullif(stddev_samp(x), 0) * sqrt({periods!r}::DOUBLE) END, 5) AS sharpe, round(min(dd), 5) AS max_drawdown, CASE WHEN sum(least(x, 0)) = 0 THEN 'Infinity'::DOUBLE ELSE round(sum(greatest(x, 0)) / nullif(-sum(least(x, 0)), 0), 5) END AS profit_factor, round(pow(1 + avg(x), {periods!r}::DOUBLE) - 1, 5) AS annual_return,
+    return f"""SELECT {by}, count(*)::BIGINT AS n, round(CASE WHEN count(x) < 2 OR stddev_samp(x) = 0 THEN 0 ELSE avg(x) / nullif(stddev_samp(x), 0) * sqrt({periods!r}::DOUBLE) END, 5) AS sharpe, round(min(dd), 5) AS max_drawdown, CASE WHEN sum(least(x, 0)) = 0 THEN 'Infinity'::DOUBLE ELSE round(sum(greatest(x, 0)) / nullif(-sum(least(x, 0)), 0), 5) END AS profit_factor,
     round(avg((x > 0)::INT), 6) AS win_rate FROM (SELECT *, e / max(e) OVER {e} - 1 AS dd FROM (SELECT *, product(1 + x) OVER {e} AS e FROM {src})) GROUP BY {by}"""
 
 
@@ -165,7 +165,7 @@ def _perf_sql(src: str, by: str, periods: float) -> str:
 def drawdown_sharpe(spark, sf_dir) -> DataFrame:
     b = bars(spark, sf_dir).select("symbol", "date", (F.exp(w.log_return(F.col("close"))) - 1).alias("x")).where("x is not null")
     p = pf.performance(b, "x", ["symbol"], "date", 52.0)
-    return p.select("symbol", "n", F.round("sharpe", 5).alias("sharpe"), F.round("max_drawdown", 5).alias("max_drawdown"), F.when(F.col("profit_factor") == float("inf"), F.col("profit_factor")).otherwise(F.round("profit_factor", 5)).alias("profit_factor"), F.round("annual_return", 5).alias("annual_return"), r6(F.col("win_rate")).alias("win_rate"))
+    return p.select("symbol", "n", F.round("sharpe", 5).alias("sharpe"), F.round("max_drawdown", 5).alias("max_drawdown"), F.when(F.col("profit_factor") == float("inf"), F.col("profit_factor")).otherwise(F.round("profit_factor", 5)).alias("profit_factor"), r6(F.col("win_rate")).alias("win_rate"))
 
 
 _SIG = f"(CASE WHEN count(close) {_f(20)} >= 20 THEN (avg(close) {_f(5)} > avg(close) {_f(20)})::INT END)"
