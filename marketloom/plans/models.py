@@ -8,44 +8,47 @@ from pyspark.sql import functions as F
 from ..functions.num import r6, safe_div
 from ..operators import windows as w
 from ..operators.fracdiff import fracdiff, weights
-from ..operators.labels import pooled_position, purged_folds
+from ..operators.labels import uniqueness
 from ..operators.recursive import smooth_sql, smoothed
 from ..operators.regimes import decode
+from ..operators.training import fold_rows, walk_forward
 from ..registry import query
 from ..sources.logical import SQL, bars, twin
 from .learning import events
 
 _W = "(PARTITION BY symbol ORDER BY date"
-FOLDS = 6
+INPUTS = ["sma5", "sma20", "vol20", "r1", "r5"]
 
 
 def features(spark, sf_dir) -> DataFrame:
-    """A feature row for every labelled event."""
+    """A feature row for every labelled event, weighted by its uniqueness."""
     c = F.col("close")
     b = bars(spark, sf_dir).withColumn("r", w.log_return(c))
     f = b.select("symbol", "date", (c / w.rmean(c, 5) - 1).alias("sma5"), (c / w.rmean(c, 20) - 1).alias("sma20"), w.rstd(F.col("r"), 20).alias("vol20"), F.col("r").alias("r1"), w.log_return(c, 5).alias("r5"))
-    return events(spark, sf_dir).join(f, ["symbol", "date"]).dropna().withColumn("y", (F.col("label") > 0).cast("double"))
+    e = events(spark, sf_dir)
+    rows = e.join(f, ["symbol", "date"]).join(uniqueness(e, b), ["symbol", "date"])
+    return rows.dropna().withColumn("y", (F.col("label") > 0).cast("double"))
+
+
+def learner(kind: str, trees: int = 5, depth: int = 3):
+    """Boosted trees for the direction, for the first model's being right or for the return; or the elastic-net logistic base."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.regression import GBTRegressor
+
+    if kind == "logistic":
+        return LogisticRegression(featuresCol="_x", labelCol="y", elasticNetParam=0.5, regParam=0.01)
+    boosted = {"maxIter": trees, "maxDepth": depth, "seed": 7, "featuresCol": "_x"}
+    if kind == "gbt_return":
+        return GBTRegressor(labelCol="ret", **boosted)
+    return GBTClassifier(labelCol="right" if kind == "gbt_meta" else "y", **boosted)
 
 
 def out_of_fold(rows: DataFrame, model: str) -> DataFrame:
-    """Scores of test rows by a model trained on the purged rows before them: ``FOLDS`` walk-forward folds, as in the surveyed evaluation.
+    """Scores of test rows by a model trained on the purged rows before them: six walk-forward folds, as in the surveyed evaluation.
 
     A fold without training rows is left out; the last one reaches the last event.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = pooled_position(rows, "date", ["symbol"]).cache()
-    folds = purged_folds(rows, k=FOLDS, whole=True)
-    learner = GBTClassifier(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=7) if model == "gbt" else LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=0.5, regParam=0.01)
-    out = folds.where("false").select("symbol", "date", "fold", "y", F.lit(0.0).alias("p"))
-    for k in sorted(r["fold"] for r in folds.where("role = 'train'").select("fold").distinct().collect()):
-        part = folds.where(F.col("fold") == k)
-        fitted = Pipeline(stages=[VectorAssembler(inputCols=["sma5", "sma20", "vol20", "r1", "r5"], outputCol="x"), learner]).fit(part.where("role = 'train'"))
-        out = out.unionByName(fitted.transform(part.where("role = 'test'")).select("symbol", "date", "fold", "y", vector_to_array("probability")[1].alias("p")))
-    return out
+    return walk_forward(fold_rows(rows), learner(model), INPUTS).select("symbol", "date", "fold", "y", "p")
 
 
 @query("oof_gbt")
@@ -65,11 +68,20 @@ _VOL = ("WITH RECURSIVE bars AS (" + SQL["bars"] + f"),\nr2 AS (SELECT symbol, d
 @query("ewma_conditional_vol", _VOL)
 def ewma_conditional_vol(spark, sf_dir) -> DataFrame:
     """Conditional volatility with decay 0.94 and its five-step forecast, the fallback of the GARCH model."""
-    b = bars(spark, sf_dir).select("symbol", "date", F.pow(w.log_return(F.col("close")), 2).alias("x"))
-    b = smoothed(b, {"y": ("x", 0.06, 10)})
+    b = _smoothed_squares(spark, sf_dir)
     return b.select("symbol", "date", r6(F.sqrt("y")).alias("vol"), r6(F.sqrt(5 * F.col("y"))).alias("vol_5"))
 
 
+def _smoothed_squares(spark, sf_dir) -> DataFrame:
+    b = bars(spark, sf_dir).select("symbol", "date", F.pow(w.log_return(F.col("close")), 2).alias("x"))
+    return smoothed(b, {"y": ("x", 0.06, 10)})
+
+
+def conditional_scale(spark, sf_dir) -> DataFrame:
+    """symbol, date, scale: the volatility forecast for the five bars to come."""
+    return _smoothed_squares(spark, sf_dir).select("symbol", "date", F.sqrt(5 * F.col("y")).alias("scale"))
+
+
 @query("ar1_baseline", twin("SELECT symbol, round(regr_slope(x, b), 6) AS phi, round(regr_intercept(x, b), 6) AS c, round(avg((sign(x) = sign(b))::INT), 6) AS persistence, count(*)::BIGINT AS n FROM (SELECT symbol, x, lag(x) OVER (PARTITION BY symbol ORDER BY date) AS b FROM (SELECT symbol, date, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS x FROM bars)) WHERE x IS NOT NULL AND b IS NOT NULL GROUP BY symbol"))
 def ar1_baseline(spark, sf_dir) -> DataFrame:
     """First-order autoregression of returns per symbol, by least squares."""
@@ -139,12 +151,16 @@ def least_ffd_order(spark, sf_dir) -> DataFrame:
     return least_order(bars(spark, sf_dir).select("symbol", "date", "close"))
 
 
-@query("regime_filter")
-def regime_filter(spark, sf_dir) -> DataFrame:
+def regimes(spark, sf_dir) -> DataFrame:
     """Regimes of each symbol from its trend, its turbulence and its range; only past bars enter a bar's probabilities."""
     b = bars(spark, sf_dir).withColumn("r", w.log_return(F.col("close")))
     b = b.select("symbol", "date", w.log_return(F.col("close"), 20).alias("ret20"), w.rstd(F.col("r"), 20).alias("vol20"), F.log(w.rmean((F.col("high") - F.col("low")) / F.col("close"), 5) + 1e-6).alias("fear"))
-    d = decode(b, "symbol", ["ret20", "vol20", "fear"])
+    return decode(b, "symbol", ["ret20", "vol20", "fear"])
+
+
+@query("regime_filter")
+def regime_filter(spark, sf_dir) -> DataFrame:
+    d = regimes(spark, sf_dir)
     return d.select("symbol", "date", "regime", *[r6(F.col(c)).alias(c) for c in ("p_risk_off", "p_chop", "p_trend")])
 
 
