@@ -52,8 +52,8 @@ def purged_folds(events: DataFrame, k: int = 5, embargo: int = 7, whole: bool =
     size = ((n if n is not None else -1) + 1) // (k + 1)
     starts = [(f, f * size, n + 1 if whole and f == k and n is not None else (f + 1) * size, max(0, f * size - embargo)) for f in range(1, k + 1)]
     at = {r["pos"]: r["date"] for r in events.where(F.col("pos").isin([s[3] for s in starts])).select("pos", "date").collect()}  # k rows
-    bounds = events.sparkSession.createDataFrame([(f, a, b, at.get(c)) for f, a, b, c in starts], "fold int, a long, b long, before date")
-    test = (F.col("pos") >= F.col("a")) & (F.col("pos") < F.col("b"))
-    train = (F.col("pos") < F.col("a")) & (F.col("t1") < F.col("before"))
+    bounds = events.sparkSession.createDataFrame([(f, a, b, at.get(c)) for f, a, b, c in starts], "fold int, _from long, _to long, _before date")
+    test = (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to"))
+    train = (F.col("pos") < F.col("_from")) & (F.col("t1") < F.col("_before"))
     role = F.when(test, "test").when(train, "train")
-    return events.crossJoin(F.broadcast(bounds)).withColumn("role", role).where("role is not null").drop("a", "b", "before")  # k bounds per event, k fixed
+    return events.crossJoin(F.broadcast(bounds)).withColumn("role", role).where("role is not null").drop("_from", "_to", "_before")  # k bounds per event, k fixed
