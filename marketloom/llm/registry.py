@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import CONTAMINATION_SQL, contamination
+from .exact_dedup import EXACT_SQL, exact_duplicates
 from .langid import identify
 from .line_dedup import LINES_SQL, dedup_lines
 from .mixing import MIX_SQL, mix_sources, target_weights
@@ -63,6 +64,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": CONTAMINATION_SQL, "op8_line_dedup": LINES_SQL, "op9_mixing": MIX_SQL, "op10_warc": WARC_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": CONTAMINATION_SQL, "op8_line_dedup": LINES_SQL, "op9_mixing": MIX_SQL, "op10_warc": WARC_SQL, "op12_exact_dedup": EXACT_SQL}
