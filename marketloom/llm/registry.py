@@ -18,6 +18,7 @@ from .parsing import edited_likeness
 from .quality import quality_scores
 from .sharding import shard_documents
 from .tokens import count_tokens
+from .vector_codes import CODES_SQL, vector_codes
 from .warc import WARC_SQL, archive_pages
 
 
@@ -64,6 +65,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -79,7 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op11_vector_codes": op11_vector_codes,
     "op12_exact_dedup": op12_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": CONTAMINATION_SQL, "op8_line_dedup": LINES_SQL, "op9_mixing": MIX_SQL, "op10_warc": WARC_SQL, "op12_exact_dedup": EXACT_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": CONTAMINATION_SQL, "op8_line_dedup": LINES_SQL, "op9_mixing": MIX_SQL, "op10_warc": WARC_SQL, "op11_vector_codes": CODES_SQL, "op12_exact_dedup": EXACT_SQL}
