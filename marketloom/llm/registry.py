@@ -17,6 +17,7 @@ from .near_dedup import near_duplicates
 from .parsing import edited_likeness
 from .quality import quality_scores
 from .sharding import shard_documents
+from .spelling import FORMS_SQL, spelling_forms
 from .tokens import count_tokens
 from .vector_codes import CODES_SQL, vector_codes
 from .warc import WARC_SQL, archive_pages
@@ -73,6 +74,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_vector_codes": op11_vector_codes,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_spelling": op13_spelling,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": CONTAMINATION_SQL, "op8_line_dedup": LINES_SQL, "op9_mixing": MIX_SQL, "op10_warc": WARC_SQL, "op11_vector_codes": CODES_SQL, "op12_exact_dedup": EXACT_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": CONTAMINATION_SQL, "op8_line_dedup": LINES_SQL, "op9_mixing": MIX_SQL, "op10_warc": WARC_SQL, "op11_vector_codes": CODES_SQL, "op12_exact_dedup": EXACT_SQL, "op13_spelling": FORMS_SQL}
