@@ -1,8 +1,11 @@
 """The pipeline's stages, each on what the one before it kept, against brute force."""
 
 import os
+import re
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marketloom.llm.quality import quality_scores
@@ -69,3 +72,41 @@ def test_a_contaminated_row_takes_only_its_own_text(spark):
     rows = [*clean, (None, f"before {item} after"), (4, f"again {item} here"), (4, f"again {item} here")]
     left = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert left.columns == ["doc_id", "text"] and sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, clean))
+
+
+def test_no_column_of_the_input_meets_one_of_a_stages_own(spark, tmp_path):
+    """Every name that a stage or an operator uses, as an extra column, changes nothing and comes back with its values."""
+    root = Path(corpus_pipeline.__file__).parent
+    code = "".join(p.read_text() for p in [*(root / "marketloom" / "llm").glob("*.py"), root / "corpus_pipeline.py"])
+    own = ("doc_id", "text", "lang", "source", "n_chars")
+    names = sorted({n.lower() for n in re.findall(r"[\"' ,(]([A-Za-z_]\w{0,24})[\"',). ]", code)} - set(own))
+    assert {"_mixed", "_epoch", "copies", "_id", "_th", "_kept", "_text", "row", "id", "hash", "cls"} & set(names) and len(names) > 200
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        wide = docs.select("*", *[F.concat(F.lit(f"{i}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(n) for i, n in enumerate(names)])
+        stage(spark, wide, SF).write.parquet(str(tmp_path / f"{name}-wide"))
+        got = spark.read.parquet(str(tmp_path / f"{name}-wide"))
+        if name != "shard":
+            assert got.columns == [*docs.columns, *names], name
+            wrong = [F.col(f"`{n}`") != F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")) for i, n in enumerate(names)]
+            assert got.where(F.exists(F.array(*wrong), lambda x: x)).isEmpty(), name
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs_after = spark.read.parquet(str(tmp_path / name))
+        plain = sorted(map(str, docs_after.collect()))
+        assert sorted(map(str, got.select(*docs_after.columns).collect())) == plain and plain, name
+        docs = docs_after
+
+
+def test_equal_rows_share_their_copies(spark):
+    rows = [(1, "same text " * 20, "en", "src1", 1)] * 5 + [(i, f"other text {i} " * 20, "en", "src1", 1) for i in range(2, 9)] + [(1, "same text " * 20, "de", None, 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix(spark, docs, SF)
+    from marketloom.llm.mixing import mix_sources
+
+    want = {}
+    for r in mix_sources(docs).collect():
+        want[r.doc_id, r.lang] = want.get((r.doc_id, r.lang), 0) + r.copies
+    have = {}
+    for r in got.collect():
+        have[r.doc_id, r.lang] = have.get((r.doc_id, r.lang), 0) + 1
+    assert have == want and got.columns == docs.columns
