@@ -6,8 +6,8 @@ two documents share is cut alike inside, wherever it stands.  Chunks of two or m
 occur more than once keep their first occurrence (smallest doc_id, then text hash, then position); the
 others go once their bytes have been compared with the kept chunk, so a hash collision removes nothing.
 
-Hashes alone are shuffled to find repeats.  For the comparison the kept copy of a repeated chunk travels to each of its occurrences,
-as text.  What is repeated but not cut off as a whole chunk stays: single lines, and the first and last lines of a shared run.
+Hashes alone are shuffled to find repeats.  For the comparison the repeated chunks travel as text to the kept copy of each, and the places
+to drop come back; the work on a document is linear in its lines.  What is repeated but not cut off as a whole chunk stays: single lines, and the first and last lines of a shared run.
 
 Defined cases: null text is an empty one, null ``doc_id`` sorts first; rows equal in id and text are one
 document (both rows get its result, and neither counts as a repeat of the other); equal hashes in a window are no
@@ -39,14 +39,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     seen = stored(seen, "line-chunks")
     first = seen.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "_text", "_no")).alias("_first")).where("_n > 1").select("_key", "_first")
     first = stored(first, "line-repeats")
-    # texts of the kept copies: each document is asked for its own chunks
-    asked = first.select("_key", "_first.*").groupBy("doc_id", "_text").agg(F.collect_list(F.struct("_no", "_key")).alias("_asked"))
-    kept = rows.join(asked, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"])  # before the exchange on the key, so that Spark can split a hot chunk's rows in the join
-    kept = kept.select(F.explode(F.expr("transform(_asked, a -> struct(a._key as _key, struct(doc_id, _text, a._no as _no) as _first, chunks[a._no].text as _kept))")).alias("x")).select("x.*")
-    others = seen.join(kept, "_key").where(F.struct("doc_id", "_text", "_no") != F.col("_first"))
-    others = others.groupBy("doc_id", "_text").agg(F.collect_list(F.struct("_no", "_kept")).alias("_others"))
-    out = rows.join(others, ["doc_id", "_text"], "left")
-    out = out.withColumn("_left", F.expr("filter(chunks, (c, i) -> not exists(coalesce(_others, array()), o -> o._no = i and o._kept = c.text))"))
+    # texts of the repeated chunks: each document is asked for its own, and those of equal rows are fetched once
+    place = F.struct("doc_id", "_text", "_no")
+    asked = seen.join(first, "_key").select("doc_id", "_text", F.struct("_no", "_key", (place == F.col("_first")).alias("_kept")).alias("_ask"))
+    asked = asked.groupBy("doc_id", "_text").agg(F.collect_list("_ask").alias("_asked"))
+    found = rows.join(asked, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"])  # before the exchange on the key, so that Spark can split a hot chunk's rows in the join
+    found = found.select("doc_id", "_text", F.explode(F.expr("transform(_asked, a -> struct(a._no, a._key, a._kept, chunks[a._no].text as _chunk))")).alias("x")).select("doc_id", "_text", "x.*")
+    found = stored(found, "line-texts")
+    kept = found.where("_kept").select("_key", F.col("_chunk").alias("_first_chunk"))
+    gone = found.where("NOT _kept").join(kept, "_key").where("_chunk = _first_chunk").groupBy("doc_id", "_text").agg(F.collect_list("_no").alias("_gone"))
+    out = rows.join(gone, ["doc_id", "_text"], "left")
+    # places, not texts, come back: the difference of two lists of places is linear in them
+    left = "transform(if(_gone is null, sequence(0, size(chunks) - 1), array_except(sequence(0, size(chunks) - 1), _gone)), i -> chunks[i])"
+    out = out.withColumn("_left", F.expr(left))
     lines = "aggregate({}, 0, (n, c) -> n + c.n)"
     return out.select(
         F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), F.expr(lines.format("chunks")).alias("n_lines"), F.size("chunks").alias("n_chunks"),

@@ -161,3 +161,11 @@ def test_token_counts_can_be_given(spark):
     df = docs(spark, rows).withColumn("n", F.when(F.col("doc_id") < 10, F.col("doc_id")))  # others null
     got = mix_sources(df, budget_share=1.0, max_epochs=1, tokens=F.col("n")).collect()
     assert sorted((r.doc_id, r.tokens, r.used_tokens) for r in got) == [(i, i, i) for i in range(1, 10)]
+
+
+def test_removal_is_linear_in_a_documents_lines(spark):
+    """Two copies of 120,000 lines: minutes if every chunk looked through all the others."""
+    text = "\n".join(f"line {i * 7919 % 999_983} of many" for i in range(120_000))
+    got = {r.doc_id: r for r in dedup_lines(docs(spark, [(1, text, "en", "s", 1), (2, text + "\nown end", "en", "s", 1)])).collect()}
+    assert got[1].clean_text == text and got[2].n_lines == 120_001 and got[2].n_removed_lines >= 119_990
+    assert got[2].clean_text.endswith("own end") and got[2].n_removed_lines + got[2].clean_text.count("\n") + 1 == 120_001
