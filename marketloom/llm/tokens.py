@@ -7,7 +7,7 @@ with running sums over the pieces every prefix of the text has: where to truncat
 is looked up and never re-encoded.
 
 The recurrence runs for all distinct new pieces of like lengths at once, column by column in NumPy (of some CELLS bytes together; a
-few long pieces go one by one); a task keeps
+few long pieces go one by one, cut into segments that are columns in turn); a task keeps
 the counts of at most CACHE_PIECES pieces.  Nothing is shuffled.
 
 Prefixes are counted where they end between code points, not inside a special string or a contraction, and not inside a
@@ -33,6 +33,8 @@ from .arrow_text import SLICE_BYTES, mixed, powers, slices
 from .common import text_or_empty
 
 LIMIT, CACHE_PIECES, CELLS, FEW = 512, 300_000, 4_000_000, 16
+#: Of a long piece: places worked on at once, places in a segment, and how many places early a segment is begun.
+PLACES, SEGMENT, LEAD, SIEVE_BITS = 1 << 19, 512, 512, 22
 #: The byte-level vocabulary's piece pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _BASE = powers(0x9E3779B97F4A7C15, 512)
@@ -99,7 +101,9 @@ class PrefixCounter:
         sizes = np.array([len(r) for r in raw])
         keys = np.array([int(np.sum((np.frombuffer(r, np.uint8).astype(np.uint64) + np.uint64(1)) * _BASE[: len(r)][::-1], dtype=np.uint64)) for r in raw], dtype=np.uint64)
         self.tokens, self.longest = Table(keys[own], np.flatnonzero(own).astype(np.int32)), int(sizes.max())
-        self.lengths = sorted(set(sizes[own].tolist()), reverse=True)
+        self.lengths, self.sizes = sorted(set(sizes[own].tolist()), reverse=True), sizes
+        self.sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)  # most places end no token of a given length
+        self.sieve[self._sieved(keys[own])] = True
         self.reset()
 
     @staticmethod
@@ -155,24 +159,89 @@ class PrefixCounter:
                 rows = np.delete(rows, maybe)
         return [count[k, 1 : s + 1] for k, s in enumerate(sizes)]
 
-    def _long(self, piece: bytes) -> np.ndarray:
-        """The same recurrence for one long piece."""
-        last, count = [-1] * (len(piece) + 1), np.zeros(len(piece) + 1, dtype=np.int32)
-        codes = np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1)
+    def _ending(self, codes: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Tokens by length (longest first) and by the place in lo + 1 ... hi where they end; -1 where there is none."""
+        first = max(0, lo - self.longest)
+        grown, shrunk = powers(int(_BASE[1]), hi - first + 1), powers(pow(int(_BASE[1]), -1, 1 << 64), hi - first + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[first:hi] * shrunk[:-1], dtype=np.uint64)])
+        out = np.full((len(self.lengths), hi - lo), -1, dtype=np.int32)
+        for row, size in enumerate(self.lengths):
+            ends = np.arange(max(lo + 1, first + size), hi + 1) - first
+            keys = (sums[ends] - sums[ends - size]) * grown[ends - 1]
+            maybe = np.flatnonzero(self.sieve[self._sieved(keys)])
+            out[row, ends[maybe] + first - lo - 1] = self.tokens.get(keys[maybe])
+        return out
+
+    @staticmethod
+    def _sieved(keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+    def _walk(self, ending: np.ndarray, base: int, last: np.ndarray, lo: int, hi: int) -> None:
+        """``last`` of the places lo + 1 ... hi one after the other; ``ending`` begins at place base + 1."""
+        at, row = np.nonzero(ending[:, lo - base : hi - base].T >= 0)
+        tokens = ending[row, at + lo - base].tolist()
         known: dict[tuple[int, int], bool] = {}
-        for i in range(1, len(piece) + 1):
-            lengths = np.array([s for s in self.lengths if s <= i])
-            tail = codes[max(0, i - self.longest) : i][::-1]
-            sums = np.cumsum(tail * _BASE[: len(tail)], dtype=np.uint64)
-            for size, token in zip(lengths.tolist(), self.tokens.get(sums[lengths - 1]).tolist()):
-                if token < 0:
-                    continue
-                pair = (last[i - size], token)
-                if size < i and pair not in known:
+        recent = last[max(0, lo - self.longest) : lo + 1].tolist()
+        shift, done = max(0, lo - self.longest), 0
+        for i, row, token in zip((at + lo + 1).tolist(), row.tolist(), tokens):
+            if i == done:
+                continue
+            size = self.lengths[row]
+            if size < i:
+                pair = (recent[i - size - shift], token)
+                if pair not in known:
                     known[pair] = bool(self.stands(np.array([pair[0]]), np.array([token]))[0])
-                if size == i or known[pair]:
-                    last[i], count[i] = token, count[i - size] + 1
-                    break
+                if not known[pair]:
+                    continue
+            recent.append(token)
+            done = i
+        last[lo + 1 : hi + 1] = recent[lo + 1 - shift :]
+
+    def _segments(self, ending: np.ndarray, base: int, last: np.ndarray, lo: int, hi: int) -> None:
+        """The same, all segments of the range side by side.
+
+        A segment is begun LEAD places early as if the piece began there.  Where it agrees with the segment before on as many places as the
+        longest token has bytes, all that follows agrees too, since ``last`` depends on no earlier place; where not, it is walked through.
+        """
+        starts = np.arange(lo, hi, SEGMENT)
+        begin, end = np.maximum(base, starts - LEAD), np.minimum(starts + SEGMENT, hi)
+        own = np.full((len(starts), LEAD + SEGMENT + 1), -1, dtype=np.int32)
+        for j in range(1, LEAD + SEGMENT + 1):
+            rows = np.flatnonzero(begin + j <= end)
+            here = ending[:, begin[rows] + j - base - 1]
+            for k in np.flatnonzero((here >= 0).any(1)).tolist():
+                size = self.lengths[k]
+                if size > j:
+                    continue
+                maybe = np.flatnonzero(here[k] >= 0)
+                if size < j and len(maybe):
+                    maybe = maybe[self.stands(own[rows[maybe], j - size], here[k, maybe])]
+                if len(maybe):
+                    own[rows[maybe], j] = here[k, maybe]
+                    here[:, maybe] = -1
+        for k, (s, b, e) in enumerate(zip(starts.tolist(), begin.tolist(), end.tolist())):
+            back = min(self.longest, s - b)
+            if b == 0 or back == self.longest and (last[s - back + 1 : s + 1] == own[k, s - b - back + 1 : s - b + 1]).all():
+                last[s + 1 : e + 1] = own[k, s - b + 1 : e - b + 1]
+            else:
+                self._walk(ending, base, last, s, e)
+
+    def _long(self, piece: bytes) -> np.ndarray:
+        """The same recurrence for one long piece, PLACES at once: first all tokens that end at each place, then which of them stand."""
+        n = len(piece)
+        codes = np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1)
+        last, count = np.full(n + 1, -1, dtype=np.int32), np.zeros(n + 1, dtype=np.int32)
+        for lo in range(0, n, PLACES):
+            hi, base = min(n, lo + PLACES), max(0, lo - LEAD)
+            (self._segments if hi - lo >= 8 * SEGMENT else self._walk)(self._ending(codes, base, hi), base, last, lo, hi)
+            before = np.arange(lo + 1, hi + 1) - self.sizes[last[lo + 1 : hi + 1]]
+            steps = np.ones(hi - lo, dtype=np.int32)
+            while (inside := before > lo).any():  # tokens back to this range's begin, by doubling
+                to = before[inside] - lo - 1
+                more, further = steps[to], before[to]
+                steps[inside] += more
+                before[inside] = further
+            count[lo + 1 : hi + 1] = steps + count[before]
         return count[1:]
 
     def learn(self) -> None:

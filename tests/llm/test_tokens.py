@@ -65,3 +65,32 @@ def test_query_rows_and_cuts(spark, library, counter):
         assert r.cut_bytes == lengths[counts <= 9].max(), t
         assert len(library.encode(raw[: r.cut_bytes].decode(), add_special_tokens=False).ids) <= 9
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_unbroken_pieces_of_any_length_count_as_the_library_counts(library, monkeypatch):
+    from marketloom.llm import tokens
+
+    rng = random.Random(6)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    long = [letters, "a" * 30_001, "abc" * 9_000, "-" * 20_011, "".join(rng.choice("漢字言語処理日本東京") for _ in range(15_000)), "".join(rng.choice(["tion", "the", "ing", "an"]) for _ in range(9_000)), letters[:5000], letters[:4097], letters[:100]]
+    for places in (1 << 19, 10_007):  # in one range, and over many
+        monkeypatch.setattr(tokens, "PLACES", places)
+        own = PrefixCounter(PATH)
+        cut = [own.cut(t) for t in long]
+        own.learn()
+        assert [own.total(p) for p in cut] == [len(library.encode(t, add_special_tokens=False).ids) for t in long]
+        for t in (letters, long[4]):  # every prefix, some of them held against the library
+            lengths, counts = own.prefixes(t)
+            raw = t.encode()
+            for k in rng.sample(range(len(lengths)), 12):
+                assert counts[k] == len(library.encode(raw[: lengths[k]].decode(), add_special_tokens=False).ids)
+
+
+def test_twenty_megabytes_in_one_text(spark, library):
+    block = " ".join("".join(random.Random(i).choice("etaoinshrdlu") for _ in range(1 + i % 9)) for i in range(3000)) + " "
+    n = 20_000_000 // len(block)
+    rows = [(1, block * n), (2, block)]
+    got = {r.doc_id: r for r in count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    assert got[2].n_tokens == len(library.encode(block, add_special_tokens=False).ids) and got[1].n_bytes == n * len(block)
+    two = len(library.encode(block * 2, add_special_tokens=False).ids)  # copies meet in the same pieces everywhere
+    assert got[1].n_tokens == got[2].n_tokens + (n - 1) * (two - got[2].n_tokens)
