@@ -10,6 +10,7 @@ from ..functions.num import r6, safe_div
 from ..operators import windows as w
 from ..operators.evaluation import auc, drift
 from ..operators.recursive import smooth
+from ..operators.throttle import runs_apart
 from ..registry import query
 from ..sources.files import KeyedTable, scratch
 from ..sources.logical import bars, predictions, raw, ticks, transactions, twin, verdicts
@@ -191,11 +192,10 @@ f AS (SELECT symbol, rn, ts, ts AS ran, true AS run FROM o WHERE rn = 1 UNION AL
 
 @query("throttled_runs", "WITH RECURSIVE t_ AS (SELECT 'S' || (user_id % 20)::VARCHAR AS symbol, ts, event_id AS id FROM events),\n" + _THROTTLE + "\nSELECT symbol, count(*) FILTER (WHERE run)::BIGINT AS runs, count(*)::BIGINT AS triggers FROM f GROUP BY symbol")
 def throttled_runs(spark, sf_dir) -> DataFrame:
-    """Downstream job runs at least twelve hours apart: a fold over each symbol's trigger times."""
-    t = ticks(spark, sf_dir).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "id"))).alias("x"))
-    start = F.struct(F.lit(None).cast(ticks(spark, sf_dir).schema["ts"].dataType).alias("ran"), F.lit(0).cast("long").alias("n"))
-    runs = F.aggregate("x", start, lambda a, e: F.when(a["ran"].isNull() | (e["ts"] >= a["ran"] + F.expr("interval 12 hours")), F.struct(e["ts"].alias("ran"), (a["n"] + 1).alias("n"))).otherwise(a), lambda a: a["n"])
-    return t.select("symbol", runs.alias("runs"), F.size("x").cast("long").alias("triggers"))
+    """Downstream job runs at least twelve hours apart, beside all triggers of a symbol."""
+    t = ticks(spark, sf_dir).select("symbol", "ts")
+    runs = runs_apart(t, "symbol", "ts", "12 hours").groupBy("symbol").agg(F.count(F.lit(1)).alias("runs"))
+    return t.groupBy("symbol").agg(F.count(F.lit(1)).alias("triggers")).join(runs, "symbol").select("symbol", "runs", "triggers")
 
 
 @query("vector_upsert", "SELECT vec_id % 100 AS id, max(vec_id) AS version, count(*)::BIGINT AS n FROM embeddings GROUP BY 1")
