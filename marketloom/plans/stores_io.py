@@ -14,7 +14,7 @@ from ..sources.logical import bars, news, raw, ticks, transactions, twin
 def upsert_keep_latest(spark, sf_dir) -> DataFrame:
     """Two batches into one keyed table; the second replaces keys of the first."""
     t = ticks(spark, sf_dir).select("symbol", F.to_date("ts").alias("day"), "price", "ts", "id", F.col("event_type").isin("click", "view").alias("late"))
-    store = KeyedTable(spark, scratch(spark, "upsert"), ["symbol", "day"], f"symbol string, day date, price double, ts {dict(t.dtypes)['ts']}, id bigint")
+    store = KeyedTable(spark, scratch(spark, "upsert"), ["symbol", "day"], f"symbol string, day date, price double, ts {dict(t.dtypes)['ts']}, id bigint", buckets=4, part=F.col("day"))
     for late in (False, True):
         store.upsert(t.where(F.col("late") == late).drop("late"), [F.desc("ts"), F.desc("id")])
     return store.read().select("symbol", "day", "price")
@@ -23,7 +23,7 @@ def upsert_keep_latest(spark, sf_dir) -> DataFrame:
 @query("insert_ignore", twin("SELECT symbol, day, price FROM (SELECT symbol, ts::DATE AS day, price, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY (event_type IN ('click', 'view'))::INT, ts, id) AS n FROM ticks) WHERE n = 1"))
 def insert_ignore(spark, sf_dir) -> DataFrame:
     t = ticks(spark, sf_dir).select("symbol", F.to_date("ts").alias("day"), "price", "id", F.col("event_type").isin("click", "view").alias("late"))
-    store = KeyedTable(spark, scratch(spark, "ignore"), ["symbol", "day"], "symbol string, day date, price double, id bigint")
+    store = KeyedTable(spark, scratch(spark, "ignore"), ["symbol", "day"], "symbol string, day date, price double, id bigint", buckets=4, part=F.col("day"))
     for late in (False, True):
         store.insert_ignore(t.where(F.col("late") == late).drop("late"), [F.col("id")])
     return store.read().select("symbol", "day", "price")

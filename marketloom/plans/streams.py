@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.files import KeyedTable, scratch
 from ..sources.logical import twin
 from ..streaming import jobs
 
@@ -56,3 +57,25 @@ def stream_sessions(spark, sf_dir) -> DataFrame:
 def stream_alerts(spark, sf_dir) -> DataFrame:
     levels = spark.createDataFrame([("S1", 60.0, "above"), ("S2", 5.0, "below"), ("S3", 90.0, "above"), ("S4", 1e6, "above")], "symbol string, level double, direction string")
     return jobs.drain(jobs.alerts_once(_ticks(spark, sf_dir), levels), "alerts")
+
+
+@query("stream_upsert", twin("SELECT symbol, ts::DATE AS day, arg_max(price, (ts, id)) AS price FROM ticks GROUP BY ALL"))
+def stream_upsert(spark, sf_dir) -> DataFrame:
+    """The last price of each symbol and day, kept by a stream in a keyed table that is laid out by day."""
+    t = _ticks(spark, sf_dir).select("symbol", F.to_date("ts").alias("day"), "price", "ts", "id")
+    table = KeyedTable(spark, scratch(spark, "ticks"), ["symbol", "day"], "symbol string, day date, price double, ts timestamp, id bigint", buckets=1, part=F.col("day"))
+    jobs.upsert_into(t, table, [F.desc("ts"), F.desc("id")], "ticks", scratch(spark, "ticks-checkpoint"))
+    return table.read().select("symbol", "day", "price")
+
+
+@query("stream_cache", twin("""SELECT id, key, CASE WHEN op = 'set' AND ts <= since + to_seconds(ttl) THEN 'hit' ELSE 'miss' END AS result, CASE WHEN op = 'set' AND ts <= since + to_seconds(ttl) THEN value END AS value FROM (
+  SELECT g.id, g.key, g.ts, arg_max(w.op, (w.ts, w.id)) AS op, arg_max(w.ts, (w.ts, w.id)) AS since, arg_max(w.ttl, (w.ts, w.id)) AS ttl, arg_max(w.value, (w.ts, w.id)) AS value
+  FROM (SELECT * FROM o WHERE op = 'get') g LEFT JOIN (SELECT * FROM o WHERE op <> 'get') w ON w.key = g.key AND (w.ts, w.id) < (g.ts, g.id) GROUP BY ALL)""",
+  ("o", "SELECT id, symbol AS key, ts, CASE WHEN id % 5 < 2 THEN 'set' WHEN id % 5 = 2 AND id % 3 = 0 THEN 'invalidate' ELSE 'get' END AS op, price AS value, (1 + id % 4) * 1800 AS ttl FROM ticks")))
+def stream_cache(spark, sf_dir) -> DataFrame:
+    """What a cache of the newest prices, each with its time to live, answers to every request."""
+    i = F.col("id")
+    op = F.when(i % 5 < 2, "set").when((i % 5 == 2) & (i % 3 == 0), "invalidate").otherwise("get")
+    o = _ticks(spark, sf_dir).withWatermark("ts", "1 hour").select(F.col("symbol").alias("key"), "id", "ts", op.alias("op"), F.col("price").alias("value"), ((1 + i % 4) * 1800).alias("ttl"))
+    out = jobs.drain(jobs.expiring_cache(o), "cache")
+    return out.where("result <> 'expired'").select("id", "key", "result", "value")

@@ -7,10 +7,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import scratch
+from ..sources.files import KeyedTable, scratch
 
 
 def stream_of(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -58,6 +58,65 @@ def drain_complete(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out/{done[-1]}") if done else spark.createDataFrame([], stream.schema)
 
 
+def upsert_into(stream: DataFrame, table: KeyedTable, order: list[Column], name: str, checkpoint: str) -> None:
+    """Run a stream over all that is there into a keyed table; its micro-batches replace rows of their keys, each exactly once.
+
+    The table records the number of a micro-batch with the version it makes, so one that Spark runs again (the driver was lost between
+    the write and the stream's own commit) changes nothing.  The next call goes on where the checkpoint says.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, order, batch=(name, number))
+
+    stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(put).start().awaitTermination()
+
+
+def expiring_cache(operations: DataFrame) -> DataFrame:
+    """A cache with a time to live per value, as keyed state with timers.
+
+    ``operations`` (with a watermark on ``ts``): key, id, ts, op (``set``, ``get`` or ``invalidate``), value, ttl in seconds.  In order of time and id, a
+    set replaces the key's value and its deadline, an invalidation drops both, and a get gives one row: ``hit`` with the value
+    up to the deadline, the deadline itself included, and ``miss`` otherwise.  When the watermark passes the deadline, the timer drops the
+    value and gives one row ``expired``; a key without a value holds no state.  Null keys and other operations are ignored.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in operations.schema}
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            value, _ = state.get
+            state.remove()
+            yield pd.DataFrame({"key": [key[0]], "id": pd.array([None], dtype="Int64"), "result": ["expired"], "value": [value]})
+            return
+        held = state.get if state.exists else None  # value, deadline in microseconds
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        out: list[tuple] = []
+        times = rows["ts"].astype("datetime64[us]").astype("int64")
+        for now, i, op, value, ttl in zip(times, rows["id"], rows["op"], rows["value"], rows["ttl"]):
+            if op == "set":
+                held = (value, int(now + float(ttl) * 1e6))
+            elif op == "invalidate":
+                held = None
+            elif op == "get":
+                hit = held is not None and now <= held[1]
+                out.append((i, "hit" if hit else "miss", held[0] if hit else None))
+        if held is None:
+            if state.exists:
+                state.remove()
+        elif held[1] // 1000 + 1 <= state.getCurrentWatermarkMs():
+            out.append((None, "expired", held[0]))
+            if state.exists:
+                state.remove()
+        else:
+            state.update(held)
+            state.setTimeoutTimestamp(held[1] // 1000 + 1)
+        if out:
+            yield pd.DataFrame({"key": key[0], "id": pd.array([o[0] for o in out], dtype="Int64"), "result": [o[1] for o in out], "value": pd.array([o[2] for o in out], dtype="object")})
+
+    known = operations.where("key IS NOT NULL AND op IN ('set', 'get', 'invalidate') AND NOT (op = 'set' AND (ttl IS NULL OR value IS NULL))")
+    known = known.select("key", "id", "ts", "op", "value", F.col("ttl").cast("double").alias("ttl"))
+    return known.groupBy("key").applyInPandasWithState(run, f"key {kinds['key']}, id long, result string, value {kinds['value']}", f"value {kinds['value']}, deadline long", "append", "EventTimeTimeout")
+
+
 def bars_from_ticks(ticks: DataFrame, width: str = "1 day") -> DataFrame:
     """Tumbling open-high-low-close bars per symbol."""
     at = F.struct("ts", "id")

@@ -291,3 +291,52 @@ def test_holdings_need_a_quote_and_a_rate(spark):
     got = {r.symbol: r for r in valued(h, quotes, spark.createDataFrame([("USD", 80.0), ("INR", 1.0)], "currency string, rate double")).collect()}
     assert set(got) == {"A", "B", "C"} and got["A"].quantity == 6.0 and got["A"].value == 1440.0 and got["A"].cost == pytest.approx(12.0)
     assert got["A"].weight == pytest.approx(100 * 1440 / 2160) and got["C"].value is None and got["C"].weight is None
+
+
+def _files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_a_batch_of_one_day_rewrites_that_days_cells_alone(spark, tmp_path):
+    path, schema = tmp_path / "t", "symbol string, day date, price double"
+    table = lambda: KeyedTable(spark, str(path), ["symbol", "day"], schema, buckets=2, part=F.col("day"))
+    rows = [(f"S{i}", days(d), float(i)) for d in range(5) for i in range(10)] + [(None, None, 1.0)]
+    table().upsert(spark.createDataFrame(rows, schema), [F.col("price")])
+    before = _files(path)
+    table().upsert(spark.createDataFrame([("S1", days(3), 50.0), ("NEW", days(3), 1.0)], schema), [F.col("price")])
+    after = _files(path)
+    assert all(after[name] == t for name, t in before.items())  # nothing old is touched
+    new = [name for name in after if name not in before]
+    assert new and all(f"_part={days(3)}" in name for name in new)
+    want = {(s, d): p for s, d, p in rows} | {("S1", days(3)): 50.0, ("NEW", days(3)): 1.0}
+    assert {(r.symbol, r.day): r.price for r in table().read().collect()} == want
+    plan = table()._rows({("2024-01-04", 0): 1})._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(concat_ws(|, _part" in plan.replace("concat_ws(|, _part#", "(concat_ws(|, _part#").replace("((", "(")  # cells that are not asked for are not opened
+
+
+def test_old_versions_are_folded_and_removed(spark, tmp_path):
+    path, schema = tmp_path / "t", "k int, day int, v int"
+    table = KeyedTable(spark, str(path), ["k", "day"], schema, buckets=1, part=F.col("day"), versions=3)
+    want = {}
+    for i in range(1, 10):
+        batch = [(i, i, i), (0, 0, 100 + i)]
+        table.upsert(spark.createDataFrame(batch, schema), [F.col("v")])
+        want |= {(k, d): v for k, d, v in batch}
+        assert {(r.k, r.day): r.v for r in table.read().collect()} == want
+        assert len(set(table._state()[1].values())) <= 4
+    assert len(table._versions()) <= 8
+    table.vacuum()
+    assert len(table._versions()) == 1 and {(r.k, r.day): r.v for r in table.read().collect()} == want
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], "k int, v int", buckets=2)
+    row = lambda v: spark.createDataFrame([(1, v)], "k int, v int")
+    assert table.upsert(row(1), [F.col("v")], ("s", 0)) and table.last_batch("s") == 0
+    assert table.upsert(row(2), [F.col("v")], ("s", 1))
+    versions = table._versions()
+    for again in (0, 1):
+        assert not table.upsert(row(99), [F.col("v")], ("s", again))
+    assert table._versions() == versions and table.read().first().v == 2
+    assert table.upsert(row(3), [F.col("v")], ("other", 0)) and table.upsert(row(4), [F.col("v")])
+    assert table.last_batch("s") == 1 and table.last_batch("other") == 0 and table.read().first().v == 4
