@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import exists
+
 
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """Changes with the names, sizes and times of the files under ``paths``; their content is not read.  A path without files counts as empty."""
@@ -34,17 +36,13 @@ class SourceCache:
     def _entry(self, name: str, version: str) -> str:
         return f"{self.home}/{name}/{version}"
 
-    def _found(self, path: str) -> bool:
-        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return done.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(done)
-
     def get(self, name: str, inputs: list[str], build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
         """The stored result if there is one for these inputs as they are now; otherwise, or with ``rebuild``, it is built and stored.
 
         An entry counts once its marker is there, so a build that was cut off is built again.  Entries of earlier inputs stay until ``drop_stale``.
         """
         path = self._entry(name, fingerprint(self.spark, inputs))
-        if rebuild or not self._found(path):
+        if rebuild or not exists(self.spark, f"{path}/_SUCCESS"):
             build().write.mode("overwrite").parquet(path)
             self.builds += 1
         else:

@@ -25,6 +25,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def read_csv(spark: SparkSession, path: str, columns: dict[str, str], header: bool = True, sep: str = ",") -> DataFrame:
     """Columns by name with tolerant casts: what does not parse is NULL.  ``columns`` maps names to types, in file order without a header.
 
