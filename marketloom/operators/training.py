@@ -100,6 +100,23 @@ def greedy(score: Callable[[list[str]], float], base: list[str], candidates: lis
     return chosen
 
 
+def block_ablation(rows: DataFrame, learner, blocks: dict[str, list[str]], y: str = "y") -> list[tuple[str, int, float, float, float]]:
+    """What each block of columns is worth: (block, columns, AUC with all blocks, AUC without it, difference), in the order given.
+
+    All scores are on the same rows (those with every column of every block) and the same folds, which are stored once; only the columns that
+    the learner is given differ.
+    """
+    every = [c for names in blocks.values() for c in names]
+    score = fold_auc(rows.dropna(subset=every), learner, y)
+    whole = score(every)
+    out = []
+    for name, own in blocks.items():
+        rest = [c for c in every if c not in own]
+        without = score(rest) if rest else 0.5
+        out.append((name, len(own), whole, without, whole - without))
+    return out
+
+
 def meta_rows(primary: DataFrame, y: str = "y", p: str = "calibrated") -> DataFrame:
     """Rows for a second model that says whether to act on the first: its probability ``primary_p``, and ``right`` = 1 where it called the direction."""
     call = (F.col(p) >= 0.5).cast("double")

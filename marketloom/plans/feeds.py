@@ -61,10 +61,16 @@ def feed_implied_vol(spark, sf_dir) -> DataFrame:
     return feeds.implied_vol(spark, folder)
 
 
-@query("feed_onchain", twin("SELECT symbol, ts::DATE AS date, count(*)::DOUBLE AS adr_act, max(id)::DOUBLE AS tx_cnt, min(price) AS sply_cur, max(price) AS cap_mkt_usd, NULL::DOUBLE AS price_cm FROM ticks WHERE symbol IN ('S1', 'S2', 'S3') GROUP BY ALL"))
+@query("feed_onchain", twin("""SELECT symbol, date, adr_act, tx_cnt, sply_cur, cap_mkt_usd, NULL::DOUBLE AS price_cm FROM (
+    SELECT symbol, date, CASE WHEN extract(day FROM date) % 5 = 0 THEN 0 WHEN extract(day FROM date) % 5 <> 1 THEN n END::DOUBLE AS adr_act, CASE WHEN extract(day FROM date) % 3 <> 0 THEN last END::DOUBLE AS tx_cnt, sply_cur, cap_mkt_usd FROM (
+      SELECT symbol, ts::DATE AS date, count(*) AS n, max(id) AS last, min(price) AS sply_cur, max(price) AS cap_mkt_usd FROM ticks WHERE symbol IN ('S1', 'S2', 'S3') GROUP BY ALL))
+    WHERE coalesce(adr_act, 0) <> 0 OR coalesce(tx_cnt, 0) <> 0"""))
 def feed_onchain(spark, sf_dir) -> DataFrame:
+    """Days without addresses or transactions, or without both, are in the file; the last are dropped."""
     path = f"{scratch(spark, 'onchain')}/onchain.csv"
-    d = ticks(spark, sf_dir).groupBy(F.lower("symbol").alias("asset"), F.to_date("ts").cast("string").alias("time")).agg(F.count(F.lit(1)).alias("AdrActCnt"), F.max("id").alias("TxCnt"), F.min("price").alias("SplyCur"), F.max("price").alias("CapMrktCurUSD"), F.lit("missing").alias("PriceUSD"))
+    of = F.dayofmonth(F.first(F.to_date("ts")))
+    addresses, moves = F.when(of % 5 == 0, 0).when(of % 5 != 1, F.count(F.lit(1))), F.when(of % 3 != 0, F.max("id"))
+    d = ticks(spark, sf_dir).groupBy(F.lower("symbol").alias("asset"), F.to_date("ts").cast("string").alias("time")).agg(addresses.alias("AdrActCnt"), moves.alias("TxCnt"), F.min("price").alias("SplyCur"), F.max("price").alias("CapMrktCurUSD"), F.lit("missing").alias("PriceUSD"))
     d.write.csv(path, header=True)
     return feeds.onchain(spark, path, ["S1", "S2", "S3"])
 

@@ -59,7 +59,7 @@ def interval_overlap(spark, sf_dir) -> DataFrame:
     return spans.select("symbol", F.explode(F.sequence("a", "b")).alias("pos")).groupBy("symbol", "pos").agg(F.count(F.lit(1)).alias("open_events"))
 
 
-_FOLDS = (("po", "SELECT symbol, date, t1, row_number() OVER (ORDER BY date, symbol) - 1 AS pos FROM ev"), ("fo", "SELECT f AS fold, f * s AS a, (f + 1) * s AS b, greatest(0, f * s - 7) AS c FROM (SELECT (max(pos) + 1) // 6 AS s FROM po), (SELECT unnest(range(1, 6)) AS f)"),
+_FOLDS = (("po", "SELECT symbol, date, t1, row_number() OVER (ORDER BY date, symbol) - 1 AS pos FROM ev"), ("fo", "SELECT f AS fold, f * s AS a, CASE WHEN f = 5 THEN n ELSE (f + 1) * s END AS b, greatest(0, f * s - 7) AS c FROM (SELECT max(pos) + 1 AS n, (max(pos) + 1) // 6 AS s FROM po), (SELECT unnest(range(1, 6)) AS f)"),
     ("fd", "SELECT fold, CASE WHEN p.pos >= a AND p.pos < b THEN 'test' WHEN p.pos < a AND p.t1 < q.date THEN 'train' END AS role, p.* FROM fo JOIN po q ON q.pos = fo.c CROSS JOIN po p"))
 
 
@@ -69,13 +69,13 @@ def _pooled(spark, sf_dir) -> DataFrame:
 
 @query("purged_folds", twin("SELECT fold::INT AS fold, role, count(*)::BIGINT AS n, min(date) AS first_date, max(date) AS last_date, max(t1) AS last_t1 FROM fd WHERE role IS NOT NULL GROUP BY ALL", *_EVENTS, *_FOLDS))
 def purged_folds_q(spark, sf_dir) -> DataFrame:
-    return purged_folds(_pooled(spark, sf_dir)).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max("t1").alias("last_t1"))
+    return purged_folds(_pooled(spark, sf_dir), whole=True).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max("t1").alias("last_t1"))
 
 
 @query("purge_overlap_zero", twin("SELECT t.fold::INT AS fold, count(*) FILTER (WHERE r.last_t1 >= t.first_date)::BIGINT AS overlaps FROM (SELECT fold, min(date) AS first_date FROM fd WHERE role = 'test' GROUP BY fold) t JOIN (SELECT fold, max(t1) AS last_t1 FROM fd WHERE role = 'train' GROUP BY fold) r ON r.fold = t.fold GROUP BY ALL", *_EVENTS, *_FOLDS))
 def purge_overlap_zero(spark, sf_dir) -> DataFrame:
     """Training spans that reach into the test block: none."""
-    f = purged_folds(_pooled(spark, sf_dir)).groupBy("fold").agg(F.min(F.when(F.col("role") == "test", F.col("date"))).alias("first_date"), F.max(F.when(F.col("role") == "train", F.col("t1"))).alias("last_t1"))
+    f = purged_folds(_pooled(spark, sf_dir), whole=True).groupBy("fold").agg(F.min(F.when(F.col("role") == "test", F.col("date"))).alias("first_date"), F.max(F.when(F.col("role") == "train", F.col("t1"))).alias("last_t1"))
     return f.where("last_t1 is not null").select("fold", (F.col("last_t1") >= F.col("first_date")).cast("long").alias("overlaps"))
 
 

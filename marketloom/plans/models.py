@@ -11,7 +11,7 @@ from ..operators.fracdiff import fracdiff, weights
 from ..operators.labels import uniqueness
 from ..operators.recursive import smooth_sql, smoothed
 from ..operators.regimes import decode
-from ..operators.training import fold_rows, walk_forward
+from ..operators.training import fold_rows, stored, walk_forward
 from ..registry import query
 from ..sources.logical import SQL, bars, twin
 from .learning import events
@@ -27,7 +27,7 @@ def features(spark, sf_dir) -> DataFrame:
     f = b.select("symbol", "date", (c / w.rmean(c, 5) - 1).alias("sma5"), (c / w.rmean(c, 20) - 1).alias("sma20"), w.rstd(F.col("r"), 20).alias("vol20"), F.col("r").alias("r1"), w.log_return(c, 5).alias("r5"))
     e = events(spark, sf_dir)
     rows = e.join(f, ["symbol", "date"]).join(uniqueness(e, b), ["symbol", "date"])
-    return rows.dropna().withColumn("y", (F.col("label") > 0).cast("double"))
+    return stored(rows.dropna().withColumn("y", (F.col("label") > 0).cast("double")), "features")  # read by every fold and count
 
 
 def learner(kind: str, trees: int = 5, depth: int = 3):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import r6
 from ..operators.asof import asof_backward, latest_per_group
+from ..operators.features import enabled_blocks, feature_columns  # noqa: F401
 from ..operators.options import chain_measures
 from ..registry import query
 from ..sources.files import KeyedTable, append, copy_since, scratch
@@ -14,8 +15,6 @@ from ..sources.logical import bars, predictions, raw, ticks, twin
 
 #: Symbols that are kept in the store but listed no more.
 RETIRED = ("S7", "S13")
-#: Columns that are no features: raw prices, and what is kept for diagnosis.
-RAW_COLUMNS, DIAGNOSTIC = ("open", "high", "low", "close", "volume", "adj_close"), ("ffd_order",)
 
 
 def listed(df: DataFrame, retired: tuple[str, ...] = RETIRED) -> DataFrame:
@@ -28,28 +27,6 @@ def leaderboard(spark, sf_dir) -> DataFrame:
     return latest_per_group(listed(predictions(spark, sf_dir)), ["symbol"], "generated_at").orderBy(F.desc("confidence"), "symbol").limit(50).select("symbol", "id", "confidence")
 
 
-def feature_columns(df: DataFrame, keys: tuple[str, ...] = ("symbol", "date")) -> list[str]:
-    return [c for c in df.columns if c not in (*RAW_COLUMNS, *DIAGNOSTIC, *keys)]
-
-
-#: Feature blocks and whether they are built unless asked for otherwise.
-BLOCKS = {"price": True, "crypto": False, "equity": False, "sentiment": False, "macro": False}
-
-
-def enabled_blocks(flags: dict[str, str] | None = None) -> list[str]:
-    """Blocks to build: the default ones, and those whose flag ``USE_<BLOCK>`` is "1"."""
-    return [b for b, on in BLOCKS.items() if on or (flags or {}).get(f"USE_{b.upper()}") == "1"]
-
-
-@query("feature_selection", "SELECT * FROM (VALUES ('r1', 'price'), ('range', 'price'), ('vz', 'macro')) v(feature, block)")
-def feature_selection(spark, sf_dir) -> DataFrame:
-    """Names of the features that a frame with raw and diagnostic columns has, with the blocks that the flags switch on."""
-    b = bars(spark, sf_dir).withColumn("ffd_order", F.lit(0.4)).withColumn("r1", F.col("close")).withColumn("range", F.col("high") - F.col("low"))
-    if "macro" in enabled_blocks({"USE_MACRO": "1", "USE_CRYPTO": "0"}):
-        b = b.withColumn("vz", F.lit(0.0))
-    return spark.createDataFrame([(c, "macro" if c == "vz" else "price") for c in feature_columns(b)], "feature string, block string")
-
-
 _REG = ("rg", "SELECT date, CASE WHEN v > 1.5::DOUBLE * avg(v) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) THEN 'risk_off' WHEN v > avg(v) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) THEN 'chop' ELSE 'trend' END AS regime FROM (SELECT date, avg(high - low) AS v FROM bars WHERE month(date) % 2 = 0 GROUP BY date)")
 
 

@@ -54,9 +54,10 @@ def implied_vol(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def onchain(spark: SparkSession, path: str, symbols: list[str]) -> DataFrame:
-    """The long file (asset, time, metrics) for the symbols, under our names."""
+    """The long file (asset, time, metrics) for the symbols, under our names; rows without addresses and transactions are no activity and go."""
     rows = spark.read.csv(path, header=True).select(F.upper("asset").alias("symbol"), day("time").alias("date"), *[number(c).alias(n) for c, n in ONCHAIN.items()])
-    return rows.where(F.col("symbol").isin(symbols) & F.col("date").isNotNull())
+    idle = (F.coalesce("adr_act", F.lit(0.0)) == 0) & (F.coalesce("tx_cnt", F.lit(0.0)) == 0)
+    return rows.where(F.col("symbol").isin(symbols) & F.col("date").isNotNull() & ~idle)
 
 
 def chain_health(spark: SparkSession, folder: str, symbol: str = "BTC") -> DataFrame:
