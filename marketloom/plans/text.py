@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import r6
+from ..operators.retrieval import PrunedIndex, context, per_collection
 from ..operators.vectors import nearest_vectors
 from ..registry import query
 from ..sources.logical import news, predictions, raw, ticks, twin, verdicts
@@ -21,6 +22,23 @@ def cosine_topk(spark, sf_dir) -> DataFrame:
     return nearest_vectors(v, v.where("vec_id % 100 = 0"), 4)
 
 
+_CHUNKS = 8
+_SIMILAR = """v AS (SELECT vec_id, label % 3 AS collection, label, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, v.collection, v.label, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS score FROM v, v q WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, vec_id) AS k FROM s) WHERE k <= 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY collection, score DESC, vec_id) AS at_ FROM t)"""
+
+
+@query("retrieval_context", f"WITH {_SIMILAR} SELECT query_id, count(*) AS chunks, string_agg('[Context ' || at_::VARCHAR || '] item ' || vec_id::VARCHAR || ' of kind ' || label::VARCHAR, chr(10) || chr(10) ORDER BY at_) AS context FROM o WHERE at_ <= {_CHUNKS} GROUP BY query_id")
+def retrieval_context(spark, sf_dir) -> DataFrame:
+    """The numbered context of every query vector, by the pruned index: two neighbours of each collection, in the order of the collections."""
+    e = raw(spark, sf_dir, "embeddings")
+    v = e.select("vec_id", (F.col("label") % 3).cast("int").alias("collection"), "embedding")
+    texts = e.select("vec_id", F.concat(F.lit("item "), F.col("vec_id").cast("string"), F.lit(" of kind "), F.col("label").cast("string")).alias("text"))
+    found = PrunedIndex(v).search(v.where("vec_id % 100 = 0"), per_collection(_CHUNKS))
+    return context(found, texts, _CHUNKS)
+
+
 #: Keyword, symbol, priority: the first that matches wins.
 KEYWORDS = (("the ", "EN1", 1), ("der ", "DE1", 2), (" la ", "FR1", 3), ("que", "ES1", 4), ("on", "ANY", 5))
 
