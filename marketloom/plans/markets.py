@@ -198,13 +198,17 @@ def throttled_runs(spark, sf_dir) -> DataFrame:
     return t.groupBy("symbol").agg(F.count(F.lit(1)).alias("triggers")).join(runs, "symbol").select("symbol", "runs", "triggers")
 
 
-@query("vector_upsert", "SELECT vec_id % 100 AS id, max(vec_id) AS version, count(*)::BIGINT AS n FROM embeddings GROUP BY 1")
+@query("vector_upsert", "SELECT vec_id AS id, CASE WHEN label IN (0, 3) THEN 2 ELSE 1 END AS version, len(embedding)::INT AS dims, CASE WHEN label IN (0, 3) THEN -embedding[1] ELSE embedding[1] END::DOUBLE AS first, round(list_sum(embedding::DOUBLE[]) * CASE WHEN label IN (0, 3) THEN -1 ELSE 1 END, 6) + 0 AS total FROM embeddings")
 def vector_upsert(spark, sf_dir) -> DataFrame:
-    """A keyed collection of vectors: later batches replace earlier ones of the same id."""
-    v = raw(spark, sf_dir, "embeddings").select((F.col("vec_id") % 100).alias("id"), "vec_id", "embedding")
-    store = KeyedTable(spark, scratch(spark, "vectors"), ["id"], f"id bigint, vec_id bigint, embedding {v.schema['embedding'].dataType.simpleString()}")
-    store.upsert(v, [F.desc("vec_id")])
-    return store.read().select("id", F.col("vec_id").alias("version")).join(v.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id")
+    """A keyed collection of all vectors; a second batch replaces those of two labels by their opposites."""
+    e = raw(spark, sf_dir, "embeddings")
+    v = e.select(F.col("vec_id").alias("id"), F.lit(1).alias("version"), "embedding", "label")
+    store = KeyedTable(spark, scratch(spark, "vectors"), ["id"], f"id bigint, version int, embedding {dict(e.dtypes)['embedding']}")
+    store.upsert(v.drop("label"), [F.desc("version")])
+    again = v.where(F.col("label").isin(0, 3)).select("id", F.lit(2).alias("version"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    store.upsert(again, [F.desc("version")])
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return store.read().select("id", "version", F.size("embedding").alias("dims"), F.col("embedding")[0].cast("double").alias("first"), (r6(total) + 0.0).alias("total"))
 
 
 @query("next_ids", twin("SELECT symbol, (SELECT max(id) FROM ticks) + row_number() OVER (ORDER BY symbol) AS id FROM (SELECT DISTINCT symbol FROM ticks)"))

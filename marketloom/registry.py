@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ("features", "store", "learning", "portfolios", "cashflow", "altdata", "text", "stores_io", "streams", "models", "markets", "feeds", "rules", "training", "volatility", "sentiment", "backtests", "cycle", "matrix")
+MODULES: tuple[str, ...] = ("features", "store", "learning", "portfolios", "cashflow", "altdata", "text", "stores_io", "streams", "models", "markets", "feeds", "rules", "training", "volatility", "sentiment", "backtests", "cycle", "matrix", "listings")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
