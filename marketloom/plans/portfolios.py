@@ -10,6 +10,7 @@ from ..operators import portfolio as pf
 from ..operators import windows as w
 from ..operators.asof import asof_forward, latest_per_group
 from ..operators.labels import triple_barrier
+from ..operators.training import stored
 from ..registry import query
 from ..sources.logical import bars, predictions, ticks, twin, verdicts
 from .learning import _EVENTS, _W, events
@@ -106,7 +107,7 @@ _BOOKED = (*_PANEL, *_GRID, _LEGS, _leg_sql("sw", "sl", "(PARTITION BY date, leg
 
 
 def simulated(spark, sf_dir) -> DataFrame:
-    p = panel(spark, sf_dir)
+    p = stored(panel(spark, sf_dir), "panel")  # the grid and the book read it
     return pf.simulate(p, grid(p), mode="market")
 
 
@@ -187,14 +188,13 @@ _SEL = (("cd", "SELECT e.symbol, e.date, e.t1, e.ret, row_number() OVER (PARTITI
 
 @query("per_symbol_backtest", twin("SELECT symbol, count(*)::BIGINT AS n, round(avg(ret), 6) AS mean_ret, round(avg((ret > 0)::INT), 6) AS win_rate FROM sl WHERE taken GROUP BY symbol HAVING count(*) >= 5", *_EVENTS, *_SEL, recursive=True))
 def per_symbol_backtest(spark, sf_dir) -> DataFrame:
-    """Trades that do not overlap: an event is taken if no earlier trade of its symbol is open; a fold over each symbol's events."""
+    """Trades that do not overlap: an event is taken if no earlier trade of its symbol is open; a fold over each symbol's events that carries sums only."""
     e = events(spark, sf_dir).join(bars(spark, sf_dir).select("symbol", "date", "volume"), ["symbol", "date"]).where(0.4 + (F.col("volume").cast("long") % 41) / 100 >= 0.6)
-    fold = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("date", "t1", "ret"))), F.struct(F.lit(None).cast("date").alias("free"), F.array().cast("array<double>").alias("rets")),
-        lambda a, x: F.when(a["free"].isNull() | (x["date"] >= a["free"]), F.struct(x["t1"].alias("free"), F.concat(a["rets"], F.array(x["ret"])).alias("rets"))).otherwise(a), lambda a: a["rets"],
-    )
-    r = e.groupBy("symbol").agg(fold.alias("rets")).select("symbol", F.explode("rets").alias("ret"))
-    return r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ret")).alias("mean_ret"), r6(F.avg((F.col("ret") > 0).cast("int"))).alias("win_rate")).where("n >= 5")
+    start = F.struct(F.lit(None).cast("date").alias("free"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("won"))
+    taken = lambda a, x: F.struct(x["t1"].alias("free"), (a["n"] + 1).alias("n"), (a["total"] + x["ret"]).alias("total"), (a["won"] + (x["ret"] > 0).cast("long")).alias("won"))
+    fold = F.aggregate(F.sort_array(F.collect_list(F.struct("date", "t1", "ret"))), start, lambda a, x: F.when(a["free"].isNull() | (x["date"] >= a["free"]), taken(a, x)).otherwise(a))
+    r = e.groupBy("symbol").agg(fold.alias("f")).select("symbol", "f.*").where("n >= 5")
+    return r.select("symbol", "n", r6(F.col("total") / F.col("n")).alias("mean_ret"), r6(F.col("won") / F.col("n")).alias("win_rate"))
 
 
 _LATEST = ("la", "SELECT * FROM predictions p WHERE generated_at = (SELECT max(generated_at) FROM predictions q WHERE q.symbol = p.symbol)")

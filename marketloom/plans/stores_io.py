@@ -57,10 +57,11 @@ def csv_headerless(spark, sf_dir) -> DataFrame:
 
 @query("json_timeline", twin("SELECT epoch_ms(epoch_ms(date_trunc('second', ts)))::DATE AS date, count(*)::BIGINT AS n, max(price) AS top FROM ticks GROUP BY ALL"))
 def json_timeline(spark, sf_dir) -> DataFrame:
-    """Nested feed: documents with an array of points whose time is epoch milliseconds."""
+    """Nested feed: documents with an array of points whose time is epoch milliseconds; a symbol's points are dealt to documents of some thousands."""
     path = scratch(spark, "json")
     t = ticks(spark, sf_dir).select("symbol", F.struct((F.unix_seconds(F.col("ts").cast("timestamp")) * 1000).alias("t"), F.col("price").alias("v")).alias("p"))
-    t.groupBy("symbol").agg(F.collect_list("p").alias("data")).write.json(path)
+    documents = max(1, t.count() // 5_000)
+    t.groupBy("symbol", F.pmod(F.xxhash64("p"), F.lit(documents)).alias("part")).agg(F.collect_list("p").alias("data")).drop("part").write.json(path)
     points = read_json_records(spark, path, "data", "t: bigint, v: double")
     return points.groupBy(epoch_day(F.col("t")).alias("date")).agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
 
