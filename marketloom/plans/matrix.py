@@ -9,7 +9,7 @@ from .. import registry
 from ..functions.num import r6
 from ..operators.features import assembled, feature_columns, market_block, price_block
 from ..operators.labels import uniqueness
-from ..operators.training import block_ablation, stored
+from ..operators.training import block_ablation, fold_rows, stored, walk_forward
 from ..registry import query
 from ..sources.logical import bars, twin
 from . import features as _single  # noqa: F401  (their twins make up the table's)
@@ -89,3 +89,16 @@ def ablation_of_blocks(spark, sf_dir) -> DataFrame:
     got = block_ablation(rows, learner("logistic"), blocks)
     out = spark.createDataFrame(got, "block string, columns int, auc_with double, auc_without double, lift double")
     return out.select("block", "columns", *[r6(F.col(c)).alias(c) for c in ("auc_with", "auc_without", "lift")])
+
+
+#: Trees and depth of the model over all columns.
+TREES, DEPTH = 50, 4
+
+
+@query("oof_gbt_wide")
+def oof_gbt_wide(spark, sf_dir) -> DataFrame:
+    """Out-of-fold probabilities of boosted trees over all columns of the wide table, for the events that have all of them."""
+    rows = wide_events(spark, sf_dir)
+    names = [c for c in rows.columns if c in _PRICE or c in MARKET]
+    scored = walk_forward(fold_rows(rows.dropna(subset=names)), learner("gbt", TREES, DEPTH), names)
+    return scored.select("symbol", "date", "fold", "y", r6(F.col("p")).alias("p"))

