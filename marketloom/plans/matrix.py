@@ -27,7 +27,7 @@ def market_series(spark, sf_dir) -> DataFrame:
 
 def _joined() -> str:
     parts = " ".join(("FROM" if i == 0 else "JOIN") + f" ({registry._ORACLES[name]}) {name}" + ("" if i == 0 else " USING (symbol, date)") for i, name in enumerate(_PARTS))
-    return f"SELECT * EXCLUDE (month), round(sin(2 * pi() * (month - 1) / 12), 6) AS month_sin, round(cos(2 * pi() * (month - 1) / 12), 6) AS month_cos {parts}"
+    return f"SELECT * EXCLUDE (month), round(sin(2 * pi() * (month - 1) / 12), 6) + 0 AS month_sin, round(cos(2 * pi() * (month - 1) / 12), 6) + 0 AS month_cos {parts}"
 
 
 @query("price_matrix", _joined())
@@ -41,7 +41,7 @@ _D = "OVER (ORDER BY date"
 
 
 @query("market_features", twin(f"""SELECT date, {', '.join(f"round(coalesce(ln(level / lag(level, {n}) {_D})), 0), 6) AS market_ret_{n}" for n in (1, 5, 20))}, round(coalesce((fear - avg(fear) OVER z) / nullif(CASE WHEN count(fear) OVER z >= 60 THEN stddev_samp(fear) OVER z END, 0), 0), 6) AS fear_z,
-    round(coalesce(ln(fear / nullif(lag(fear) {_D}), 0)), 0), 6) AS fear_change, round(coalesce(rate - lag(rate) {_D}), 0), 6) AS rate_change FROM (SELECT date, avg(close) AS level, avg(high - low) AS fear, avg(volume) AS rate FROM bars GROUP BY date) WINDOW z AS (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"""))
+    round(coalesce(ln(nullif(fear, 0) / nullif(lag(fear) {_D}), 0)), 0), 6) AS fear_change, round(coalesce(rate - lag(rate) {_D}), 0), 6) AS rate_change FROM (SELECT date, avg(close) AS level, avg(high - low) AS fear, avg(volume) AS rate FROM bars GROUP BY date) WINDOW z AS (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"""))
 def market_features(spark, sf_dir) -> DataFrame:
     """The block that all symbols share: level, fear gauge and rate."""
     m = market_block(market_series(spark, sf_dir))

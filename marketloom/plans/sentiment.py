@@ -60,7 +60,7 @@ def text_scores(spark, sf_dir) -> DataFrame:
 
 _CASES = """SELECT id, pos, CASE WHEN s >= 0.15::DOUBLE THEN 'positive' WHEN s <= -0.15::DOUBLE THEN 'negative' ELSE 'neutral' END AS label, s AS score FROM (SELECT id, pos, coalesce(CASE id % 8
   WHEN 0 THEN CASE pos WHEN 0 THEN least(k, 1) WHEN 1 THEN -0.2::DOUBLE END WHEN 1 THEN CASE pos WHEN 2 THEN least(k, 1) WHEN 0 THEN greatest(-k, -1) END WHEN 2 THEN CASE pos WHEN 1 THEN least(k, 1) END
-  WHEN 4 THEN CASE pos WHEN 0 THEN -1 WHEN 2 THEN 0.4::DOUBLE END WHEN 6 THEN CASE pos WHEN 1 THEN 0.9::DOUBLE END WHEN 7 THEN CASE pos WHEN 0 THEN least(k, 1) END END, 0)::DOUBLE AS s
+  WHEN 4 THEN CASE pos WHEN 0 THEN -1 WHEN 2 THEN 0.4::DOUBLE END WHEN 6 THEN CASE pos WHEN 1 THEN 0.9::DOUBLE END WHEN 7 THEN CASE pos WHEN 0 THEN least(k, 1) END END, 0)::DOUBLE + 0 AS s
   FROM (SELECT id, (id % 29) / 20::DOUBLE AS k, unnest([0, 1, 2]) AS pos FROM ticks))"""
 
 
@@ -80,4 +80,4 @@ def scores_of_replies(spark, sf_dir) -> DataFrame:
     ]
     reply = F.element_at(F.array(*forms), (i % 8 + 1).cast("int"))
     t = ticks(spark, sf_dir).select("id", F.posexplode(reply_scores(reply, F.lit(3))).alias("pos", "r"))
-    return t.select("id", "pos", "r.label", "r.score")
+    return t.select("id", "pos", "r.label", (F.col("r.score") + 0.0).alias("score"))  # no negative zero
