@@ -130,6 +130,40 @@ def heatmap(spark, sf_dir) -> DataFrame:
     return days.crossJoin(top).select("tx_date", r2(F.col("spend")).alias("spend"), F.least(F.lit(4), F.floor(4 * F.log1p("spend") / F.nullif(F.log1p("top"), F.lit(0.0)))).cast("int").alias("level"))
 
 
+_DAYS = (
+    ("dy", "SELECT account, unnest(generate_series(d - INTERVAL 29 DAY, d, INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT account FROM transactions), asof_"),
+    ("sp", "SELECT dy.account, day, coalesce(sum(-amount) FILTER (WHERE amount < 0), 0) AS spend FROM dy LEFT JOIN transactions x ON x.account = dy.account AND tx_date = day GROUP BY ALL"),
+)
+
+
+def daily_spend(spark, sf_dir, days: int = 30) -> DataFrame:
+    """account, day, spend of the last ``days`` days up to the report date, those without a transaction included."""
+    t = transactions(spark, sf_dir)
+    last = F.broadcast(t.agg(F.max("tx_date").alias("d")))  # one row
+    spine = t.select("account").distinct().crossJoin(last).select("account", F.explode(F.sequence(F.date_sub("d", days - 1), F.col("d"))).alias("day"))
+    spent = t.where("amount < 0").groupBy("account", F.col("tx_date").alias("day")).agg(F.sum(-F.col("amount")).alias("spend"))
+    return spine.join(spent, ["account", "day"], "left").withColumn("spend", F.coalesce("spend", F.lit(0.0)))
+
+
+@query("heat_levels", twin("SELECT account, day, round(spend, 2) AS spend, CASE WHEN spend > 0 THEN greatest(1, ceil(ln(1 + spend) / ln(1 + greatest(max(spend) OVER (PARTITION BY account), 1)) * 4 - 1e-9::DOUBLE))::INT ELSE 0 END AS level FROM sp", _AS_OF, *_DAYS))
+def heat_levels(spark, sf_dir) -> DataFrame:
+    """Heat of each account's last thirty days in four steps of the logarithm; a day without spending has none, the largest the fourth."""
+    top = F.greatest(F.max("spend").over(Window.partitionBy("account")), F.lit(1.0))
+    level = F.greatest(F.lit(1), F.ceil(F.log1p("spend") / F.log1p(top) * 4 - 1e-9))
+    return daily_spend(spark, sf_dir).select("account", "day", r2(F.col("spend")).alias("spend"), F.when(F.col("spend") > 0, level).otherwise(0).cast("int").alias("level"))
+
+
+@query("spend_trend", twin("""SELECT account, round(a, 2) AS first_half, round(b, 2) AS second_half, CASE WHEN b > a * 1.1::DOUBLE THEN 'rising' WHEN b < a * 0.9::DOUBLE THEN 'falling' ELSE 'stable' END AS trend FROM (
+  SELECT account, coalesce(sum(spend) FILTER (WHERE day <= d - 15), 0) AS a, coalesce(sum(spend) FILTER (WHERE day > d - 15), 0) AS b FROM sp, asof_ GROUP BY account)""", _AS_OF, *_DAYS))
+def spend_trend(spark, sf_dir) -> DataFrame:
+    """The last fifteen days against the fifteen before, a tenth more or less counts."""
+    days = daily_spend(spark, sf_dir).withColumn("back", F.datediff(F.max("day").over(Window.partitionBy("account")), "day"))
+    half = lambda on: F.sum(F.when(on, F.col("spend")).otherwise(0.0))
+    h = days.groupBy("account").agg(half(F.col("back") >= 15).alias("a"), half(F.col("back") < 15).alias("b"))
+    trend = F.when(F.col("b") > F.col("a") * 1.1, "rising").when(F.col("b") < F.col("a") * 0.9, "falling").otherwise("stable")
+    return h.select("account", r2(F.col("a")).alias("first_half"), r2(F.col("b")).alias("second_half"), trend.alias("trend"))
+
+
 @query("top_categories", twin("SELECT user_id, category, round(spend, 2) AS spend, round(100 * (inc - total) / nullif(inc, 0), 4) AS savings_rate FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY spend DESC, category) AS k FROM (SELECT user_id, category, sum(exp) AS spend, sum(sum(inc)) OVER (PARTITION BY user_id) AS inc, sum(sum(exp)) OVER (PARTITION BY user_id) AS total FROM t GROUP BY user_id, category) WHERE spend > 0) WHERE k <= 5", _AS_OF, _T))
 def top_categories(spark, sf_dir) -> DataFrame:
     """The five largest categories of a user's spending, with the share of income that is saved."""

@@ -47,6 +47,27 @@ def oof_conformal(spark, sf_dir) -> DataFrame:
     return b.select("alpha", *[r6(F.col(c)).alias(c) for c in ("q", "coverage")], "n", *[r6(F.col(c)).alias(c) for c in ("mae", "naive_mae")], "has_skill")
 
 
+def split_bands(scored: DataFrame, alphas: tuple[float, ...] = (0.2, 0.1)) -> DataFrame:
+    """Half-widths from the residuals of all folds but the last, and the coverage of the last fold's: alpha, q, n, coverage, held_out.
+
+    ``coverage`` is that of the residuals that the widths were fitted to, by construction near 1 - alpha; ``held_out`` may miss it.
+    """
+    ok = scored.where((F.col("scale") > 0) & F.col("ret").isNotNull() & F.col("pred").isNotNull())
+    ok = stored(ok.select("fold", (F.abs(F.col("ret") - F.col("pred")) / F.greatest("scale", F.lit(1e-12))).alias("u")), "split-residuals")
+    last = ok.agg(F.max("fold")).first()[0]
+    early, late = ok.where(F.col("fold") < F.lit(last)), ok.where(F.col("fold") == F.lit(last)).select("u")
+    fitted = conformal(early, "u", list(alphas))  # a row per alpha
+    held = late.crossJoin(F.broadcast(fitted.select("alpha", "q"))).groupBy("alpha").agg(F.avg((F.col("u") <= F.col("q")).cast("double")).alias("held_out"))
+    return fitted.join(held, "alpha", "left").select("alpha", "q", "n", "coverage", "held_out")
+
+
+@query("oof_conformal_split")
+def oof_conformal_split(spark, sf_dir) -> DataFrame:
+    """Bands fitted to the earlier folds and held against the last one."""
+    b = split_bands(out_of_fold_return(features(spark, sf_dir)).join(conditional_scale(spark, sf_dir), ["symbol", "date"]))
+    return b.select("alpha", *[r6(F.col(c)).alias(c) for c in ("q", "coverage", "held_out")], "n")
+
+
 def out_of_fold_meta(rows: DataFrame, primary: DataFrame | None = None) -> DataFrame:
     """Test rows of the second model with ``primary_p`` (calibrated out of sample), ``right`` and ``meta_p``."""
     primary = primary if primary is not None else stored(walk_forward(fold_rows(rows), learner("gbt"), INPUTS), "primary")

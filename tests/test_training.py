@@ -97,3 +97,13 @@ def test_stack_uses_experts_only_where_regimes_differ(spark):
     assert not few["use_experts"] and few["mixed_auc"] == few["one_auc"]
     late = spark.createDataFrame([r[:2] + (1.0,) + r[3:] for r in rows[True]], kind)
     assert stack(late, ["primary", "p2", "a"], "primary")[1] == {"n_eval": 0} and stack(late.limit(0), ["a"], "primary")[0].count() == 0
+
+
+def test_split_bands_are_held_against_the_last_fold(spark):
+    from marketloom.plans.training import split_bands
+
+    rows = [(k, 0.0, (i % 100) / 100.0, 1.0) for k in (1, 2) for i in range(500)]
+    rows += [(3, 0.0, (i % 100) / 50.0, 1.0) for i in range(500)] + [(3, 0.0, 1.0, 0.0), (3, None, 1.0, 1.0)]  # twice as wide in the last fold
+    got = {r.alpha: r for r in split_bands(spark.createDataFrame(rows, "fold int, ret double, pred double, scale double")).collect()}
+    assert abs(got[0.2].q - 0.8) < 0.02 and abs(got[0.2].coverage - 0.8) < 0.02 and got[0.2].n == 1000
+    assert abs(got[0.2].held_out - 0.4) < 0.03 and abs(got[0.1].held_out - 0.45) < 0.03
