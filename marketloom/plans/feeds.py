@@ -14,10 +14,12 @@ from ..sources.logical import ticks, twin
 _MS = "(epoch_ms(date_trunc('second', ts)))"
 
 
-def _by_symbol(df: DataFrame, folder: str, kind: str) -> None:
-    """CSV files ``kind_SYMBOL.csv`` with a header; Spark's writer names files itself, so they are renamed."""
+def _by_symbol(df: DataFrame, folder: str, kind: str, order: str | None = None) -> None:
+    """CSV files ``kind_SYMBOL.csv`` with a header, rows in order of the column ``order``, which is not written; Spark's writer names files itself, so they are renamed."""
     spark = df.sparkSession
-    df.repartition(20, "symbol").write.partitionBy("symbol").csv(f"{folder}/raw", header=True)
+    rows = df.repartition(20, "symbol")
+    rows = rows.sortWithinPartitions("symbol", order).drop(order) if order else rows
+    rows.write.partitionBy("symbol").csv(f"{folder}/raw", header=True)
     path = spark._jvm.org.apache.hadoop.fs.Path
     root = path(f"{folder}/raw")
     store = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -34,7 +36,7 @@ def feed_funding(spark, sf_dir) -> DataFrame:
     folder = scratch(spark, "funding")
     rate = F.when(F.col("id") % 11 == 0, "n/a").otherwise((F.col("price") / 1000).cast("string"))
     ms = F.unix_seconds(F.col("ts").cast("timestamp")) * 1000
-    _by_symbol(ticks(spark, sf_dir).select("symbol", ms.alias("calc_time"), F.lit(8).alias("funding_interval_hours"), rate.alias("last_funding_rate")), folder, "funding")
+    _by_symbol(ticks(spark, sf_dir).select("id", "symbol", ms.alias("calc_time"), F.lit(8).alias("funding_interval_hours"), rate.alias("last_funding_rate")), folder, "funding", "id")
     f = feeds.funding(spark, folder)
     return f.select("symbol", "date", r6(F.col("funding")).alias("funding"), r6(F.col("funding_last")).alias("funding_last"))
 
@@ -44,9 +46,9 @@ def feed_open_interest(spark, sf_dir) -> DataFrame:
     folder, i = scratch(spark, "oi"), F.col("id")
     _by_symbol(
         ticks(spark, sf_dir).select(
-            "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("create_time"), F.when(i % 7 != 0, F.col("price")).alias("sum_open_interest"), (F.col("price") * 2).alias("sum_open_interest_value"),
+            "id", "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("create_time"), F.when(i % 7 != 0, F.col("price")).alias("sum_open_interest"), (F.col("price") * 2).alias("sum_open_interest_value"),
             F.when(i % 5 != 0, (F.col("price") / 10).cast("string")).otherwise("-").alias("sum_taker_long_short_vol_ratio"), (i % 13).alias("sum_toptrader_long_short_ratio"),
-        ), folder, "oi",
+        ), folder, "oi", "id",
     )
     f = feeds.open_interest(spark, folder)
     return f.select("symbol", "date", "oi", "oi_value", F.round("ls_ratio", 9).alias("ls_ratio"), F.round("top_ls", 9).alias("top_ls"))

@@ -30,21 +30,26 @@ def day(c: str) -> Column:
 
 def _files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     name = F.regexp_extract("_metadata.file_name", rf"^{kind}_(.+)\.csv$", 1)
-    return spark.read.csv(f"{folder}/{kind}_*.csv", header=True).select("*", F.upper(name).alias("symbol"))
+    place = F.struct((-F.col("_metadata.file_block_start")).alias("block"), (-F.monotonically_increasing_id()).alias("row"))
+    return spark.read.csv(f"{folder}/{kind}_*.csv", header=True).select("*", F.upper(name).alias("symbol"), place.alias("_place"))
+
+
+def _last(c: str) -> Column:
+    """``c`` of the row with the largest ``t`` that has one; of several at that time the first in the file."""
+    return F.max_by(c, F.when(F.col(c).isNotNull() & F.col("t").isNotNull(), F.struct("t", "_place")))
 
 
 def funding(spark: SparkSession, folder: str) -> DataFrame:
-    """Funding of a day: the sum of its rates, and the last of them."""
-    rows = _files(spark, folder, "funding").select("symbol", day("calc_time").alias("date"), number("calc_time").alias("t"), number("last_funding_rate").alias("rate"))
-    return rows.where("date is not null and rate is not null").groupBy("symbol", "date").agg(F.sum("rate").alias("funding"), F.max_by("rate", "t").alias("funding_last"))
+    """Funding of a day: the sum of its rates, and the last of them (of several at one time the first in the file)."""
+    rows = _files(spark, folder, "funding").select("symbol", "_place", day("calc_time").alias("date"), number("calc_time").alias("t"), number("last_funding_rate").alias("rate"))
+    return rows.where("date is not null and rate is not null").groupBy("symbol", "date").agg(F.sum("rate").alias("funding"), _last("rate").alias("funding_last"))
 
 
 def open_interest(spark: SparkSession, folder: str) -> DataFrame:
     """Last open interest and its value, mean ratios, of the five-minute rows of a day."""
     names = {"sum_open_interest": "oi", "sum_open_interest_value": "oi_value", "sum_taker_long_short_vol_ratio": "ls_ratio", "sum_toptrader_long_short_ratio": "top_ls"}
-    rows = _files(spark, folder, "oi").select("symbol", day("create_time").alias("date"), F.col("create_time").alias("t"), *[number(c).alias(n) for c, n in names.items()])
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("t"))).alias(c)
-    return rows.where("date is not null").groupBy("symbol", "date").agg(last("oi"), last("oi_value"), F.avg("ls_ratio").alias("ls_ratio"), F.avg("top_ls").alias("top_ls"))
+    rows = _files(spark, folder, "oi").select("symbol", "_place", day("create_time").alias("date"), F.col("create_time").alias("t"), *[number(c).alias(n) for c, n in names.items()])
+    return rows.where("date is not null").groupBy("symbol", "date").agg(_last("oi").alias("oi"), _last("oi_value").alias("oi_value"), F.avg("ls_ratio").alias("ls_ratio"), F.avg("top_ls").alias("top_ls"))
 
 
 def implied_vol(spark: SparkSession, folder: str) -> DataFrame:
