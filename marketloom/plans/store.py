@@ -97,7 +97,8 @@ def market_highlights(spark, sf_dir) -> DataFrame:
 def screener(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("date")
     b = bars(spark, sf_dir).where(F.lower("symbol").contains("brand#1"))
-    return b.select("symbol", "date", r6(F.try_divide("close", F.lag("close").over(w)) - 1).alias("change")).where("change >= 0")
+    b = b.select("symbol", "date", (F.try_divide("close", F.lag("close").over(w)) - 1).alias("change")).where("change >= 0")  # before rounding: a small loss is no gain
+    return b.withColumn("change", r6(F.col("change")))
 
 
 @query("tx_search_sort", twin("SELECT id, tx_date, amount, category FROM transactions WHERE contains(lower(title), '77') AND category = 'high' ORDER BY abs(amount) DESC, id LIMIT 40"))
