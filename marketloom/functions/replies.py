@@ -23,23 +23,28 @@ def reply_scores(reply: Column, n: Column) -> Column:
     0 if missing) are clamped to -1 ... 1 and rounded to four digits; other scores and elements that are no objects are left
     out.  Of several objects about one text the last counts.  All else is neutral with 0, the whole reply too if it is null or no array can be read.
     """
-    items = F.from_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0), "array<string>")
+    # Nothing is read twice: every step hands its values on as elements of an array, since a lambda's argument is computed once, an expression at each use.
+    items = F.coalesce(F.from_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0), "array<string>"), F.array().cast("array<string>"))
     whole = r'(?s)"i"\s*:\s*(-?\d{1,9}|true|false)\s*[,}]'
 
-    def read(item: Column, place: Column) -> Column:
-        fields = F.from_json(item, "map<string,string>")
-        raw = F.regexp_extract(item, whole, 1)
-        i = F.when(raw == "true", 1).when(raw == "false", 0).otherwise(F.expr("null").cast("int"))
-        i = F.coalesce(i, F.try_to_number(raw, F.lit("S999999999")).cast("int"))
-        at = F.when((i >= 0) & (i < n), i).when(place < n, place)
-        score = F.when(F.map_contains_key(fields, F.lit("score")), fields["score"].try_cast("double")).otherwise(F.lit(0.0))
-        score = F.when(item.startswith("{") & fields.isNotNull(), F.round(clip(score, -1.0, 1.0), 4))
-        return F.struct(at.alias("at"), F.when(fields["score"].isNotNull() | ~F.map_contains_key(fields, F.lit("score")), score).alias("score"))
+    def parsed(item: Column, place: Column) -> Column:
+        fields = F.when(item.startswith("{"), F.from_json(item, "map<string,string>"))
+        return F.struct(place.alias("place"), fields.alias("fields"), F.regexp_extract(item, whole, 1).alias("raw"))
 
-    read_ = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), read), lambda x: x["at"].isNotNull() & x["score"].isNotNull())
+    def typed(x: Column) -> Column:
+        i = F.when(x["raw"] == "true", 1).when(x["raw"] == "false", 0).otherwise(x["raw"].try_cast("int"))
+        score = F.when(F.map_contains_key(x["fields"], F.lit("score")), x["fields"]["score"].try_cast("double")).when(x["fields"].isNotNull(), 0.0)
+        return F.struct(x["place"].alias("place"), i.alias("i"), score.alias("score"))
 
-    def of(k: Column) -> Column:
-        score = F.coalesce(F.get(F.reverse(F.filter(read_, lambda x: x["at"] == k)), F.lit(0))["score"], F.lit(0.0))
-        return F.struct(score_label(score).alias("label"), score.alias("score"))
+    def read(x: Column) -> Column:
+        at = F.when((x["i"] >= 0) & (x["i"] < n), x["i"]).when(x["place"] < n, x["place"])
+        return F.struct(at.alias("at"), F.round(clip(x["score"], -1.0, 1.0), 4).alias("score"))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), of)).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
+    usable = F.filter(F.transform(F.transform(F.transform(items, parsed), typed), read), lambda x: x["at"].isNotNull() & x["score"].isNotNull())
+
+    def of(found: Column, k: Column) -> Column:
+        return F.coalesce(F.get(F.reverse(F.filter(found, lambda x: x["at"] == k)), F.lit(0))["score"], F.lit(0.0))
+
+    scores = F.get(F.transform(F.array(usable), lambda found: F.transform(F.sequence(F.lit(0), n - 1), lambda k: of(found, k))), F.lit(0))
+    scores = F.transform(scores, lambda x: F.struct(score_label(x).alias("label"), x.alias("score")))
+    return F.when(n > 0, scores).otherwise(F.array().cast("array<struct<label:string,score:double>>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ _CASES = """SELECT id, pos, CASE WHEN s >= 0.15::DOUBLE THEN 'positive' WHEN s <
 @query("reply_scores", twin(_CASES))
 def scores_of_replies(spark, sf_dir) -> DataFrame:
     """The three scores that each of a stream of model replies holds; eight kinds of replies, most of them damaged."""
-    i, k = F.col("id"), F.format_string("%.2f", F.col("id") % 29 / 20)
+    i, k = F.col("id"), F.col("k")
     forms = [
         F.concat(F.lit('Here you are:\n```json\n[{"i": 0, "score": '), k, F.lit('}, {"i": 1, "score": -0.2}]\n``` Anything else?')),
         F.concat(F.lit('[{"i": 2, "score": '), k, F.lit('}, {"i": 0, "score": -'), k, F.lit("}]")),
@@ -78,6 +80,7 @@ def scores_of_replies(spark, sf_dir) -> DataFrame:
         F.lit('[{"i": 0}, {"i": 1, "score": 0.1}, {"i": 1, "score": 0.9}, {"i": 2, "score": null}]'),
         F.concat(F.lit('[{"score": '), k, F.lit("}]")),
     ]
-    reply = F.element_at(F.array(*forms), (i % 8 + 1).cast("int"))
-    t = ticks(spark, sf_dir).select("id", F.posexplode(reply_scores(reply, F.lit(3))).alias("pos", "r"))
+    reply = reduce(lambda c, f: c.when(i % 8 == f[0], f[1]), enumerate(forms), F)
+    t = ticks(spark, sf_dir).select("id", F.format_string("%.2f", i % 29 / 20).alias("k"))
+    t = t.select("id", F.posexplode_outer(reply_scores(reply, F.lit(3))).alias("pos", "r"))  # three scores a reply; without outer the array is computed again to test that it is not empty
     return t.select("id", "pos", "r.label", (F.col("r.score") + 0.0).alias("score"))  # no negative zero
