@@ -9,6 +9,7 @@ from ..functions.num import r6
 from ..operators import windows as w
 from ..operators.evaluation import EDGES, auc, conformal, decile, ece, with_rank
 from ..operators.labels import pooled_position, purged_folds, triple_barrier, uniqueness
+from ..operators.training import stored
 from ..registry import query
 from ..sources.logical import bars, outcomes, predictions, twin, verdicts
 
@@ -26,8 +27,14 @@ def _hit(kind) -> str:
 _EVENTS = (("v", _VOL), ("ld", _LEADS), ("ev", f"SELECT symbol, date, {_hit(lambda k, j: repr('timeout' if k == 'to' else k))} AS barrier, {_hit(lambda k, j: f'c{j} / close - 1')} AS ret, {_hit(lambda k, j: f'd{j}')} AS t1 FROM ld WHERE c1 IS NOT NULL AND vol > 0"))
 
 
-def events(spark, sf_dir) -> DataFrame:
-    b = bars(spark, sf_dir).withColumn("r", w.log_return(F.col("close")))
+def stored_bars(spark, sf_dir) -> DataFrame:
+    """The bars, written once for a query that needs them at several places; each of these would read and group all lines again."""
+    return stored(bars(spark, sf_dir), "bars")
+
+
+def events(spark, sf_dir, b: DataFrame | None = None) -> DataFrame:
+    """Labelled events of the bars ``b``, by default those of the tables."""
+    b = (bars(spark, sf_dir) if b is None else b).withColumn("r", w.log_return(F.col("close")))
     return triple_barrier(b.select("symbol", "date", "close", w.rstd(F.col("r"), 20).alias("vol")), "vol", _H).select("symbol", "date", "barrier", "ret", "t1", "label")
 
 
@@ -47,14 +54,16 @@ _CELLS = (_POS, ("sp", "SELECT e.symbol, e.date, a.pos AS a, b.pos AS b FROM ev
 
 @query("uniqueness", twin("SELECT symbol, date, round(u / avg(u) OVER (PARTITION BY symbol), 6) AS weight FROM (SELECT ce.symbol, ce.date, avg(1 / n::DOUBLE) AS u FROM ce JOIN (SELECT symbol, pos, count(*) AS n FROM ce GROUP BY ALL) c ON c.symbol = ce.symbol AND c.pos = ce.pos GROUP BY ALL)", *_EVENTS, *_CELLS))
 def uniqueness_q(spark, sf_dir) -> DataFrame:
-    return uniqueness(events(spark, sf_dir), bars(spark, sf_dir).select("symbol", "date")).withColumn("weight", r6(F.col("weight")))
+    b = stored_bars(spark, sf_dir)
+    return uniqueness(events(spark, sf_dir, b), b.select("symbol", "date")).withColumn("weight", r6(F.col("weight")))
 
 
 @query("interval_overlap", twin("SELECT symbol, pos::INT AS pos, count(*)::BIGINT AS open_events FROM ce GROUP BY ALL", *_EVENTS, *_CELLS))
 def interval_overlap(spark, sf_dir) -> DataFrame:
     """How many labelled events are open at each bar."""
-    at = bars(spark, sf_dir).select("symbol", "date", F.row_number().over(w.by()).alias("pos"))
-    e = events(spark, sf_dir).select("symbol", "date", "t1")
+    b = stored_bars(spark, sf_dir)
+    at = b.select("symbol", "date", F.row_number().over(w.by()).alias("pos"))
+    e = events(spark, sf_dir, b).select("symbol", "date", "t1")
     spans = e.join(at.withColumnRenamed("pos", "a"), ["symbol", "date"]).join(at.select("symbol", F.col("date").alias("t1"), F.col("pos").alias("b")), ["symbol", "t1"])
     return spans.select("symbol", F.explode(F.sequence("a", "b")).alias("pos")).groupBy("symbol", "pos").agg(F.count(F.lit(1)).alias("open_events"))
 

@@ -13,16 +13,17 @@ from ..operators.training import block_ablation, fold_rows, stored, walk_forward
 from ..registry import query
 from ..sources.logical import bars, twin
 from . import features as _single  # noqa: F401  (their twins make up the table's)
-from .learning import events
+from .learning import events, stored_bars
 from .models import learner
 
 #: The single queries whose columns the price block has.
 _PARTS = ("feat_sma", "feat_rvol", "feat_returns_gap", "feat_stoch_williams", "feat_bollinger", "feat_obv_volume", "feat_mfi", "feat_calendar", "feat_fracdiff", "feat_macd", "feat_rsi_wilder", "feat_atr", "feat_adx")
 
 
-def market_series(spark, sf_dir) -> DataFrame:
+def market_series(spark, sf_dir, b: DataFrame | None = None) -> DataFrame:
     """One row per date: mean close, mean range and mean volume stand for the market's level, fear gauge and rate."""
-    return bars(spark, sf_dir).groupBy("date").agg(F.avg("close").alias("level"), F.avg(F.col("high") - F.col("low")).alias("fear"), F.avg("volume").alias("rate"))
+    b = bars(spark, sf_dir) if b is None else b
+    return b.groupBy("date").agg(F.avg("close").alias("level"), F.avg(F.col("high") - F.col("low")).alias("fear"), F.avg("volume").alias("rate"))
 
 
 def _joined() -> str:
@@ -48,8 +49,9 @@ def market_features(spark, sf_dir) -> DataFrame:
     return m.select("date", *[r6(F.col(c)).alias(c) for c in m.columns if c != "date"])
 
 
-def wide(spark, sf_dir, flags: dict[str, str] | None = None, **blocks: DataFrame) -> DataFrame:
-    return assembled({"market": market_series(spark, sf_dir), **blocks}, bars(spark, sf_dir), flags)
+def wide(spark, sf_dir, flags: dict[str, str] | None = None, b: DataFrame | None = None, **blocks: DataFrame) -> DataFrame:
+    b = stored_bars(spark, sf_dir) if b is None else b
+    return assembled({"market": market_series(spark, sf_dir, b), **blocks}, b, flags)
 
 
 MARKET = ("market_ret_1", "market_ret_5", "market_ret_20", "fear_z", "fear_change", "rate_change", "rs_1", "rs_5")
@@ -75,8 +77,9 @@ def feature_selection(spark, sf_dir) -> DataFrame:
 
 def wide_events(spark, sf_dir) -> DataFrame:
     """Labelled events with all features and their uniqueness as weight."""
-    b, e = bars(spark, sf_dir), events(spark, sf_dir)
-    rows = e.join(wide(spark, sf_dir).drop("open", "high", "low", "close", "volume", "ffd_order"), ["symbol", "date"]).join(uniqueness(e, b), ["symbol", "date"])
+    b = stored_bars(spark, sf_dir)
+    e = events(spark, sf_dir, b)
+    rows = e.join(wide(spark, sf_dir, b=b).drop("open", "high", "low", "close", "volume", "ffd_order"), ["symbol", "date"]).join(uniqueness(e, b), ["symbol", "date"])
     return stored(rows.withColumn("y", (F.col("label") > 0).cast("double")).where("label <> 0"), "wide-events")
 
 

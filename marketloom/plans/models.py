@@ -14,7 +14,7 @@ from ..operators.regimes import decode
 from ..operators.training import fold_rows, stored, walk_forward
 from ..registry import query
 from ..sources.logical import SQL, bars, twin
-from .learning import events
+from .learning import events, stored_bars
 
 _W = "(PARTITION BY symbol ORDER BY date"
 #: Boosted trees of the narrow models; on 8,382 events twenty take hardly longer than five (13.5 and 12.7 s for six folds on eight cores) and rank better.
@@ -22,12 +22,12 @@ TREES = 20
 INPUTS = ["sma5", "sma20", "vol20", "r1", "r5"]
 
 
-def features(spark, sf_dir) -> DataFrame:
-    """A feature row for every labelled event, weighted by its uniqueness."""
+def features(spark, sf_dir, b: DataFrame | None = None) -> DataFrame:
+    """A feature row for every labelled event, weighted by its uniqueness; ``b``: the bars if they are stored already."""
     c = F.col("close")
-    b = bars(spark, sf_dir).withColumn("r", w.log_return(c))
+    b = (stored_bars(spark, sf_dir) if b is None else b).withColumn("r", w.log_return(c))
     f = b.select("symbol", "date", (c / w.rmean(c, 5) - 1).alias("sma5"), (c / w.rmean(c, 20) - 1).alias("sma20"), w.rstd(F.col("r"), 20).alias("vol20"), F.col("r").alias("r1"), w.log_return(c, 5).alias("r5"))
-    e = events(spark, sf_dir)
+    e = events(spark, sf_dir, b)
     rows = e.join(f, ["symbol", "date"]).join(uniqueness(e, b), ["symbol", "date"])
     return stored(rows.dropna().withColumn("y", (F.col("label") > 0).cast("double")), "features")  # read by every fold and count
 
@@ -74,14 +74,14 @@ def ewma_conditional_vol(spark, sf_dir) -> DataFrame:
     return b.select("symbol", "date", r6(F.sqrt("y")).alias("vol"), r6(F.sqrt(5 * F.col("y"))).alias("vol_5"))
 
 
-def _smoothed_squares(spark, sf_dir) -> DataFrame:
-    b = bars(spark, sf_dir).select("symbol", "date", F.pow(w.log_return(F.col("close")), 2).alias("x"))
+def _smoothed_squares(spark, sf_dir, b: DataFrame | None = None) -> DataFrame:
+    b = (bars(spark, sf_dir) if b is None else b).select("symbol", "date", F.pow(w.log_return(F.col("close")), 2).alias("x"))
     return smoothed(b, {"y": ("x", 0.06, 10)})
 
 
-def conditional_scale(spark, sf_dir) -> DataFrame:
+def conditional_scale(spark, sf_dir, b: DataFrame | None = None) -> DataFrame:
     """symbol, date, scale: the volatility forecast for the five bars to come."""
-    return _smoothed_squares(spark, sf_dir).select("symbol", "date", F.sqrt(5 * F.col("y")).alias("scale"))
+    return _smoothed_squares(spark, sf_dir, b).select("symbol", "date", F.sqrt(5 * F.col("y")).alias("scale"))
 
 
 @query("ar1_baseline", twin("SELECT symbol, round(regr_slope(x, b), 6) AS phi, round(regr_intercept(x, b), 6) AS c, round(avg((sign(x) = sign(b))::INT), 6) AS persistence, count(*)::BIGINT AS n FROM (SELECT symbol, x, lag(x) OVER (PARTITION BY symbol ORDER BY date) AS b FROM (SELECT symbol, date, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS x FROM bars)) WHERE x IS NOT NULL AND b IS NOT NULL GROUP BY symbol"))
@@ -153,9 +153,9 @@ def least_ffd_order(spark, sf_dir) -> DataFrame:
     return least_order(bars(spark, sf_dir).select("symbol", "date", "close"))
 
 
-def regimes(spark, sf_dir) -> DataFrame:
+def regimes(spark, sf_dir, b: DataFrame | None = None) -> DataFrame:
     """Regimes of each symbol from its trend, its turbulence and its range; only past bars enter a bar's probabilities."""
-    b = bars(spark, sf_dir).withColumn("r", w.log_return(F.col("close")))
+    b = (bars(spark, sf_dir) if b is None else b).withColumn("r", w.log_return(F.col("close")))
     b = b.select("symbol", "date", w.log_return(F.col("close"), 20).alias("ret20"), w.rstd(F.col("r"), 20).alias("vol20"), F.log(w.rmean((F.col("high") - F.col("low")) / F.col("close"), 5) + 1e-6).alias("fear"))
     return decode(b, "symbol", ["ret20", "vol20", "fear"])
 
