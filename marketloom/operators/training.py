@@ -142,7 +142,7 @@ def stack(rows: DataFrame, signals: list[str], primary: str, y: str = "y", share
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    rows = stored(pooled_position(rows, "date", ["symbol"]), "stack-rows")
+    rows = stored(pooled_position(stored(rows, "stack-signals"), "date", ["symbol"]), "stack-rows")  # places are counted from two reads
     n = rows.count()
     early = F.col("pos") < int(n * share)
     kinds = {(r["early"], r["regime"]): (r["n"], r["ones"]) for r in rows.groupBy(early.alias("early"), "regime").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("ones")).collect()}  # two rows a regime

@@ -9,7 +9,7 @@ from ..functions.num import r6
 from ..operators.evaluation import conformal
 from ..operators.training import fold_auc, fold_rows, greedy, lifts, meta_report, meta_rows, stack, stored, walk_forward
 from ..registry import query
-from .learning import calibrated
+from .learning import calibrated, stored_bars
 from .models import INPUTS, conditional_scale, features, learner, regimes
 from .rules import has_skill
 
@@ -43,7 +43,8 @@ def bands(scored: DataFrame, alphas: tuple[float, ...] = (0.2, 0.1)) -> DataFram
 @query("oof_conformal")
 def oof_conformal(spark, sf_dir) -> DataFrame:
     """Bands around the regressor, scaled by the volatility that was forecast at the event."""
-    b = bands(out_of_fold_return(features(spark, sf_dir)).join(conditional_scale(spark, sf_dir), ["symbol", "date"]))
+    stored_once = stored_bars(spark, sf_dir)
+    b = bands(out_of_fold_return(features(spark, sf_dir, stored_once)).join(conditional_scale(spark, sf_dir, stored_once), ["symbol", "date"]))
     return b.select("alpha", *[r6(F.col(c)).alias(c) for c in ("q", "coverage")], "n", *[r6(F.col(c)).alias(c) for c in ("mae", "naive_mae")], "has_skill")
 
 
@@ -64,14 +65,15 @@ def split_bands(scored: DataFrame, alphas: tuple[float, ...] = (0.2, 0.1)) -> Da
 @query("oof_conformal_split")
 def oof_conformal_split(spark, sf_dir) -> DataFrame:
     """Bands fitted to the earlier folds and held against the last one."""
-    b = split_bands(out_of_fold_return(features(spark, sf_dir)).join(conditional_scale(spark, sf_dir), ["symbol", "date"]))
+    stored_once = stored_bars(spark, sf_dir)
+    b = split_bands(out_of_fold_return(features(spark, sf_dir, stored_once)).join(conditional_scale(spark, sf_dir, stored_once), ["symbol", "date"]))
     return b.select("alpha", *[r6(F.col(c)).alias(c) for c in ("q", "coverage", "held_out")], "n")
 
 
 def out_of_fold_meta(rows: DataFrame, primary: DataFrame | None = None) -> DataFrame:
     """Test rows of the second model with ``primary_p`` (calibrated out of sample), ``right`` and ``meta_p``."""
     primary = primary if primary is not None else stored(walk_forward(fold_rows(rows), learner("gbt"), INPUTS), "primary")
-    second = meta_rows(calibrated(primary, y="y", p="p"))
+    second = stored(meta_rows(calibrated(primary, y="y", p="p")), "meta-rows")  # its places are counted from two reads
     return walk_forward(fold_rows(second), learner("gbt_meta"), [*INPUTS, "primary_p"], "meta_p")
 
 
@@ -120,7 +122,8 @@ def signals(rows: DataFrame, regime: DataFrame) -> DataFrame:
 @query("stack_report")
 def stack_report(spark, sf_dir) -> DataFrame:
     """Held-out figures of the stack, and whether it has earned its place; NULL where the later rows have one outcome only."""
-    _, r = stack(signals(features(spark, sf_dir), regimes(spark, sf_dir)), ["primary", "p2", "meta_p", "pred"], "primary")
+    b = stored_bars(spark, sf_dir)
+    _, r = stack(signals(features(spark, sf_dir, b), regimes(spark, sf_dir, b)), ["primary", "p2", "meta_p", "pred"], "primary")
     kinds = {"n_eval": "long", "stack_auc": "double", "one_auc": "double", "mixed_auc": "double", "use_experts": "boolean", "best_base": "string", "best_auc": "double", "passes": "boolean"}
     one = spark.createDataFrame([tuple(r.get(k) for k in kinds)], ", ".join(f"{k} {t}" for k, t in kinds.items()))
     return one.select(*[r6(F.col(k)).alias(k) if t == "double" else k for k, t in kinds.items()])
